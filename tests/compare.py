@@ -58,7 +58,8 @@ def main() -> None:
     from tracelode.session import build_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", 8, spark__driver__memory="12g", spark__ui__enabled="false")
+    spark = build_session("local[8]", 8, spark__driver__memory="12g", spark__ui__enabled="false",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     oracle = entry.oracle_sql()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelode.functions import severity
+from tracelode.operators.ordered import previous, running_sum, slices
 
 # Texts that mark a failing exporter. They look like patterns but are
 # searched as plain text, so the second one matches only its literal spelling.
@@ -137,6 +138,24 @@ def receiver_seen(df: DataFrame, log: str = "log") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("seen"))
 
 
+def reassemble(df: DataFrame, keys: list[str], order: list[str], flush_seconds: int = 5, log: str = "log",
+               parts: int | None = None) -> DataFrame:
+    """(I) Joins lines that the container runtime split: (keys, ts, log), one row per line.
+
+    A part without a final newline is continued by the next line of the container, unless
+    that comes more than ``flush_seconds`` later (our reading of the flush time).
+    """
+    lines = df.select(*keys, *order, F.col("ts"), F.col(log).alias("log"))
+    cut = slices(lines, keys, order, parts)
+    before = previous(cut, keys, order, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
+    late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
+    starts = F.col("_before").isNull() | F.col("_before.ended") | late
+    numbered = running_sum(before, keys, order, starts.cast("int"), "_line")
+    pieces = F.sort_array(F.collect_list(F.struct(*order, "log")))
+    joined = numbered.groupBy(*keys, "_line").agg(F.min("ts").alias("ts"), pieces.alias("_pieces"))
+    return joined.select(*keys, "ts", F.array_join(F.transform("_pieces", lambda p: p["log"]), "").alias("log"))
+
+
 def log_tail(df: DataFrame, keys: list[str], order: list[str], lines: int = 100) -> DataFrame:
     """(I) The last ``lines`` rows per key. The rank filter prunes before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

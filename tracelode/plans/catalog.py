@@ -11,6 +11,10 @@ from tracelode.operators import (
 from tracelode.plans import sql, views
 from tracelode.session import run_folder
 from tracelode.sources import logs as log_files, metrics as metric_texts, sinks, traces as trace_files
+from tracelode.sources.tables import table_stream
+from tracelode.streaming import events as event_streams, logs as log_streams, metrics as metric_streams
+from tracelode.streaming import sessions as session_streams
+from tracelode.streaming.run import finish, newest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,16 +39,29 @@ def _write_raw_lines(spark: SparkSession, sf: str) -> str:
     """Container log files as the tail reads them: a folder per container, lines in order."""
     path = run_folder(spark, "raw-lines")
     lines = views.raw_log_lines(spark, sf).select("container_id", "line_no", F.col("line").alias("value"))
-    (lines.repartition("container_id").sortWithinPartitions("container_id", "line_no").drop("line_no")
-     .write.partitionBy("container_id").text(path))
+    ordered = lines.repartitionByRange("container_id", "line_no").sortWithinPartitions("container_id", "line_no")
+    ordered.drop("line_no").write.partitionBy("container_id").text(path)
     return path
 
 
+def _tail(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
+    tail = log_files.log_tail_load(spark, _write_raw_lines(spark, sf) + "/*/*", stream, max_files=100_000)
+    return tail.withColumn("container_id", F.regexp_replace("container_id", "^container_id=", ""))
+
+
+def _ntz(column: str) -> Column:
+    return F.col(column).cast("timestamp_ntz").alias(column)
+
+
 @query
 def log_tail_load(spark, sf):
-    loaded = log_files.log_tail_load(spark, _write_raw_lines(spark, sf) + "/*/*")
-    container = F.regexp_replace("container_id", "^container_id=", "").alias("container_id")
-    return loaded.select(container, "log", "stream", "source", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return _tail(spark, sf).select("container_id", "log", "stream", "source", _ntz("ts"))
+
+
+@query
+def reassemble(spark, sf):
+    lines = _tail(spark, sf)
+    return logs.reassemble(lines, ["container_id"], log_files.LINE_ORDER).select("container_id", _ntz("ts"), "log")
 
 
 @query
@@ -608,3 +625,44 @@ def severe_log_counts(spark, sf):
     """Severe log records per service and severity: the first query of the library."""
     return views.logs(spark, sf).transform(logs.severe_logs).groupBy(
         "service_name", "severity_text", "operation").agg(F.count("*").alias("records"))
+
+
+# ---------------------------------------------------------------- streams, run over all that is there
+
+@query
+def stream_reassemble(spark, sf):
+    joined = log_streams.stream_reassemble(_tail(spark, sf, stream=True), log_files.STREAM_ORDER)
+    return finish(joined, "reassemble").select("container_id", _ntz("ts"), "log")
+
+
+@query
+def stream_logs(spark, sf):
+    severe = log_streams.stream_logs(_tail(spark, sf, stream=True), log_files.STREAM_ORDER).drop("log_fields")
+    return finish(severe, "severe-logs").select("service_name", _ntz("ts"), "severity_text", "operation", "body", "msg")
+
+
+@query
+def stream_event_stats(spark, sf):
+    rows = views.kind_outcomes(spark, sf, table_stream)
+    return event_streams.merge_event_stats(finish(event_streams.stream_event_stats(rows), "event-stats", "update"))
+
+
+@query
+def stream_active_gauge(spark, sf):
+    rows = views.connections(spark, sf, table_stream)
+    return newest(finish(event_streams.stream_active_gauge(rows), "gauge", "update"), [])
+
+
+@query
+def stream_scrape(spark, sf):
+    rows = views.metric_samples(spark, sf, table_stream)
+    steps = finish(metric_streams.stream_scrape(rows, ["job", "instance"]), "scrape")
+    return steps.select("job", "instance", _ntz("step_start"), _ntz("step_end"), "value")
+
+
+@query
+def stream_answer_deadline(spark, sf):
+    rows = views.session_messages(spark, sf, table_stream)
+    settled = session_streams.settle_answers(
+        finish(session_streams.stream_answer_deadline(rows, 8 * 3600), "deadline"))
+    return settled.withColumn("answered_at", F.col("answered_at").cast("timestamp_ntz"))

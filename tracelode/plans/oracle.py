@@ -180,6 +180,8 @@ _RAW_LINES = """select event_id, user_id, ts, part, case when event_id % 3 <> 0
     else substr(msg, 9) end || case when event_id % 3 = 0 and part = 0 then '' else chr(10) end as log
 from (select log_id as event_id, user_id, ts, coalesce(log, 'no message at all') as msg from logs) l
 cross join (select 0 as part union all select 1) p where part = 0 or event_id % 3 = 0"""
+_WHOLE = """select concat('c', cast(user_id % 16 as varchar)) as container_id, ts, coalesce(log, 'no message at all') || chr(10) as log
+from logs"""
 _GAUGE = "select event_id, ts, cast(sum(delta) over (order by ts, event_id) as bigint) as active from connections"
 _TOTALS = "select count(*) filter (delta > 0) as total, cast(coalesce(sum(delta), 0) as bigint) as active from connections"
 _SCRAPE = """select job, instance, step_start, step_start + interval 15 seconds as step_end, value from (
@@ -200,8 +202,8 @@ _SEVERE = """select coalesce(container_name, 'unknown-service') as service_name,
 
 # name -> (views it reads, SQL, own views)
 ORACLES: dict[str, tuple] = {
-    "log_tail_load": (["logs"], f"""select concat('c', cast(user_id as varchar)) as container_id, log, 'stdout' as stream,
-  'docker' as source, ts from ({_RAW_LINES}) t"""),
+    "log_tail_load": (["logs"], f"""select concat('c', cast(user_id % 16 as varchar)) as container_id, log, 'stdout' as stream,
+  'docker' as source, ts + to_microseconds(part) as ts from ({_RAW_LINES}) t"""),
     "trace_json_load": (["spans"], """select trace_id, cast(span_id as varchar) as span_id,
   cast(parent_span_id as varchar) as parent_span_id, operation, start_ts, duration_us, 3 as tag_count,
   cast(user_id as varchar) as user_tag, cast(span_id as varchar) as request_tag from spans"""),
@@ -407,6 +409,22 @@ select node, max(level) as level from lv group by 1"""),
     "span_depth": (["spans"], """with recursive d as (select trace_id, span_id, 0 as depth from spans where parent_span_id is null
   union all select s.trace_id, s.span_id, d.depth + 1 from spans s join d on s.parent_span_id = d.span_id and s.trace_id = d.trace_id)
 select trace_id, span_id, depth from d"""),
+    "reassemble": (["logs"], _WHOLE),
+    "stream_reassemble": (["logs"], _WHOLE),
+    "stream_logs": (["logs"], f"""select container_id as service_name, ts, severity_text, 'log.' || severity_text as operation,
+  log as body, msg from (select *, case when lower(coalesce(level, '')) = 'warn' then 'WARN'
+    when regexp_matches(lower(log), 'error|exception|failed|failure|panic') then 'ERROR'
+    when regexp_matches(lower(log), 'warn|deprecated') then 'WARN'
+    when regexp_matches(lower(log), 'fatal|critical') then 'FATAL' else 'INFO' end as severity_text
+  from (select *, case when log like '{{%' then log ->> '$.level' end as level, case when log like '{{%' then log ->> '$.msg' end as msg
+    from ({_WHOLE}) w) p) s where severity_text <> 'INFO'"""),
+    "stream_event_stats": (["kind_outcomes"], _STATS.format(v="kind_outcomes")),
+    "stream_active_gauge": (["connections"], _TOTALS),
+    "stream_scrape": (["metric_samples"], f"""select * from ({_SCRAPE}) s
+where step_end <= (select max(ts) from metric_samples) - interval 1 minute"""),
+    "stream_answer_deadline": (["session_messages"], f"""select d.* from ({_DEADLINE}) d
+where time_bucket(interval 8 hours, answered_at, timestamp '1970-01-01') + interval 16 hours <=
+  (select max(ts) from session_messages where event in ('kc.answer.result', 'kc.adaptive.update')) - interval 1 minute"""),
     "severe_log_counts": (["logs"], f"select service_name, severity_text, operation, count(*) as records from ({_SEVERE}) s group by all"),
 }
 

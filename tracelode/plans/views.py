@@ -6,11 +6,15 @@ same views in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelode.operators.ordered import previous_in_time
 from tracelode.sources.tables import table
 
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
 
 def _pick(number: Column, values: list[str | None], otherwise: str | None = None) -> Column:
     chain = F.lit(otherwise)
@@ -23,9 +27,10 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def ev(spark: SparkSession, folder: str) -> DataFrame:
+def ev(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Events with the number in ``props``. ``read`` is ``table`` or ``table_stream``."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return table(spark, folder, "events").withColumn("k", k)
+    return read(spark, folder, "events").withColumn("k", k)
 
 
 def _service(column: str = "user_id") -> Column:
@@ -104,20 +109,20 @@ def event_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_type") == "error").alias("is_error"), _latency())
 
 
-def kind_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+def kind_outcomes(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Outcomes named by event type, a bounded set of names; a few of each fail."""
-    return ev(spark, folder).select(
+    return ev(spark, folder, read).select(
         "event_id", "ts", F.col("event_type").alias("event_name"),
         (F.col("k") < 10).alias("is_error"), _latency())
 
 
-def connections(spark: SparkSession, folder: str) -> DataFrame:
-    return ev(spark, folder).where("event_type in ('signup', 'purchase')").select(
+def connections(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return ev(spark, folder, read).where("event_type in ('signup', 'purchase')").select(
         "event_id", "ts", F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta"))
 
 
-def metric_samples(spark: SparkSession, folder: str) -> DataFrame:
-    return ev(spark, folder).select(
+def metric_samples(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return ev(spark, folder, read).select(
         F.col("event_type").alias("job"),
         F.concat(F.lit("host-"), (F.col("user_id") % 3).cast("string")).alias("instance"),
         "ts", "event_id", "value")
@@ -198,12 +203,12 @@ def invocation_params(spark: SparkSession, folder: str) -> DataFrame:
         _text("k").alias("param_value"))
 
 
-def session_messages(spark: SparkSession, folder: str) -> DataFrame:
+def session_messages(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     kind = F.col("event_type")
     raw = F.concat(
         F.lit('{"event":"'), kind, F.lit('","data":'), "props", F.lit(',"meta":{"user_id":"'), _text("user_id"), F.lit('"'),
         F.when(F.col("k") % 7 == 0, "").otherwise("}}"))
-    return ev(spark, folder).select(
+    return ev(spark, folder, read).select(
         "event_id", "ts",
         F.concat(F.lit("s"), _text("user_id"), F.lit("-"), F.dayofmonth("ts").cast("string")).alias("session_id"),
         F.when(kind == "signup", "client.connect").when(kind == "view", "kc.request.next")
@@ -213,20 +218,24 @@ def session_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Container log lines; every third record comes in two parts, the last part ends the line."""
+    """Container log lines; every third record comes in two parts, the last part ends the line.
+
+    The second part is written a microsecond after the first.
+    """
     split_up = F.col("log_id") % 3 == 0
     parts = F.when(split_up, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     msg = F.coalesce("log", F.lit("no message at all"))
     piece = F.when(~split_up, F.col("msg")).when(F.col("part") == 0, F.substring("msg", 1, 8)).otherwise(
         F.expr("substr(msg, 9)"))
+    time = F.timestamp_add("MICROSECOND", F.col("part"), F.col("ts"))
     line = F.concat(
         F.lit('{"log":"'), F.replace(piece, F.lit('"'), F.lit('\\"')),
         F.when(split_up & (F.col("part") == 0), "").otherwise("\\n"),
-        F.lit('","stream":"stdout","time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"}'))
+        F.lit('","stream":"stdout","time":"'), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"}'))
     return (
         logs(spark, folder).select("log_id", "ts", "user_id", msg.alias("msg"), F.explode(parts).alias("part"))
         .select((F.col("log_id") * 2 + F.col("part")).alias("line_no"), "log_id", "ts",
-                F.concat(F.lit("c"), _text("user_id")).alias("container_id"), line.alias("line"))
+                F.concat(F.lit("c"), (F.col("user_id") % 16).cast("string")).alias("container_id"), line.alias("line"))
     )
 
 

@@ -20,15 +20,24 @@ def parse_container_lines(df: DataFrame, line: str = "value") -> DataFrame:
                          parse_time(F.col("_l.time")).alias("ts"))
 
 
+# Columns that put the lines of a container in the order they were written. A stream has
+# no line numbers, there the time of a line comes first.
+LINE_ORDER = ["file_path", "block_start", "line_id"]
+STREAM_ORDER = ["file_path"]
+
+
 def log_tail_load(spark: SparkSession, path: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
     """(I) Container log files (JSON per line) to records, as a frame or as a stream of new files.
 
-    The path may hold wildcards. Adds ``source`` and the container (the file's folder).
+    The path may hold wildcards. Adds ``source``, the container (the file's folder) and the
+    columns that order its lines.
     """
     if stream:
         lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
     else:
         lines = spark.read.text(path)
-    container = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-    named = lines.select("value", container.alias("container_id"))
-    return parse_container_lines(named).withColumn("source", F.lit("docker"))
+    file = F.col("_metadata.file_path")
+    named = {"container_id": F.regexp_extract(file, "([^/]+)/[^/]+$", 1), "file_path": file}
+    if not stream:
+        named |= {"block_start": F.col("_metadata.file_block_start"), "line_id": F.monotonically_increasing_id()}
+    return parse_container_lines(lines.withColumns(named)).withColumn("source", F.lit("docker"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
          "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -14,6 +14,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The files of one table as a stream."""
+    """The files of one table as a stream; times get a zone, as watermarks need one."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    zoned = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoned})
