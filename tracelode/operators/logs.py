@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracelode.functions import severity
+from tracelode.functions.once import with_once
 from tracelode.operators.ordered import previous, running_sum, slices
 
 # Texts that mark a failing exporter. They look like patterns but are
@@ -26,7 +27,7 @@ EXPORT_ERRORS = [
 
 def detect_level(df: DataFrame, level: str = "level", log: str = "log") -> DataFrame:
     """(I) Adds ``severity_text`` and ``severity_number``."""
-    named = df.withColumn("severity_text", severity.severity_text(F.col(level), F.col(log)))
+    named = with_once(df, "severity_text", severity.severity_text(F.col(level), F.col(log)))
     return named.withColumn("severity_number", severity.severity_number(F.col("severity_text")))
 
 
@@ -37,7 +38,7 @@ def merge_json_log(df: DataFrame, fields: list[str], log: str = "log") -> DataFr
     all parsed pairs are kept in the map ``log_fields``. Other text leaves the row as it was.
     """
     looks_json = F.ltrim(F.col(log)).startswith("{")
-    out = df.withColumn("log_fields", F.when(looks_json, F.from_json(F.col(log), "map<string,string>")))
+    out = with_once(df, "log_fields", F.when(looks_json, F.from_json(F.col(log), "map<string,string>")))
     for field in fields:
         parsed = F.col("log_fields")[field]
         out = out.withColumn(field, F.coalesce(parsed, F.col(field)) if field in df.columns else parsed)

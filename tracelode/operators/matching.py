@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tracelode.functions.text import tokens
+from tracelode.functions.text import token_rows
 from tracelode.session import broadcast_if_small
 
 # The command catalogue (name, description, examples).
@@ -60,12 +60,21 @@ def command_catalogue(spark: SparkSession) -> DataFrame:
 
 def tokenize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(I) One row per token of a text."""
-    return df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    return token_rows(df, key, text)
+
+
+def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Times each token is in a text.
+
+    The texts are shuffled once, by key, before they are cut: that is fewer bytes than their
+    tokens, and all grouping by key and token then stays inside the partition.
+    """
+    return tokenize(df.select(key, text).repartition(key), key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def catalogue_index(catalogue: DataFrame) -> DataFrame:
     """(token, entry, n, norm2) of a catalogue (entry, text); norm2 is the squared norm of the entry."""
-    counts = tokenize(catalogue, "entry").groupBy("entry", "token").agg(F.count("*").alias("n_entry"))
+    counts = token_counts(catalogue, "entry").withColumnRenamed("n", "n_entry")
     norms = counts.groupBy("entry").agg(F.sum(F.col("n_entry") * F.col("n_entry")).alias("norm2_entry"))
     return counts.join(norms, "entry")
 
@@ -73,23 +82,19 @@ def catalogue_index(catalogue: DataFrame) -> DataFrame:
 def _counted(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, n, norm2) inside the vocabulary, partitioned by key.
 
-    Words outside the vocabulary go before anything is shuffled. The empty token stands for
-    the text itself, so a text without a known word keeps a row. All later steps group by
-    the key (and more) and need no further shuffle.
+    Texts are shuffled once, by key, before they are cut into words; all later steps group
+    by the key (and more) and need no further shuffle.
     """
-    words = F.concat(F.array(F.lit("")), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    known = vocabulary.select("token").distinct().withColumn("known", F.lit(True))
-    kept = texts.select(key, F.explode(words).alias("token")).join(broadcast_if_small(known), "token", "left")
-    kept = kept.where("known or token = ''").select(key, "token").repartition(key)
+    known = broadcast_if_small(vocabulary.select("token").distinct())
+    kept = tokenize(texts.select(key, text).repartition(key), key, text).join(known, "token", "left_semi")
     counts = kept.groupBy(key, "token").agg(F.count("*").alias("n"))
-    square = F.when(F.col("token") != "", F.col("n") * F.col("n")).otherwise(F.lit(0))
-    return counts.withColumn("norm2", F.sum(square).over(Window.partitionBy(key)))
+    return counts.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
 
 
 def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(I) Term counts inside the catalogue's vocabulary and their unit-length weights."""
     vocabulary = tokenize(catalogue, "entry")
-    counted = _counted(texts, vocabulary, key, text).where("token <> ''")
+    counted = _counted(texts, vocabulary, key, text)
     return counted.select(key, "token", "n", (F.col("n") / F.sqrt("norm2")).alias("weight"))
 
 
@@ -102,14 +107,16 @@ def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
     """
     index = catalogue_index(catalogue)
     counted = _counted(texts, index, key, text)
-    scored = counted.join(broadcast_if_small(index), "token", "left").groupBy(key, "entry").agg(
+    scored = counted.join(broadcast_if_small(index), "token").groupBy(key, "entry").agg(
         F.sum(F.col("n") * F.col("n_entry")).alias("dot"), F.first("norm2").alias("norm2"),
         F.first("norm2_entry").alias("norm2_entry"))
     score = F.col("dot") / F.sqrt(F.col("norm2").cast("double") * F.col("norm2_entry").cast("double"))
     ranked = scored.withColumn("score", score)
-    order = F.when(F.col("entry").isNotNull(), F.struct(-F.col("score"), "entry"))
-    best = ranked.groupBy(key).agg(F.min_by(F.struct("entry", "score"), order).alias("best"))
-    return best.select(key, F.col("best.entry").alias("entry"), F.coalesce("best.score", F.lit(0.0)).alias("confidence"))
+    best = ranked.groupBy(key).agg(
+        F.min_by(F.struct("entry", "score"), F.struct(-F.col("score"), F.col("entry"))).alias("best"))
+    with_all = texts.select(key).join(best, key, "left")
+    return with_all.select(key, F.col("best.entry").alias("entry"),
+                           F.coalesce("best.score", F.lit(0.0)).alias("confidence"))
 
 
 def intent_route(matches: DataFrame, threshold: float = THRESHOLD, second_opinion: bool = False) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracelode.functions.once import with_once
+
 # Message names, the order of a full session, the answer deadline.
 EVENTS = ["client.connect", "server.connected", "kc.request.next", "kc.question", "kc.answer.submit",
           "kc.answer.result", "kc.adaptive.update"]
@@ -17,7 +19,7 @@ WIDGET = """widget struct<type:string, id:string, props:string>, difficulty int,
 
 def parse_envelopes(df: DataFrame, raw: str = "raw", known: list[str] = EVENTS) -> DataFrame:
     """(I) Message JSON to event, data and meta, with an error code on bad rows."""
-    parsed = df.withColumn("_m", F.from_json(F.col(raw), ENVELOPE))
+    parsed = with_once(df, "_m", F.from_json(F.col(raw), ENVELOPE))
     broken = F.col("_m").isNull() | F.col("_m._corrupt_record").isNotNull()
     event = F.when(~broken, F.nullif(F.col("_m.event"), F.lit("")))
     error = (
@@ -38,7 +40,7 @@ def parse_envelopes(df: DataFrame, raw: str = "raw", known: list[str] = EVENTS)
 
 def parse_widgets(df: DataFrame, payload: str = "payload") -> DataFrame:
     """(I) Question payload to type, ids, question text, first option, difficulty and concepts."""
-    parsed = df.withColumn("_w", F.from_json(F.col(payload), WIDGET))
+    parsed = with_once(df, "_w", F.from_json(F.col(payload), WIDGET))
     props = F.col("_w.widget.props")
     return parsed.select(
         *[c for c in df.columns if c != payload], F.col("_w.widget.type").alias("widget_type"),

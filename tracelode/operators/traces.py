@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracelode.functions.once import with_once
 from tracelode.operators.ordered import running_sum, slices
 from tracelode.session import broadcast_if_small
 
@@ -62,23 +63,22 @@ def correlation_match(spans: DataFrame, id_sets: DataFrame) -> DataFrame:
     tag present twice. Per pair only the first span can win, so spans are reduced to one
     row per pair (partial aggregation) before the join.
     """
-    # explode(array(x)) evaluates the filter once instead of in every place that reads it.
-    tagged = spans.select("start_ts", "span_id", "trace_id", "operation",
-                          F.explode(F.array(_id_tags(F.col("tags")))).alias("ids"))
+    tagged = with_once(spans, "ids", _id_tags(F.col("tags")))
     repeated = F.filter("ids", lambda a: F.size(F.filter("ids", lambda b: a == b)) > 1)
     hit_twice = F.array_distinct(F.transform(repeated, lambda a: _pair(a, a)))
+    # Compared field by field, so the smallest is the first by (start_ts, span_id).
     first = F.struct("start_ts", "span_id", "trace_id", "operation", "ids")
     by_pair = tagged.select(
         F.explode(F.concat(_pairs(F.col("ids")), hit_twice)).alias("pair"), first.alias("span"))
-    first_by_pair = by_pair.groupBy("pair").agg(F.min_by("span", F.struct("span.start_ts", "span.span_id")).alias("span"))
+    first_by_pair = by_pair.groupBy("pair").agg(F.min("span").alias("span"))
 
     wanted = F.array(*[F.struct(F.lit(tag).alias("key"), F.col(c).alias("value")) for c, tag in ID_TAGS.items()])
-    sets = id_sets.select("set_id", F.explode(F.array(F.filter(wanted, lambda w: w["value"].isNotNull()))).alias("wanted"))
+    sets = with_once(id_sets, "wanted", F.filter(wanted, lambda w: w["value"].isNotNull()))
     asked = F.concat(_pairs(F.col("wanted")), F.transform("wanted", lambda w: _pair(w, w)))
     set_pairs = sets.select("set_id", "wanted", F.explode(asked).alias("pair"))
     matched = first_by_pair.join(broadcast_if_small(set_pairs), "pair")
     best = matched.groupBy("set_id").agg(
-        F.min_by(F.struct("span", "wanted"), F.struct("span.start_ts", "span.span_id")).alias("best"))
+        F.min(F.struct("span", "wanted")).alias("best"))
     hits = F.size(F.filter("best.span.ids", lambda i: F.exists(
         "best.wanted", lambda w: (w["key"] == i["key"]) & (w["value"] == i["value"]))))
     return best.select("set_id", F.col("best.span.trace_id").alias("trace_id"), F.col("best.span.span_id").alias("span_id"),

@@ -121,7 +121,7 @@ def write_signals(spark, sf):
 def _sql_query(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         text, args = sql.TEXTS[name]
-        sql.register_tables(spark, sf)
+        sql.register_tables(spark, sf, text)
         return sql.sql_query(spark, text, args, {"questions": views.questions(spark, sf).drop("concepts")})
     return run
 
@@ -525,8 +525,7 @@ def intent_match_commands(spark, sf):
 
 @query
 def tokenize(spark, sf):
-    return matching.tokenize(views.documents(spark, sf), "doc_id").groupBy("doc_id", "token").agg(
-        F.count("*").alias("n"))
+    return matching.token_counts(views.documents(spark, sf), "doc_id")
 
 
 @query

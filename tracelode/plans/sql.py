@@ -23,9 +23,11 @@ where place <= 10""", {}),
 }
 
 
-def register_tables(spark: SparkSession, folder: str) -> None:
-    """The given tables as temporary views."""
+def register_tables(spark: SparkSession, folder: str, text: str) -> None:
+    """The given tables that the text names, as temporary views."""
     for name in NAMES:
+        if name not in text:
+            continue
         table(spark, folder, name).createOrReplaceTempView(name)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracelode.functions.once import with_once
+
 LINE = "log string, stream string, time string"
 
 
@@ -14,7 +16,7 @@ def parse_time(text: Column) -> Column:
 
 def parse_container_lines(df: DataFrame, line: str = "value") -> DataFrame:
     """JSON container lines to ``log``, ``stream`` and ``ts``; the original time text is kept."""
-    parsed = df.withColumn("_l", F.from_json(F.col(line), LINE))
+    parsed = with_once(df, "_l", F.from_json(F.col(line), LINE))
     return parsed.select(*[c for c in df.columns if c != line], F.col("_l.log").alias("log"),
                          F.col("_l.stream").alias("stream"), F.col("_l.time").alias("time"),
                          parse_time(F.col("_l.time")).alias("ts"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tracelode.functions.once import with_once
+
 RESULT = """status string, data struct<resultType:string,
   result:array<struct<metric:map<string,string>, value:array<string>>>>"""
 SAMPLE = r"^\s*([a-zA-Z_:][a-zA-Z0-9_:]*)(\{.*\})?\s+(\S+)"
@@ -12,11 +14,11 @@ LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 def metric_json_load(df: DataFrame, payload: str = "payload") -> DataFrame:
     """(I) Successful query results in a column to one row per series: labels, ts (seconds), value."""
-    parsed = df.withColumn("_r", F.from_json(payload, RESULT)).where("_r.status = 'success'")
+    parsed = with_once(df, "_r", F.from_json(payload, RESULT)).where("_r.status = 'success'")
     rows = parsed.withColumn("_s", F.explode("_r.data.result"))
     return rows.select(*[c for c in df.columns if c != payload], F.col("_s.metric").alias("labels"),
-                       F.element_at("_s.value", 1).cast("double").alias("ts"),
-                       F.element_at("_s.value", 2).cast("double").alias("value"))
+                       F.get("_s.value", 0).try_cast("double").alias("ts"),
+                       F.get("_s.value", 1).try_cast("double").alias("value"))
 
 
 def split_payload(df: DataFrame, payload: str = "payload") -> DataFrame:

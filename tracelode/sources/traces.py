@@ -21,10 +21,10 @@ def explode_traces(documents: DataFrame) -> DataFrame:
     """One row per span of parsed trace documents. Times are microseconds (our reading)."""
     traces = documents.select(F.explode("data").alias("trace"))
     spans = traces.select(F.col("trace.traceID").alias("trace_id"), F.explode("trace.spans").alias("s"))
-    parent = F.filter("s.references", lambda r: r["refType"] == "CHILD_OF")[0]
+    parent = F.get(F.filter("s.references", lambda r: r["refType"] == "CHILD_OF"), 0)
     return spans.select(
         F.coalesce("s.traceID", "trace_id").alias("trace_id"), F.col("s.spanID").alias("span_id"),
-        F.when(F.size("s.references") > 0, parent["spanID"]).alias("parent_span_id"),
+        parent["spanID"].alias("parent_span_id"),
         F.col("s.operationName").alias("operation"), F.timestamp_micros("s.startTime").alias("start_ts"),
         F.col("s.duration").alias("duration_us"), F.col("s.tags").alias("tags"), tag_map(F.col("s.tags")).alias("tag_map"))
 
