@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelode.functions.text import token_rows
-from tracelode.session import broadcast_if_small
+from tracelode.session import broadcast_if_small, cut_lineage
 
 # The command catalogue (name, description, examples).
 COMMANDS = [
@@ -75,8 +75,8 @@ def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def catalogue_index(catalogue: DataFrame) -> DataFrame:
     """(token, entry, n, norm2) of a catalogue (entry, text); norm2 is the squared norm of the entry."""
     counts = token_counts(catalogue, "entry").withColumnRenamed("n", "n_entry")
-    norms = counts.groupBy("entry").agg(F.sum(F.col("n_entry") * F.col("n_entry")).alias("norm2_entry"))
-    return counts.join(norms, "entry")
+    square = F.sum(F.col("n_entry") * F.col("n_entry")).over(Window.partitionBy("entry"))
+    return counts.withColumn("norm2_entry", square)
 
 
 def _counted(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
@@ -85,15 +85,15 @@ def _counted(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> Da
     Texts are shuffled once, by key, before they are cut into words; all later steps group
     by the key (and more) and need no further shuffle.
     """
-    known = broadcast_if_small(vocabulary.select("token").distinct())
-    kept = tokenize(texts.select(key, text).repartition(key), key, text).join(known, "token", "left_semi")
+    words = tokenize(texts.select(key, text).repartition(key), key, text)
+    kept = words.join(broadcast_if_small(vocabulary), "token", "left_semi")
     counts = kept.groupBy(key, "token").agg(F.count("*").alias("n"))
     return counts.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
 
 
 def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(I) Term counts inside the catalogue's vocabulary and their unit-length weights."""
-    vocabulary = tokenize(catalogue, "entry")
+    vocabulary = tokenize(catalogue, "entry").select("token").distinct()
     counted = _counted(texts, vocabulary, key, text)
     return counted.select(key, "token", "n", (F.col("n") / F.sqrt("norm2")).alias("weight"))
 
@@ -105,8 +105,8 @@ def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
     confidence 0. Counts stay integers up to the one division, so scores do not depend on
     the order of addition.
     """
-    index = catalogue_index(catalogue)
-    counted = _counted(texts, index, key, text)
+    index = cut_lineage(catalogue_index(catalogue))   # read twice below
+    counted = _counted(texts, index.select("token").distinct(), key, text)
     scored = counted.join(broadcast_if_small(index), "token").groupBy(key, "entry").agg(
         F.sum(F.col("n") * F.col("n_entry")).alias("dot"), F.first("norm2").alias("norm2"),
         F.first("norm2_entry").alias("norm2_entry"))

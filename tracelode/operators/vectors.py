@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tracelode.session import broadcast_if_small, cut_lineage
+
 # Queries are broadcast up to this many; more go through ``_grid_join``.
 BROADCAST_QUERIES = 4096
 # Rows of one block of the grid join.
@@ -190,8 +192,8 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
 def retrieve_documents(nearest: DataFrame, documents: DataFrame, doc_id: str) -> DataFrame:
     """(D) Nearest vectors with their documents.
 
-    The search result has k rows per query and its queries were counted, so it is the side
-    to broadcast; document texts are not shuffled.
+    The search result has k rows per query. It is written once (the search is the costly
+    part) and broadcast when it is seen to be small, so document texts are not shuffled.
     """
-    small = F.broadcast(nearest.withColumnRenamed("vec_id", doc_id))
-    return documents.join(small, doc_id)
+    found = cut_lineage(nearest.withColumnRenamed("vec_id", doc_id))
+    return documents.join(broadcast_if_small(found), doc_id)

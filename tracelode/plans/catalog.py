@@ -538,9 +538,9 @@ def term_vectors(spark, sf):
 @query
 def intent_route(spark, sf):
     out = matching.intent_match(views.utterances(spark, sf), matching.command_catalogue(spark), "event_id")
-    alone = matching.intent_route(out).withColumn("mode", F.lit("alone"))
-    asking = matching.intent_route(out, second_opinion=True).withColumn("mode", F.lit("second opinion"))
-    return alone.unionByName(asking).groupBy("mode", "entry", "source").agg(F.count("*").alias("n"))
+    alone = matching.intent_route(out).withColumnRenamed("source", "source_alone")
+    both = matching.intent_route(alone, second_opinion=True)
+    return both.groupBy("entry", "source_alone", "source").agg(F.count("*").alias("n"))
 
 
 @query

@@ -366,9 +366,8 @@ group by 1 order by started desc, trace_id limit 100"""),
     "tokenize": ([], f"select doc_id, token, count(*) as n from (select doc_id, unnest({_tokens('text')}) as token from documents) t group by all"),
     "term_vectors": (["tok_norm"], """select doc_id, token, n, round(n / sqrt(cast(norm2 as double)), 6) as weight
 from tok join tok_norm using (doc_id)""", _DOCS),
-    "intent_route": (["best"], """select mode, entry, source, count(*) as n from (
-select 'alone' as mode, entry, case when entry is not null then 'embeddings' else 'unmatched' end as source from best
-union all select 'second opinion', entry, case when confidence >= 0.7 then 'embeddings' else 'llm' end from best) t group by all""", _SAYS),
+    "intent_route": (["best"], """select entry, case when entry is not null then 'embeddings' else 'unmatched' end as source_alone,
+  case when confidence >= 0.7 then 'embeddings' else 'llm' end as source, count(*) as n from best group by all""", _SAYS),
     "extract_slots": (["best"], """select event_id, entry, case when entry = 'infra.logs' then case
     when contains(lower(text), 'postgres') then 'postgres' when contains(lower(text), 'jaeger') then 'jaeger'
     when contains(lower(text), 'prometheus') then 'prometheus' when contains(lower(text), 'otel') then 'otel' end end as service,

@@ -16,7 +16,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
@@ -58,16 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# Largest row count a frame may have to be broadcast by a hint.
-BROADCAST_ROWS = 200_000
+# Largest row count a frame may have to be broadcast by a hint. Used for narrow rows only.
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the frame is counted to be small, else the frame as it is.
+    """Broadcast hint when the frame is seen to be small, else the frame as it is.
 
-    Without the hint Catalyst plans a shuffled join, which adaptive execution splits on
-    skewed keys.
+    ``take`` reads partitions until it has one row more than allowed, so a large frame is
+    given up on early; only empty rows reach the driver. Without the hint Catalyst plans a
+    shuffled join, which adaptive execution splits on skewed keys.
     """
-    if df.limit(rows + 1).count() <= rows:
+    if len(df.select(F.lit(1)).take(rows + 1)) <= rows:
         return F.broadcast(df)
     return df
