@@ -42,17 +42,17 @@ def span_depth(spans: DataFrame) -> DataFrame:
     unique by (trace, span); a parent of very many spans is split by the skew join.
     """
     key = ["trace_id", "span_id"]
-    ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
-    linked = spans.select(*key, "parent_span_id").join(ids, ["trace_id", "parent_span_id"], "left")
-    state = cut_lineage(linked.select(
-        *key, F.when(F.col("known"), F.col("parent_span_id")).alias("up"),
-        F.when(F.col("known"), 1).otherwise(0).alias("depth")))
+    has_parent = F.col("parent_span_id").isNotNull()
+    # ``depth`` counts the steps to ``up``, which is null once the root is reached.
+    state = cut_lineage(spans.select(*key, F.col("parent_span_id").alias("up"), has_parent.cast("int").alias("depth")))
     reach, total = 1, state.count()
-    while reach <= total and not state.where("up is not null").isEmpty():
+    while reach <= 2 * total and not state.where("up is not null").isEmpty():
         above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next_up"),
                              F.col("depth").alias("more"))
-        climbing = state.where("up is not null").join(above, ["trace_id", "up"])
-        moved = climbing.select(*key, F.col("next_up").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        climbing = state.where("up is not null").join(above, ["trace_id", "up"], "left")
+        # No row above: the last step led to a span that is not there.
+        moved = climbing.select(*key, F.col("next_up").alias("up"),
+                                (F.col("depth") + F.coalesce("more", F.lit(-1))).alias("depth"))
         state = cut_lineage(state.where("up is null").unionByName(moved))
         reach *= 2
     return state.select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelode.functions.once import with_once
 from tracelode.operators.ordered import running_sum, slices
-from tracelode.session import broadcast_if_small
+from tracelode.session import broadcast_if_small, cut_lineage
 
 # Operations every full trace holds, and the tags that carry the ids.
 EXPECTED_SPANS = ["ws.connection", "ws.auth", "ws.event.dispatch", "db.query"]
@@ -99,20 +99,22 @@ def missing_spans(spans: DataFrame, expected: list[str] = EXPECTED_SPANS) -> Dat
 def trace_integrity(spans: DataFrame) -> DataFrame:
     """(I) Per trace: spans, roots, children without parent in the trace, children of another trace.
 
-    Children are counted per (parent, trace) before the joins, so a parent with very many
-    children is one row there.
+    One pass gives, per span id and trace, how often the id is a span there and how often a
+    parent. A parent with very many children is one row of that, and all counts follow
+    from these rows, which are written once because they are read three times.
     """
-    own = spans.groupBy("trace_id").agg(
-        F.count("*").alias("spans"), F.count_if(F.col("parent_span_id").isNull()).alias("roots"))
-    ids = spans.select("span_id", "trace_id").distinct()
-    children = spans.where("parent_span_id is not null").groupBy("parent_span_id", "trace_id").agg(
-        F.count("*").alias("n"))
-    lost = children.join(ids.withColumnRenamed("span_id", "parent_span_id"), ["parent_span_id", "trace_id"], "left_anti")
-    anywhere = ids.select(F.col("span_id").alias("parent_span_id")).distinct().withColumn("elsewhere", F.lit(True))
-    flagged = lost.join(anywhere, "parent_span_id", "left").groupBy("trace_id").agg(
-        F.sum("n").alias("orphans"), F.sum(F.when(F.col("elsewhere"), F.col("n")).otherwise(0)).alias("foreign_parents"))
-    joined = own.join(flagged, "trace_id", "left")
-    return joined.na.fill(0, ["orphans", "foreign_parents"])
+    as_span = F.struct(F.col("span_id").alias("id"), F.lit(1).alias("is_span"))
+    as_parent = F.struct(F.col("parent_span_id").alias("id"), F.lit(0).alias("is_span"))
+    named = spans.select("trace_id", F.explode(F.array(as_span, as_parent)).alias("n")).where("n.id is not null")
+    ids = cut_lineage(named.groupBy("n.id", "trace_id").agg(
+        F.sum("n.is_span").alias("spans"), F.sum(1 - F.col("n.is_span")).alias("children")))
+    known = ids.where("spans > 0").select("id", F.lit(True).alias("elsewhere")).distinct()
+    lost = ids.where("spans = 0").join(known, "id", "left").groupBy("trace_id").agg(
+        F.sum("children").alias("orphans"), F.sum(F.when(F.col("elsewhere"), F.col("children")).otherwise(0)).alias(
+            "foreign_parents"))
+    own = ids.groupBy("trace_id").agg(
+        F.sum("spans").alias("spans"), (F.sum("spans") - F.sum("children")).alias("roots"))
+    return own.join(lost, "trace_id", "left").na.fill(0, ["orphans", "foreign_parents"])
 
 
 def trace_summary(spans: DataFrame) -> DataFrame:

@@ -67,10 +67,9 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when the frame is seen to be small, else the frame as it is.
 
-    ``take`` reads partitions until it has one row more than allowed, so a large frame is
-    given up on early; only empty rows reach the driver. Without the hint Catalyst plans a
+    Asking for one row after the allowed number reads partitions only until that many rows
+    are found, so a large frame is given up on early. Without the hint Catalyst plans a
     shuffled join, which adaptive execution splits on skewed keys.
     """
-    if len(df.select(F.lit(1)).take(rows + 1)) <= rows:
-        return F.broadcast(df)
-    return df
+    more = df.select(F.lit(1)).offset(rows).take(1)
+    return df if more else F.broadcast(df)
