@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,12 +32,29 @@ def update_table(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> St
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+@contextmanager
+def one_state_partition_per_core(spark: SparkSession):
+    """Shuffle partitions of streams started inside: at most one per core.
+
+    A stream keeps its number of state partitions for life, and each costs files per batch.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def finish(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote."""
     spark = df.sparkSession
     folder = run_folder(spark, name)
     write = append_table if mode == "append" else update_table
-    write(df, f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    with one_state_partition_per_core(spark):
+        query = write(df, f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True})
+    query.awaitTermination()
     schema = df.schema.add("batch", T.IntegerType()) if mode == "update" else df.schema
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
