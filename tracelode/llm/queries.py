@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelode.llm import mixing, packing
+from tracelode.llm import chat, fingerprints, language, mixing, packing, pages, topk
 from tracelode.sources.tables import table
 
 
@@ -17,6 +17,37 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, by models of the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return fingerprints.edited(table(spark, folder, "documents"))
+
+
+def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return pages.extract(table(spark, folder, "pages"))
+
+
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    text = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    return chat.read_back(chat.chat_segments(rows))
+
+
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 highest inner products of every hundredth vector with all others."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("row"))
+    return topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken of each document when sources share all words by weights 1, 2, 3."""
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -28,8 +59,40 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_page_text": op4_page_text,
+    "op5_chat_format": op5_chat_format,
+    "op7_top_k": op7_top_k,
     "op8_source_mixing": op8_source_mixing,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+#: op7: the scaled components once per row, then every query against all other rows.
+_OP7 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as r from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.r, v.r)::bigint as score
+      from v q join v on q.vec_id <> v.vec_id and len(q.r) = len(v.r) where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 10
+"""
+
+#: op5: digests of the turns as given; the formatted length from the template's own marks and one backslash a control string.
+_OP5 = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, len(regexp_extract_all(text, '<\\*(\|turn\|>|\|end\|>|s>|/s>)|\[\\*(INST\]|/INST\])')) as marks,
+             lag(role, 1, '') over (partition by conv_id order by turn, role, text) as state,
+             row_number() over (partition by conv_id order by turn desc, role desc, text desc) as back from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(len(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(len('<|turn|>' || role) + 1 + len(text) + marks + len('<|end|>') + 1)::bigint as formatted_chars,
+       bool_and((state, role) in (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) as valid,
+       bool_and((state, role) in (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+         and bool_or(back = 1 and role = 'assistant') as complete
+from t group by conv_id
+"""
+
+ORACLE: dict[str, str] = {"op5_chat_format": _OP5, "op7_top_k": _OP7}
