@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import mixing, packing, queries
+from tracelode.llm import language, minhash, mixing, packing, queries, suffixes
 from tracelode.session import run_folder
 from tracelode.sources.tables import table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that the language models reject."""
+    return language.keep_known(docs, language.learn(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of near-duplicates."""
+    return minhash.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 200-byte strings that also start elsewhere; texts that nothing is left of go."""
+    return suffixes.without_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their source's target asks for; a document taken in part holds the part."""
     return mixing.mixed_documents(docs)
@@ -22,6 +37,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", known_language),
+    ("MinHash near-dedup", one_of_each),
+    ("suffix-array dedup", without_repeats),
     ("source mixing", mix),
     ("packing", pack),
 ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelode.llm import chat, fingerprints, language, mixing, packing, pages, topk
+from tracelode.llm import chat, fingerprints, language, minhash, mixing, packing, pages, subtrees, suffixes, topk
 from tracelode.sources.tables import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document: five-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, by models of the documents that are not held out."""
     docs = table(spark, folder, "documents")
@@ -42,6 +47,11 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.chat_segments(rows))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without 200-byte strings that also start elsewhere."""
+    return suffixes.removed(table(spark, folder, "documents"))
+
+
 def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 highest inner products of every hundredth vector with all others."""
     vectors = table(spark, folder, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("row"))
@@ -53,18 +63,26 @@ def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without 50-word windows that start in an earlier document."""
+    return subtrees.removed(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_page_text": op4_page_text,
     "op5_chat_format": op5_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_top_k": op7_top_k,
     "op8_source_mixing": op8_source_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
@@ -95,4 +113,17 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from t group by conv_id
 """
 
-ORACLE: dict[str, str] = {"op5_chat_format": _OP5, "op7_top_k": _OP7}
+#: op9: every window's first document, then the words that no window of an earlier document covers.
+_OP9 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as i from d),
+g as (select doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) as h from p),
+f as (select h, min(doc_id) as first from g group by h),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as j from g join f using (h) where first < doc_id),
+k as (select doc_id, list(j) as gone from c group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, j: not list_contains(gone, j)) end, ' ')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op9_substring_dedup": _OP9, "op5_chat_format": _OP5, "op7_top_k": _OP7}
