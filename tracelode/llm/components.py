@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (the least node of it) for every node of `links` (a, b); nodes of no link are not in the result."""
+    """node and component (the least node of it) for the nodes of `links` (a, b) other than that least node itself."""
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
     state = None
     while True:
