@@ -27,21 +27,23 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces of one group, about; bounds the memory of a packing task.
 GROUP = 4096
-#: Words whose ids a task keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a task keeps: those of the current generation, and those of the one before until they are met again.
+KEPT_WORDS = 500_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, sequence_tokens bigint"
 
 #: Unicode does not count these as white space, str.split() does.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Behind letters, a run of these is one token of the vocabulary's splitter. The apostrophe is not: 's and the like are cut off.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
     """Token ids of texts as little-endian bytes, looked up word by word.
 
     The vocabulary's splitter never joins what white space separates, so a text's ids are those of its words. A word of
-    plain letters and a tail of full stops and commas is looked up in two parts; unknown letter words are encoded together.
+    plain letters and a tail of ASCII punctuation is looked up in two parts; unknown letter words are encoded together.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,39 +55,59 @@ class WordIds:
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._ends = ends
         self._ids: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str] | None:
-        letters = word.rstrip(".,")
-        if not letters.isalpha() or max(letters) > "ɏ":
-            return None
-        return (letters.lower() if letters.isascii() else letters), word[len(letters):]
+    def _known(self, words: set[str]) -> list[str]:
+        """Brings words back from the generation before; returns those that are in neither."""
+        ids, before = self._ids, self._before
+        unknown = []
+        for word in words:
+            if word not in ids:
+                found = before.get(word)
+                if found is None:
+                    unknown.append(word)
+                else:
+                    ids[word] = found
+        return unknown
 
     def _learn(self, words: set[str]) -> None:
+        if len(self._ids) + len(words) > KEPT_WORDS:
+            self._ids, self._before = {}, self._ids
         ids = self._ids
-        split = {word: self._parts(word) for word in words}
-        letters = sorted({p[0] for p in split.values() if p} - ids.keys())
-        if letters:
-            found = np.array(self._tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+        whole, split, letters = [], [], set()
+        for word in self._known(words):
+            plain = word.rstrip(_TAIL)
+            if not plain.isalpha() or not plain.isascii() and max(plain) > "ɏ":
+                whole.append(word)
+                continue
+            if plain.isascii():
+                plain = plain.lower()
+            split.append((word, plain))
+            letters.add(plain)
+        unknown = self._known(letters)
+        if unknown:
+            found = np.array(self._tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self._ends[found]) + 1
-            if len(cuts) == len(letters) and cuts[-1] == len(found):
+            if len(cuts) == len(unknown) and cuts[-1] == len(found):
                 data, begin = found.tobytes(), 0
-                for word, end in zip(letters, cuts.tolist()):
-                    ids[word] = data[4 * begin : 4 * end]
+                for word, end in zip(unknown, (4 * cuts).tolist()):
+                    ids[word] = data[begin:end]
                     begin = end
             else:
-                ids.update((word, self.encode(word)) for word in letters)
-        for word, parts in split.items():
-            if parts is None:
-                ids[word] = self.encode(word)
-            elif parts[0] != word:
-                tail = parts[1]
-                if tail and tail not in ids:
+                ids.update((word, self.encode(word)) for word in unknown)
+        for word in whole:
+            ids[word] = self.encode(word)
+        for word, plain in split:
+            tail = word[len(plain):]
+            if tail:
+                if tail not in ids:
                     ids[tail] = self.encode(tail)
-                ids[word] = ids[parts[0]] + (ids[tail] if tail else b"")
+                ids[word] = ids[plain] + ids[tail]
+            elif word != plain:
+                ids[word] = ids[plain]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         cut = [None if _SEPARATORS.search(text) else text.split() for text in texts]
@@ -93,9 +115,7 @@ class WordIds:
         for words in cut:
             if words:
                 wanted.update(words)
-        if len(self._ids) + len(wanted) > KEPT_WORDS:
-            self._ids.clear()
-        self._learn(wanted - self._ids.keys())
+        self._learn(wanted)
         get = self._ids.__getitem__
         for text, words in zip(texts, cut):
             yield self.encode(text) if words is None else b"".join(map(get, words))
