@@ -76,12 +76,10 @@ def test_running_values_with_a_hot_key(spark, parts):
     assert len(got) == len(rows)
 
 
-def test_snapshot_must_not_be_empty(spark):
-    empty = outcomes(spark, [("e", True, 1)])
-    with pytest.raises(Exception, match="no events found"):
-        events.stats_snapshot(empty, connections(spark, [1])).collect()
-    with pytest.raises(Exception, match="too many event names"):
-        events.stats_snapshot(outcomes(spark, [("a", False, 1), ("b", False, 1)]), connections(spark, [1]), 1).collect()
+def test_snapshot_is_rows(spark):
+    rows = events.stats_snapshot(outcomes(spark, [("a", False, 4), ("b", False, 6), ("b", True, 1)]), connections(spark, [1, 1, -1])).collect()
+    assert sorted((r.event_name or "", r.total, r.active, r["count"], r.errors) for r in rows) == [
+        ("", 2, 1, None, None), ("a", None, None, 1, 0), ("b", None, None, 1, 1)]
 
 
 def test_exposition_text(spark):

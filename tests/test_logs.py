@@ -65,6 +65,8 @@ def test_existing_names_win(spark):
     named = logs.log_transform(df.withColumn("severity_text", F.lit(None).cast("string")).withColumn("log", F.lit("t")))
     assert [tuple(r) for r in named.select("service_name", "operation", "body").collect()] == [
         ("b", "log.unknown", "t"), ("a", "log.unknown", "t")]
+    kept = logs.log_transform(named.withColumn("operation", F.lit("own")))
+    assert {r.operation for r in kept.collect()} == {"own"}
 
 
 def test_long_lines_are_measured_in_bytes(spark):

@@ -59,11 +59,12 @@ def test_no_known_word(spark):
     assert best(spark, "é quux") == [(None, 0.0)]
 
 
-def test_many_texts_of_one_shape_with_a_shuffled_index(spark, monkeypatch):
-    """The join without broadcast gives the same result."""
-    expected = best(spark, *["show logs"] * 20, "stop everything")
-    monkeypatch.setattr(matching, "broadcast_if_small", lambda df: df)
-    assert best(spark, *["show logs"] * 20, "stop everything") == expected
+def test_a_catalogue_in_parts(spark, monkeypatch):
+    """Several passes over the texts give the same result as one."""
+    texts = [*["show logs"] * 20, "stop everything", "é quux", "database", ""]
+    expected = best(spark, *texts)
+    monkeypatch.setattr(matching, "ENTRIES_PER_PASS", 3)
+    assert best(spark, *texts) == expected
 
 
 def test_route(spark):

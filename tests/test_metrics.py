@@ -20,6 +20,8 @@ def test_exposition(spark):
     assert rows["a"].value == 1 and rows["a"].labels == {}
     assert rows["b"].value == 2500 and rows["b"].labels == {"job": "x", "path": 'a\\"b'}
     assert set(rows) == {"a", "b", "ws:c"}
+    twice = texts.exposition_load(lines(spark, 'm{a="1",b="2",a="3"} 4')).first()
+    assert twice.labels == {"a": "1", "b": "2"} and twice.value == 4
 
 
 def test_query_result(spark):

@@ -39,6 +39,17 @@ def test_funnel(spark):
     assert got == {"full": (6, None), "swap": (1, "server.connected"), "none": (0, "client.connect")}
 
 
+def test_funnel_takes_the_next_message_of_a_stage(spark):
+    """An early question must not hide the one that follows the request."""
+    events = ["client.connect", "server.connected", "kc.question", "kc.request.next", "kc.question", "kc.answer.submit", "kc.answer.result"]
+    stages = ["client.connect", "server.connected", "kc.request.next", "kc.question", "kc.answer.submit", "kc.answer.result"]
+    rows = [("s", datetime(2024, 1, 1, 0, 0, i), e) for i, e in enumerate(events)]
+    rows += [("early", datetime(2024, 1, 1, 0, 0, i), e) for i, e in enumerate(events[:3] + events[3:4])]
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp, event string")
+    got = {r.session_id: (r.stages_reached, r.first_missing) for r in sessions.session_funnel(df, stages).collect()}
+    assert got == {"s": (6, None), "early": (3, "kc.question")}
+
+
 def test_envelopes(spark):
     raw = ['{"event":"client.connect","data":{"token":"x"},"meta":{"timestamp":1700000000123,"user_id":"u"}}',
            '{"event":"nope","data":{},"meta":{}}', '{"event":"client.connect","data":3,"meta":{}}', '{"event":"client.conn', "",

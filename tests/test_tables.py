@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracelode import session
 from tracelode.operators import checks, errors, graph, learning
 from tracelode.plans import sql
 from tracelode.sources import sinks
@@ -24,11 +23,23 @@ def test_cycle_gets_one_last_level(spark):
     assert got == {"a": 0, "b": 1, "x": 2, "y": 2, "z": 2}
 
 
-def test_long_chain_and_cap(spark):
-    chain = [(f"{i + 1}", f"{i}") for i in range(9)]
-    assert levels(spark, chain, cut_every=2)["9"] == 9
-    with pytest.raises(RuntimeError):
-        levels(spark, chain, max_rounds=3)
+def test_long_chain(spark):
+    chain = [(f"{i + 1}", f"{i}") for i in range(70)]
+    assert levels(spark, chain) == {str(i): i for i in range(71)}
+    assert levels(spark, chain[:9] + [("9", "3")]) == {str(i): i for i in range(10)}
+
+
+def test_lone_nodes_have_a_level(spark):
+    assert levels(spark, [("a", "b"), ("lone", None), ("b", None), (None, "x")]) == {"a": 1, "b": 0, "lone": 0}
+    assert levels(spark, [("a", "b"), ("a", "c"), ("lone", None), ("c", "b")]) == {"a": 2, "b": 0, "c": 1, "lone": 0}
+    assert levels(spark, [("x", "y"), ("y", "x"), ("lone", None)]) == {"lone": 0, "x": 1, "y": 1}
+    assert levels(spark, []) == {}
+
+
+def test_spans_delivered_twice(spark):
+    rows = [("t", str(i), str(i - 1) if i else None) for i in range(8)] * 2
+    got = graph.span_depth(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string")).collect()
+    assert sorted((int(r.span_id), r.depth) for r in got) == [(i, i) for i in range(8)]
 
 
 def test_span_depth(spark):
@@ -121,10 +132,3 @@ def test_signals_are_partitioned(spark, tmp_path):
     back = sinks.read_signal(spark, str(tmp_path / "out"), "logs")
     assert back.count() == 2 and back.where("day = '2024-01-02'").first().v == 2
     assert "PartitionFilters: [isnotnull(day" in back.where("day = '2024-01-02'")._jdf.queryExecution().toString()
-
-
-def test_broadcast_only_when_counted_small(spark):
-    df = spark.range(100)
-    def hinted(frame):
-        return "broadcast" in frame._jdf.queryExecution().logical().toString()
-    assert hinted(session.broadcast_if_small(df, 100)) and not hinted(session.broadcast_if_small(df, 99))

@@ -121,3 +121,26 @@ def test_query_spans(spark):
     df = spark.createDataFrame(rows, "operation string, status string, duration_us bigint, param_count int")
     got = {r.operation: tuple(r)[1:] for r in traces.query_span_stats(df).collect()}
     assert got == {"db.query": (2, 1, 12, 1.0), "db.transaction.save": (1, 0, 1, None)}
+
+
+def test_span_event_attributes(spark):
+    df = spark.createDataFrame([(1, '[{"name":"cache.miss","key":"k1","n":3},{"name":"query failed","level":"error","error.message":"boom"}]')], "span_id int, events string")
+    rows = [tuple(r) for r in traces.span_events(df).collect()]
+    assert rows == [(1, "cache.miss", None, None, {"key": "k1", "n": "3"}),
+                    (1, "query failed", "error", "boom", {"level": "error", "error.message": "boom"})]
+
+
+def test_logs_meet_the_innermost_span(spark):
+    from datetime import datetime, timedelta
+
+    from tracelode.operators import logs
+    start = datetime(2024, 1, 1)
+    spans = spark.createDataFrame([("t", "outer", "root", start, 600_000_000), ("t", "inner", "step", start + timedelta(seconds=100), 50_000_000),
+                                   ("t", "short", "step2", start + timedelta(seconds=100), 20_000_000)],
+                                  "trace_id string, span_id string, operation string, start_ts timestamp, duration_us bigint")
+    at = lambda s: start + timedelta(seconds=s)
+    rows = [(1, "t", None, at(110)), (2, "t", None, at(130)), (3, "t", None, at(500)), (4, "t", None, at(700)), (5, "t", "inner", at(110)),
+            (6, "t", "inner", at(400)), (7, None, None, at(110))]
+    df = spark.createDataFrame(rows, "id int, trace_id string, span_id string, ts timestamp")
+    got = {r.id: (r.span_id, r.operation) for r in logs.log_trace_join(df, spans, ["id"]).collect()}
+    assert got == {1: ("short", "step2"), 2: ("inner", "step"), 3: ("outer", "root"), 5: ("inner", "step")}

@@ -22,21 +22,46 @@ def brute(v, q, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("broadcast", [4096, 3])
-def test_exact(spark, monkeypatch, metric, broadcast):
-    """Both ways: broadcast queries, and blocks against blocks."""
-    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", broadcast)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_exact(spark, monkeypatch, metric, chunk):
+    """With one scan and with several, and batches far smaller than a task's rows."""
+    monkeypatch.setattr(vectors, "QUERIES_PER_SCAN", chunk)
     v, q, store, asked = frames(spark)
-    out = getattr(vectors, f"knn_{metric}")(store, asked, 5, 8).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = getattr(vectors, f"knn_{metric}")(store, asked, 5, 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.query_id, r["rank"]): r.vec_id for r in out} == brute(v, q, 5, metric)
 
 
-def test_ties_and_wrong_lengths(spark):
-    store = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [1.0]), (4, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
-    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, query array<double>")
-    assert [r.vec_id for r in vectors.knn_cosine(store, asked, 3, 2).orderBy("rank").collect()] == [1, 2, 4]
+def test_ties_nulls_and_wrong_lengths(spark):
+    rows = [(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0, 0.0, 5.0, 2.0]), (7, [-1.0, 0.0])]
+    store = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "query_id bigint, query array<double>")
+    found = {}
+    for r in vectors.knn_cosine(store, asked, 9, 2).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.distance))
+    assert found[0] == [(1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0), (6, 1.0), (7, 2.0)]
+    assert found[1] == [(i, 1.0) for i in (1, 2, 3, 4, 6, 7)]
     assert vectors.knn_cosine(store, asked.limit(0), 3, 2).count() == 0
+    with pytest.raises(Exception, match="must have 2 values"):
+        vectors.knn_l2(store, asked.where("query_id = 0"), 3, 2).collect()
+    with pytest.raises(Exception, match="must have 2 values"):
+        vectors.assign_lists(store, np.zeros((1, 2))).collect()
+    good = store.where("embedding is null or size(embedding) = 2")
+    assert [r.vec_id for r in vectors.knn_l2(good, asked.where("query_id = 0"), 9, 2).orderBy("rank").collect()] == [1, 2, 4, 7]
+    assert sorted(r.vec_id for r in vectors.assign_lists(good, np.zeros((1, 2))).collect()) == [1, 2, 4, 7]
+
+
+def test_written_lists_are_pruned(spark, tmp_path):
+    v, q, store, asked = frames(spark)
+    listed = vectors.write_lists(store, v[:6], str(tmp_path / "lists"))
+    out = vectors.knn_ivf(listed, asked.where("query_id = 0"), v[:6], 5, 2)
+    plan = out._jdf.queryExecution().toString()
+    assert "PartitionFilters: [list_id" in plan or "list_id#" in plan.split("PartitionFilters", 1)[1][:200]
+    many = vectors.knn_ivf(listed, asked, v[:6], 5, 6)
+    assert vectors.recall(many, vectors.knn_l2(store, asked, 5, 8)).first().recall == 1.0
 
 
 def test_lists(spark):

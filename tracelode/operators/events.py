@@ -63,21 +63,12 @@ def active_gauge(df: DataFrame, parts: int | None = None) -> DataFrame:
     return running_sum(cut, [], order, F.col("delta"), "active").drop("_slice")
 
 
-def stats_snapshot(events: DataFrame, connections: DataFrame, max_names: int = 100_000) -> DataFrame:
-    """(I) All stats in one row with a map per event name.
-
-    The row holds one entry per *name*, never per event. More than ``max_names`` names, or
-    none, is an error: use ``event_stats`` for open-ended name sets.
-    """
-    entry = F.struct("event_name", F.struct("count", "errors", "avg_latency_ns", "latency_samples"))
-    stats = event_stats(events)
-    names = stats.limit(max_names + 1).agg(F.map_from_entries(F.collect_list(entry)).alias("events"))
-    size = F.size("events")
-    checked = names.select(
-        F.when(size == 0, F.raise_error(F.lit("no events found")).cast(names.schema["events"].dataType))
-        .when(size > max_names, F.raise_error(F.lit("too many event names")).cast(names.schema["events"].dataType))
-        .otherwise(F.col("events")).alias("events"))
-    return _one_row(connection_totals(connections), checked)
+def stats_snapshot(events: DataFrame, connections: DataFrame) -> DataFrame:
+    """(I) All stats as rows: one of the connections (event_name null), one per event name."""
+    empty = {c: F.lit(None).cast("bigint") for c in ("count", "errors", "avg_latency_ns", "latency_samples")}
+    whole = connection_totals(connections).select(F.lit(None).cast("string").alias("event_name"), "total", "active", *[v.alias(c) for c, v in empty.items()])
+    names = event_stats(events).select("event_name", *[F.lit(None).cast("bigint").alias(c) for c in ("total", "active")], *empty)
+    return whole.unionByName(names)
 
 
 def metric_name(event: str) -> str:

@@ -4,55 +4,73 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tracelode.session import cut_lineage
+from tracelode.session import run_folder, written
 
 
-def dependency_levels(edges: DataFrame, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
-    """(I) Level of each node so that its dependencies have lower ones; ``edges`` is (node, dep).
+def _climbed(steps: DataFrame, key: list[str]) -> DataFrame:
+    """Steps from each node up to the end of its chain, null on a cycle; ``steps`` is (key, up), unique by key.
 
-    Each round places the nodes that wait for nothing and drops the edges to them, so the
-    work shrinks with every round. Nodes on or behind a cycle get one last level. The
-    round cap is an error, never a wrong level.
+    The last column of ``key`` is what ``up`` names. Each round doubles the distance that a node has looked up. Nodes that
+    have arrived are written once and only looked up afterwards; a name that is not there ends the chain before it.
     """
-    waiting = cut_lineage(edges.select("node", "dep").where("node is not null and dep is not null").distinct())
-    left = cut_lineage(waiting.select("node").union(waiting.select("dep")).distinct())
-    placed = []
-    for level in range(max_rounds):
-        ready = cut_lineage(left.join(waiting.select("node").distinct(), "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        placed.append(ready.withColumn("level", F.lit(level)))
-        left = left.join(ready, "node", "left_anti")
-        waiting = waiting.join(ready.withColumnRenamed("node", "dep"), "dep", "left_anti")
-        if level % cut_every == cut_every - 1:
-            left, waiting = cut_lineage(left), cut_lineage(waiting)
-    else:
-        raise RuntimeError(f"more than {max_rounds} levels; raise max_rounds")
-    placed.append(left.withColumn("level", F.lit(len(placed))))
-    return reduce(DataFrame.unionByName, placed)
+    within, own = key[:-1], key[-1]
+    state = written(steps.select(*key, "up", F.col("up").isNotNull().cast("bigint").alias("depth")), "climb")
+    arrived, climbing = [state.where("up is null")], state.where("up is not null")
+    longest = state.groupBy(*within).count().agg(F.max("count")).first()[0] if within else state.count()
+    reach = 1
+    while reach <= 2 * (longest or 0) and not climbing.isEmpty():
+        known = reduce(DataFrame.unionByName, [*arrived, climbing])
+        above = known.select(*within, F.col(own).alias("up"), F.col("up").alias("next_up"), F.col("depth").alias("more"))
+        # No row above: the last step led to a node that is not there.
+        moved = written(climbing.join(above, [*within, "up"], "left").select(
+            *key, F.col("next_up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(-1))).alias("depth")), "climb")
+        arrived.append(moved.where("up is null"))
+        climbing = moved.where("up is not null")
+        reach *= 2
+    return reduce(DataFrame.unionByName, [*arrived, climbing]).select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+def dependency_levels(edges: DataFrame) -> DataFrame:
+    """(I) Level of each node so that its dependencies have lower ones; ``edges`` is (node, dep), dep null for a lone node.
+
+    Nodes on or behind a cycle get one last level. Where no node has two dependencies, the
+    level is the length of its chain, found in a logarithmic number of rounds. Otherwise
+    each round places the nodes that wait for nothing and drops the edges to them; a round
+    places a node or is the last, so no cap is needed. Levels are written as they are found.
+    """
+    spark = edges.sparkSession
+    pairs = written(edges.select("node", "dep").where("node is not null").distinct(), "edges")
+    waiting = pairs.where("dep is not null")
+    nodes = pairs.select("node").union(waiting.select("dep")).distinct()
+    if waiting.groupBy("node").count().where("count > 1").isEmpty():
+        depth = written(_climbed(nodes.join(waiting.withColumnRenamed("dep", "up"), "node", "left"), ["node"]), "depths")
+        last = depth.agg(F.coalesce(F.max("depth") + 1, F.lit(0))).first()[0]
+        return depth.select("node", F.coalesce("depth", F.lit(last)).cast("int").alias("level"))
+    folder, level = run_folder(spark, "levels"), 0
+    left = written(nodes, "left")
+    while True:
+        ready = left.join(waiting.select("node").distinct(), "node", "left_anti")
+        ready.write.parquet(f"{folder}/level={level}")
+        placed = spark.read.schema(left.schema).parquet(f"{folder}/level={level}")
+        if placed.isEmpty():
+            left.write.mode("overwrite").parquet(f"{folder}/level={level}")
+            return spark.read.parquet(folder).select("node", F.col("level").cast("int").alias("level"))
+        left = written(left.join(placed, "node", "left_anti"), "left")
+        waiting = written(waiting.join(placed.withColumnRenamed("node", "dep"), "dep", "left_anti"), "waiting")
+        level += 1
+
+
+def _first(column: str) -> Column:
+    return F.min(column).alias("up")
 
 
 def span_depth(spans: DataFrame) -> DataFrame:
-    """(S) Steps from each span up to the root of its tree; null on a cycle of parents.
+    """(S) Steps from each span up to the root of its tree, one row per distinct (trace, span); null on a cycle of parents.
 
-    A parent that is not in the trace counts as absent. Each round doubles the distance a
-    span has looked up, so a tree of depth d takes log2(d) joins. The looked-up side is
-    unique by (trace, span); a parent of very many spans is split by the skew join.
+    A parent that is not in the trace counts as absent. A span delivered twice is one span;
+    if its deliveries name different parents, the least one counts.
     """
     key = ["trace_id", "span_id"]
-    has_parent = F.col("parent_span_id").isNotNull()
-    # ``depth`` counts the steps to ``up``, which is null once the root is reached.
-    state = cut_lineage(spans.select(*key, F.col("parent_span_id").alias("up"), has_parent.cast("int").alias("depth")))
-    reach, total = 1, state.count()
-    while reach <= 2 * total and not state.where("up is not null").isEmpty():
-        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next_up"),
-                             F.col("depth").alias("more"))
-        climbing = state.where("up is not null").join(above, ["trace_id", "up"], "left")
-        # No row above: the last step led to a span that is not there.
-        moved = climbing.select(*key, F.col("next_up").alias("up"),
-                                (F.col("depth") + F.coalesce("more", F.lit(-1))).alias("depth"))
-        state = cut_lineage(state.where("up is null").unionByName(moved))
-        reach *= 2
-    return state.select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return _climbed(spans.groupBy(*key).agg(_first("parent_span_id")), key)

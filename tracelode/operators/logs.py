@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracelode.functions import severity
 from tracelode.functions.once import with_once
 from tracelode.operators.ordered import previous, running_sum, slices
+from tracelode.operators.sessions import window_number
 
 # Texts that mark a failing exporter. They look like patterns but are
 # searched as plain text, so the second one matches only its literal spelling.
@@ -76,10 +77,10 @@ def modify_fields(df: DataFrame, environment: str = "development") -> DataFrame:
 
 
 def log_transform(df: DataFrame, unknown: str = "unknown-service") -> DataFrame:
-    """(I) Service name, operation and body of a log record."""
+    """(I) Service name, operation and body of a log record; an operation it has is kept."""
     given = [F.col(c) for c in ("service_name", "container_name") if c in df.columns]
     out = df.withColumn("service_name", F.coalesce(*given, F.lit(unknown)))
-    out = out.withColumn("operation", F.coalesce(F.concat(F.lit("log."), F.col("severity_text")), F.lit("log.unknown")))
+    out = _with_default(out, "operation", F.coalesce(F.concat(F.lit("log."), F.col("severity_text")), F.lit("log.unknown")))
     return _with_default(out, "body", F.col("log"))
 
 
@@ -163,12 +164,25 @@ def log_tail(df: DataFrame, keys: list[str], order: list[str], lines: int = 100)
     return df.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= lines)
 
 
-def log_trace_join(logs: DataFrame, spans: DataFrame, log_time: str = "ts") -> DataFrame:
-    """(D) Log rows with the span they name, when written while it ran.
+def log_trace_join(logs: DataFrame, spans: DataFrame, key: list[str], log_time: str = "ts", step_seconds: int = 60) -> DataFrame:
+    """(D) Log rows (unique by ``key``) with the span they were written in.
 
-    Trace and span id are the equality keys, the time test is a residual.
+    A row that names its span joins by trace and span id, if written while it ran. A row
+    with a trace id only gets the innermost span that ran then: the last to start, of those
+    the shortest, then by id. Spans are cut into steps of time for that, so a long trace is
+    many join keys.
     """
-    end = F.col("start_ts") + F.make_dt_interval(secs=F.col("duration_us") / F.lit(1e6))
-    inside = F.col(log_time).between(F.col("start_ts"), end)
-    wide = spans.select("trace_id", "span_id", "operation", "start_ts", "duration_us")
-    return logs.join(wide, ["trace_id", "span_id"]).where(inside)
+    end = F.timestamp_add("MICROSECOND", F.col("duration_us"), F.col("start_ts"))
+    wide = spans.select("trace_id", F.col("span_id").alias("_span"), "operation", "start_ts", "duration_us", end.alias("_end"))
+    inside = F.col(log_time).between(F.col("start_ts"), F.col("_end"))
+    named = logs.where("span_id is not null").join(wide, (logs["trace_id"] == wide["trace_id"]) & (F.col("span_id") == F.col("_span"))).where(inside)
+    named = named.drop(wide["trace_id"]).drop("_span", "start_ts", "duration_us", "_end")
+    first, last = window_number(F.col("start_ts"), step_seconds), window_number(F.col("_end"), step_seconds)
+    steps = wide.withColumn("_step", F.explode(F.sequence(first, last)))
+    rest = logs.where("span_id is null and trace_id is not null").withColumn("_step", window_number(F.col(log_time), step_seconds))
+    candidates = rest.join(steps, ["trace_id", "_step"]).where(inside)
+    order = F.struct(F.unix_micros(F.col("start_ts").cast("timestamp")) * -1, "duration_us", "_span")
+    innermost = candidates.groupBy(*key).agg(F.min_by(F.struct("_span", "operation"), order).alias("_s"))
+    found = rest.drop("_step", "span_id").join(innermost, key).select(
+        *[F.col("_s._span").alias("span_id") if c == "span_id" else F.col(c) for c in logs.columns], F.col("_s.operation").alias("operation"))
+    return named.select(*logs.columns, "operation").unionByName(found)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tracelode.functions.text import token_rows
-from tracelode.session import broadcast_if_small, cut_lineage
+from tracelode.functions.once import with_once
+from tracelode.functions.text import token_rows, tokens
+from tracelode.session import cut_lineage
 
 # The command catalogue (name, description, examples).
 COMMANDS = [
@@ -58,65 +64,127 @@ def command_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "entry string, text string")
 
 
+# Catalogue entries scored in one pass over the texts; a larger catalogue takes more passes, so no broadcast grows with it.
+ENTRIES_PER_PASS = 4096
+# Scores held at a time in a task.
+SCORES = 1 << 20
+
+
 def tokenize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(I) One row per token of a text."""
     return token_rows(df, key, text)
 
 
 def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Times each token is in a text.
+    """(key, token, n): times each token is in a text; one row of ``df`` is one text.
 
-    The texts are shuffled once, by key, before they are cut: that is fewer bytes than their
-    tokens, and all grouping by key and token then stays inside the partition.
+    Counted inside the row, over its sorted tokens, so nothing is shuffled. Where several
+    rows make one text, add up n by (key, token) afterwards.
     """
-    return tokenize(df.select(key, text).repartition(key), key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
+    ordered = with_once(df.select(key, text), "_t", F.array_sort(tokens(F.col(text))))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    starts = with_once(ordered.where(F.size("_t") > 0), "_s", begins)
+    runs = F.transform("_s", lambda at, i: F.struct(
+        F.get("_t", at).alias("token"), (F.coalesce(F.get("_s", i + 1), F.size("_t")) - at).cast("bigint").alias("n")))
+    return starts.select(key, F.inline(runs))
 
 
 def catalogue_index(catalogue: DataFrame) -> DataFrame:
-    """(token, entry, n, norm2) of a catalogue (entry, text); norm2 is the squared norm of the entry."""
-    counts = token_counts(catalogue, "entry").withColumnRenamed("n", "n_entry")
+    """(token, entry, n_entry, norm2_entry) of a catalogue (entry, text); norm2_entry is the squared norm of the entry."""
+    counts = token_counts(catalogue, "entry").groupBy("entry", "token").agg(F.sum("n").alias("n_entry"))
     square = F.sum(F.col("n_entry") * F.col("n_entry")).over(Window.partitionBy("entry"))
     return counts.withColumn("norm2_entry", square)
 
 
-def _counted(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n, norm2) inside the vocabulary, partitioned by key.
+class _Words:
+    """Token lists of a batch as (row, code, n) over a sorted vocabulary; other tokens are left out."""
 
-    Texts are shuffled once, by key, before they are cut into words; all later steps group
-    by the key (and more) and need no further shuffle.
-    """
-    words = tokenize(texts.select(key, text).repartition(key), key, text)
-    kept = words.join(broadcast_if_small(vocabulary), "token", "left_semi")
-    counts = kept.groupBy(key, "token").agg(F.count("*").alias("n"))
-    return counts.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    def __init__(self, column: pa.Array, vocabulary: pa.Array) -> None:
+        codes = pc.index_in(column.flatten(), value_set=vocabulary)
+        row = pc.list_parent_indices(column).to_numpy().astype(np.int64)
+        known = codes.is_valid().to_numpy(zero_copy_only=False)
+        both = row[known] * len(vocabulary) + codes.drop_null().to_numpy().astype(np.int64)
+        pairs, self.n = np.unique(both, return_counts=True)
+        self.row, self.code = pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1)
+        self.norm2 = np.bincount(self.row, weights=self.n.astype(float) ** 2, minlength=len(column))
+
+
+def _with_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return texts.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
 
 
 def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(I) Term counts inside the catalogue's vocabulary and their unit-length weights."""
-    vocabulary = tokenize(catalogue, "entry").select("token").distinct()
-    counted = _counted(texts, vocabulary, key, text)
-    return counted.select(key, "token", "n", (F.col("n") / F.sqrt("norm2")).alias("weight"))
+    """(I) Term counts inside the catalogue's vocabulary and their unit-length weights; one row of ``texts`` is one text.
+
+    Every text is weighed inside its row; the vocabulary is broadcast, a catalogue's words being bounded by a language.
+    """
+    words = sorted(r.token for r in tokenize(catalogue, "entry").select("token").distinct().collect())
+    shared = texts.sparkSession.sparkContext.broadcast(pa.array(words, pa.string()))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def weigh(batches):
+        for batch in batches:
+            found = _Words(batch.column("tokens"), shared.value)
+            weight = found.n / np.sqrt(found.norm2[found.row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(found.row)), shared.value.take(pa.array(found.code)), pa.array(found.n, pa.int64()), pa.array(weight)],
+                names=[key, "token", "n", "weight"])
+
+    return _with_tokens(texts, key, text).mapInArrow(weigh, f"`{key}` {kind}, token string, n bigint, weight double")
+
+
+def _score(texts: DataFrame, index: list, key: str, text: str, kind: str) -> DataFrame:
+    """Best of some entries per text, entries in order of name."""
+    entries = sorted({(r.entry, r.norm2_entry) for r in index})
+    number = {entry: i for i, (entry, _) in enumerate(entries)}
+    words = sorted({r.token for r in index})
+    code = {word: i for i, word in enumerate(words)}
+    postings = np.array(sorted((code[r.token], number[r.entry], r.n_entry) for r in index), dtype=np.int64).reshape(-1, 3)
+    begin = np.searchsorted(postings[:, 0], np.arange(len(words) + 1))
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (pa.array(words, pa.string()), postings, begin, np.array([n for _, n in entries], dtype=float), [e for e, _ in entries]))
+
+    def best(batches):
+        vocabulary, rows, first, norms, names = shared.value
+        step = max(1, SCORES // max(len(names), 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                found = _Words(batch.column("tokens"), vocabulary)
+                count = first[found.code + 1] - first[found.code]
+                place = np.repeat(first[found.code] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                cell = np.repeat(found.row, count) * len(names) + rows[place, 1]
+                dot = np.bincount(cell, weights=np.repeat(found.n, count) * rows[place, 2], minlength=batch.num_rows * len(names))
+                dot = dot.astype(float).reshape(batch.num_rows, len(names))
+                scores = np.divide(dot, np.sqrt(found.norm2[:, None] * norms[None, :]), out=np.zeros_like(dot), where=dot > 0)
+                top = scores.argmax(axis=1) if len(names) else np.zeros(batch.num_rows, np.int64)
+                score = scores[np.arange(len(top)), top] if len(names) else np.zeros(len(top))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key), pa.array([names[i] if s > 0 else None for i, s in zip(top, score)]), pa.array(score)], names=[key, "entry", "confidence"])
+
+    key_kind = texts.schema[key].dataType.simpleString()
+    return _with_tokens(texts, key, text).mapInArrow(best, f"`{key}` {key_kind}, entry {kind}, confidence double")
 
 
 def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(I) Best catalogue entry per text and its confidence (cosine of term counts).
+    """(I) Best catalogue entry per text and its confidence (cosine of term counts); one row of ``texts`` is one text.
 
     Ties go to the first entry by name; a text without a known word has no entry and
-    confidence 0. Counts stay integers up to the one division, so scores do not depend on
-    the order of addition.
+    confidence 0. Texts are scored where they are read, against a bounded part of the
+    catalogue at a time; only with several parts is the best of them found by a group.
+    Dot products and norms are whole numbers, so scores do not depend on the order of
+    addition.
     """
-    index = cut_lineage(catalogue_index(catalogue))   # read twice below
-    counted = _counted(texts, index.select("token").distinct(), key, text)
-    scored = counted.join(broadcast_if_small(index), "token").groupBy(key, "entry").agg(
-        F.sum(F.col("n") * F.col("n_entry")).alias("dot"), F.first("norm2").alias("norm2"),
-        F.first("norm2_entry").alias("norm2_entry"))
-    score = F.col("dot") / F.sqrt(F.col("norm2").cast("double") * F.col("norm2_entry").cast("double"))
-    ranked = scored.withColumn("score", score)
-    best = ranked.groupBy(key).agg(
-        F.min_by(F.struct("entry", "score"), F.struct(-F.col("score"), F.col("entry"))).alias("best"))
-    with_all = texts.select(key).join(best, key, "left")
-    return with_all.select(key, F.col("best.entry").alias("entry"),
-                           F.coalesce("best.score", F.lit(0.0)).alias("confidence"))
+    index = cut_lineage(catalogue_index(catalogue))
+    kind = catalogue.schema["entry"].dataType.simpleString()
+    parts = max(1, -(-index.select("entry").distinct().count() // ENTRIES_PER_PASS))
+    part = F.pmod(F.xxhash64("entry"), F.lit(parts))
+    found = [_score(texts, index.where(part == i).collect(), key, text, kind) for i in range(parts)]
+    if parts == 1:
+        return found[0]
+    order = F.struct(-F.col("confidence"), F.col("entry").isNull(), "entry")
+    return reduce(DataFrame.unionAll, found).groupBy(key).agg(
+        F.min_by("entry", order).alias("entry"), F.max("confidence").alias("confidence"))
 
 
 def intent_route(matches: DataFrame, threshold: float = THRESHOLD, second_opinion: bool = False) -> DataFrame:
@@ -148,7 +216,7 @@ def extract_slots(matches: DataFrame, parameters: DataFrame, text: str = "text")
         has("removeVolumes", "bool").alias("has_volumes"))
     lowered = F.lower(F.col(text))
     service = F.coalesce(*[F.when(lowered.contains(s), s) for s in SERVICES])
-    joined = matches.join(broadcast_if_small(flags), "entry", "left")
+    joined = matches.join(flags, "entry", "left")
     return joined.withColumns({
         "service": F.when(F.col("has_service"), service),
         "detached": F.when(F.col("has_detached") & _holds(lowered, DETACHED_WORDS), True),

@@ -89,15 +89,16 @@ def answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS) -> Dat
 def session_funnel(messages: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """(I) Per session the stages reached in order and the first one missing.
 
-    A stage is reached when all before it are and its first message is not before theirs.
+    A stage is reached at its first message at or after the time the stage before it was
+    reached, so later rounds of a session count. Each stage is one small aggregate over the
+    messages of that stage.
     """
-    times = [F.min(F.when(F.col("event") == stage, F.col("ts"))).alias(f"t{i}") for i, stage in enumerate(stages)]
-    firsts = messages.groupBy("session_id").agg(*times)
-    fine = F.col("t0").isNotNull()
-    missing = F.when(~fine, stages[0])
-    reached = fine.cast("int")
-    for i, stage in enumerate(stages[1:], 1):
-        fine = fine & F.col(f"t{i}").isNotNull() & F.coalesce(F.col(f"t{i}") >= F.col(f"t{i - 1}"), F.lit(False))
-        missing = missing.when(~fine, stage)
-        reached = reached + fine.cast("int")
-    return firsts.select("session_id", reached.alias("stages_reached"), missing.alias("first_missing"))
+    when = messages.select("session_id").distinct()
+    for i, stage in enumerate(stages):
+        own = messages.where(F.col("event") == stage).select("session_id", "ts")
+        if i:
+            own = own.join(when.select("session_id", F.col(f"t{i - 1}").alias("after")), "session_id").where(F.col("ts") >= F.col("after"))
+        when = when.join(own.groupBy("session_id").agg(F.min("ts").alias(f"t{i}")), "session_id", "left")
+    reached = sum(F.col(f"t{i}").isNotNull().cast("int") for i in range(len(stages)))
+    missing = F.coalesce(*[F.when(F.col(f"t{i}").isNull(), F.lit(stage)) for i, stage in enumerate(stages)])
+    return when.select("session_id", reached.alias("stages_reached"), missing.alias("first_missing"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelode.functions.once import with_once
 from tracelode.operators.ordered import running_sum, slices
-from tracelode.session import broadcast_if_small, cut_lineage
+from tracelode.session import cut_lineage
 
 # Operations every full trace holds, and the tags that carry the ids.
 EXPECTED_SPANS = ["ws.connection", "ws.auth", "ws.event.dispatch", "db.query"]
@@ -60,40 +60,39 @@ def correlation_match(spans: DataFrame, id_sets: DataFrame) -> DataFrame:
 
     A join on single ids would pair every id set of a busy user with all its spans. Two
     agreeing hits are needed, so the join key is a *pair*: two different id tags, or one
-    tag present twice. Per pair only the first span can win, so spans are reduced to one
-    row per pair (partial aggregation) before the join.
+    tag present twice. Only pairs that are asked for go on; of each the first span can win,
+    so they are reduced to one narrow row before they meet the id sets. What else a span
+    has is fetched for the spans that won.
     """
-    tagged = with_once(spans, "ids", _id_tags(F.col("tags")))
+    tagged = with_once(spans.select("trace_id", "span_id", "start_ts", "tags"), "ids", _id_tags(F.col("tags"))).drop("tags")
     repeated = F.filter("ids", lambda a: F.size(F.filter("ids", lambda b: a == b)) > 1)
     hit_twice = F.array_distinct(F.transform(repeated, lambda a: _pair(a, a)))
-    # Compared field by field, so the smallest is the first by (start_ts, span_id).
-    first = F.struct("start_ts", "span_id", "trace_id", "operation", "ids")
-    by_pair = tagged.select(
-        F.explode(F.concat(_pairs(F.col("ids")), hit_twice)).alias("pair"), first.alias("span"))
-    first_by_pair = by_pair.groupBy("pair").agg(F.min("span").alias("span"))
+    by_pair = tagged.select("start_ts", "span_id", "trace_id", F.explode(F.concat(_pairs(F.col("ids")), hit_twice)).alias("pair"))
 
     wanted = F.array(*[F.struct(F.lit(tag).alias("key"), F.col(c).alias("value")) for c, tag in ID_TAGS.items()])
     sets = with_once(id_sets, "wanted", F.filter(wanted, lambda w: w["value"].isNotNull()))
     asked = F.concat(_pairs(F.col("wanted")), F.transform("wanted", lambda w: _pair(w, w)))
     set_pairs = sets.select("set_id", "wanted", F.explode(asked).alias("pair"))
-    matched = first_by_pair.join(broadcast_if_small(set_pairs), "pair")
-    best = matched.groupBy("set_id").agg(
-        F.min(F.struct("span", "wanted")).alias("best"))
-    hits = F.size(F.filter("best.span.ids", lambda i: F.exists(
-        "best.wanted", lambda w: (w["key"] == i["key"]) & (w["value"] == i["value"]))))
-    return best.select("set_id", F.col("best.span.trace_id").alias("trace_id"), F.col("best.span.span_id").alias("span_id"),
-                       F.col("best.span.operation").alias("operation"), hits.alias("hits"))
+    # Compared field by field, so the smallest is the first by (start_ts, span_id).
+    first = F.min(F.struct("start_ts", "span_id", "trace_id")).alias("span")
+    first_by_pair = by_pair.join(set_pairs.select("pair").distinct(), "pair", "left_semi").groupBy("pair").agg(first)
+    best = first_by_pair.join(set_pairs, "pair").groupBy("set_id").agg(F.min(F.struct("span", "wanted")).alias("best"))
+    won = best.select("set_id", F.col("best.span.trace_id").alias("trace_id"), F.col("best.span.span_id").alias("span_id"), F.col("best.wanted").alias("wanted"))
+    whole = spans.select("trace_id", "span_id", "operation", _id_tags(F.col("tags")).alias("ids"))
+    hits = F.size(F.filter("ids", lambda i: F.exists("wanted", lambda w: (w["key"] == i["key"]) & (w["value"] == i["value"]))))
+    return whole.join(won, ["trace_id", "span_id"]).groupBy("set_id", "trace_id", "span_id").agg(
+        F.min(F.struct(-hits, "operation")).alias("_w")).select("set_id", "trace_id", "span_id", F.col("_w.operation").alias("operation"), (-F.col("_w.col1")).alias("hits"))
 
 
 def missing_spans(spans: DataFrame, expected: list[str] = EXPECTED_SPANS) -> DataFrame:
     """(I) Expected operations absent from a trace, one row each.
 
-    The set kept per trace holds at most the expected names, so a huge trace stays small.
+    One flag per expected name is kept for a trace, however large it is.
     """
-    names = F.array(*[F.lit(name) for name in expected])
-    seen = F.collect_set(F.when(F.col("operation").isin(expected), F.col("operation")))
-    absent = spans.groupBy("trace_id").agg(seen.alias("seen"))
-    return absent.select("trace_id", F.explode(F.array_except(names, F.col("seen"))).alias("missing"))
+    seen = [F.coalesce(F.bool_or(F.col("operation") == name), F.lit(False)).alias(f"_{i}") for i, name in enumerate(expected)]
+    absent = spans.groupBy("trace_id").agg(*seen)
+    missing = F.array(*[F.when(~F.col(f"_{i}"), F.lit(name)) for i, name in enumerate(expected)])
+    return absent.select("trace_id", F.explode(F.filter(missing, lambda m: m.isNotNull())).alias("missing"))
 
 
 def trace_integrity(spans: DataFrame) -> DataFrame:
@@ -173,9 +172,8 @@ def span_red(spans: DataFrame, share: float = 0.95, parts: int | None = None) ->
 
 
 def span_events(df: DataFrame, events: str = "events") -> DataFrame:
-    """(I) Events of a span (JSON list) as log rows with level; an error event carries its message."""
-    schema = "array<struct<name:string,level:string,`error.message`:string>>"
-    rows = df.withColumn("_e", F.explode(F.from_json(F.col(events), schema)))
-    return rows.select(*[c for c in df.columns if c != events], F.col("_e.name").alias("event_name"),
-                       F.coalesce("_e.level", F.lit("info")).alias("level"),
-                       F.col("_e")["error.message"].alias("error_message"))
+    """(I) Events of a span (JSON list of objects) as rows: name, level if it has one, the message of an error, and all
+    attributes but the name as a map. Values that are no text keep their JSON form."""
+    rows = df.withColumn("_e", F.explode(F.from_json(F.col(events), "array<map<string,string>>")))
+    return rows.select(*[c for c in df.columns if c != events], F.col("_e")["name"].alias("event_name"), F.col("_e")["level"].alias("level"),
+                       F.col("_e")["error.message"].alias("error_message"), F.map_filter("_e", lambda k, _: k != "name").alias("attributes"))

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tracelode.session import broadcast_if_small, cut_lineage
+from tracelode.session import cut_lineage
 
-# Queries are broadcast up to this many; more go through ``_grid_join``.
-BROADCAST_QUERIES = 4096
-# Rows of one block of the grid join.
-BLOCK_ROWS = 8192
+# Queries of one scan. More are searched by as many scans as it takes, so a broadcast never grows with them.
+QUERIES_PER_SCAN = 1024
 # Fixed value: number of cluster lists.
 LISTS = 100
 # Scores closer than this are ties, broken by id, so the order does not depend on the
@@ -24,12 +25,16 @@ LISTS = 100
 DIGITS = 9
 
 
-def _matrix(column) -> np.ndarray:
-    """An Arrow list column as a matrix."""
+def _matrix(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of an Arrow list column have ``dim`` values, none of them null, and those rows as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    rows = column.filter(good).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    good = good.to_numpy(zero_copy_only=False).astype(bool)
+    whole = ~np.isnan(rows).any(axis=1)
+    good[good] = whole
+    return good, rows[whole]
 
 
 def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
@@ -42,17 +47,31 @@ def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
     return 1 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
-def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str,
-         allowed: np.ndarray | None = None) -> pa.RecordBatch:
-    """The k nearest of a block per query, smallest rounded distance first, then id."""
-    found = []
-    distances = np.round(_distances(queries, vectors, metric), DIGITS)
-    for row, query_id in enumerate(query_ids):
-        own = np.arange(len(ids)) if allowed is None else np.flatnonzero(allowed[row])
-        near = own[np.lexsort((ids[own], distances[row, own]))[:k]]
-        found.append((np.full(len(near), query_id), ids[near], distances[row, near]))
-    columns = [pa.array(np.concatenate(c)) if found else pa.array([]) for c in zip(*found)]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "distance"])
+class _Best:
+    """The k nearest found so far, per query: smallest rounded distance first, then id."""
+
+    def __init__(self, query_ids: np.ndarray, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.ids = [np.zeros(0, np.int64) for _ in query_ids]
+        self.distances = [np.zeros(0) for _ in query_ids]
+
+    def add(self, ids: np.ndarray, distances: np.ndarray) -> None:
+        """Distances by query and vector; infinite ones are no candidates."""
+        distances = np.round(distances, DIGITS)
+        worst = np.array([d[-1] if len(d) == self.k else np.inf for d in self.distances])
+        near = (distances <= worst[:, None]) & np.isfinite(distances)
+        for row in np.flatnonzero(near.any(1)):
+            own = np.flatnonzero(near[row])
+            all_ids = np.concatenate([self.ids[row], ids[own]])
+            all_distances = np.concatenate([self.distances[row], distances[row, own]])
+            first = np.lexsort((all_ids, all_distances))[: self.k]
+            self.ids[row], self.distances[row] = all_ids[first], all_distances[first]
+
+    def rows(self) -> pa.RecordBatch:
+        counts = [len(x) for x in self.ids]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.query_ids, counts), pa.int64()), pa.array(np.concatenate(self.ids), pa.int64()),
+             pa.array(np.concatenate(self.distances))], names=["query_id", "vec_id", "distance"])
 
 
 TOP = "query_id bigint, vec_id bigint, distance double"
@@ -63,65 +82,66 @@ def _ranked(top: DataFrame, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _grid_join(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Blocks of queries against blocks of vectors; each task holds one block of either side.
-
-    Block numbers come from a hash of the id, so blocks are even whatever the data.
-    """
-    def blocks(df: DataFrame) -> int:
-        return max(1, math.ceil(df.count() / BLOCK_ROWS))
-
-    v_blocks, q_blocks = blocks(vectors), blocks(queries)
+def _strict(df: DataFrame, column: str, dim: int) -> DataFrame:
+    """Rows with a vector; one of another length is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"{column} must have {dim} values, not "), F.size(column).cast("string")))
+    kept = df.where(F.col(column).isNotNull())
+    return kept.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(wrong.cast(df.schema[column].dataType)))
 
-    def placed(df: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(df.columns[0]), F.lit(count)).cast("int")
-        return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
-    def block_top(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not len(q) or not len(v):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                             "distance": pa.array([], pa.float64())})
-        batch = _top(q["query_id"].to_numpy(), _matrix(q["query"]), v["vec_id"].to_numpy(), _matrix(v["embedding"]),
-                     k, metric)
-        return pa.Table.from_batches([batch])
-
-    left = placed(queries, "q_block", q_blocks, "v_block", v_blocks).groupBy("q_block", "v_block")
-    right = placed(vectors, "v_block", v_blocks, "q_block", q_blocks).groupBy("q_block", "v_block")
-    return left.cogroup(right).applyInArrow(block_top, TOP)
+def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list]]:
+    """Ids and vectors of the queries, a bounded number at a time."""
+    count = max(1, math.ceil(queries.count() / QUERIES_PER_SCAN))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    for number in range(count):
+        rows = (queries.where(part == number) if count > 1 else queries).collect()
+        if rows:
+            yield np.array([r.query_id for r in rows], dtype=np.int64), [r.query for r in rows]
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
-    """Exact k nearest of ``vectors`` (vec_id, embedding) for ``queries`` (query_id, query)."""
-    vectors = vectors.select("vec_id", "embedding").where(F.size("embedding") == dim)
-    queries = queries.select("query_id", "query").where(F.size("query") == dim)
-    few = queries.limit(BROADCAST_QUERIES + 1).collect()
-    if len(few) > BROADCAST_QUERIES:
-        return _ranked(_grid_join(vectors, queries, k, metric), k)
-    if not few:
-        return _ranked(vectors.sparkSession.createDataFrame([], TOP), k)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.array([r.query_id for r in few]), np.array([r.query for r in few], dtype=np.float64)))
-
-    def scan(batches):
-        ids, matrix = shared.value
-        for batch in batches:
-            if len(batch):
-                yield _top(ids, matrix, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding")), k, metric)
+    """Exact k nearest of ``vectors`` (vec_id, embedding) for ``queries`` (query_id, query).
 
-    return _ranked(vectors.mapInArrow(scan, TOP), k)
+    Each chunk of queries is one scan: a task keeps a running k best over its batches and
+    sends them once, so what is shuffled is k rows per query and task, never a vector.
+    """
+    vectors, queries = vectors.select("vec_id", "embedding"), queries.select("query_id", "query")
+    if metric == "l2":
+        vectors, queries = _strict(vectors, "embedding", dim), _strict(queries, "query", dim)
+    vectors = vectors.where("embedding is not null and vec_id is not null")
+    queries = queries.where("query is not null and query_id is not null")
+    context, scans = vectors.sparkSession.sparkContext, []
+    for ids, rows in _chunks(queries):
+        matrix = np.array([r if len(r) == dim and None not in r else [0.0] * dim for r in rows], dtype=np.float64)
+        shared = context.broadcast((ids, matrix))
+
+        def scan(batches, shared=shared):
+            query_ids, asked = shared.value
+            best = _Best(query_ids, k)
+            for batch in batches:
+                good, matrix = _matrix(batch.column("embedding"), dim)
+                # A vector of another length has cosine 0. A query of another length is all zeros here, which has it too.
+                distances = np.ones((len(query_ids), len(good)))
+                distances[:, good] = _distances(asked, matrix, metric)
+                best.add(batch.column("vec_id").to_numpy(), distances)
+            yield best.rows()
+
+        scans.append(vectors.mapInArrow(scan, TOP))
+    if not scans:
+        scans = [vectors.sparkSession.createDataFrame([], TOP)]
+    return _ranked(reduce(DataFrame.unionAll, scans), k)
 
 
 def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """(S) Exact k nearest by cosine distance: (query_id, rank, vec_id, distance).
 
-    A vector block is scored against all queries at once inside the scan, and only its own
-    k best per query leave the task; vectors themselves are never shuffled.
+    Vectors of another length than ``dim`` have cosine 0, so distance 1; null ones are not found.
     """
     return _nearest(vectors, queries, k, "cosine", dim)
 
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """(S) Exact k nearest by Euclidean distance."""
+    """(S) Exact k nearest by Euclidean distance. A vector of another length is an error; null ones are not found."""
     return _nearest(vectors, queries, k, "l2", dim)
 
 
@@ -133,47 +153,60 @@ def train_lists(vectors: DataFrame, lists: int = LISTS, seed: int = 42, share: f
 
 
 def assign_lists(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Adds ``list_id``, the nearest centre. Written partitioned by it, a search prunes lists."""
+    """Adds ``list_id``, the nearest centre (the first of equally near ones). Null vectors are left out, one of another
+    length is an error. Written partitioned by ``list_id``, a search reads its lists only."""
+    dim = centres.shape[1]
+    rows = _strict(vectors, "embedding", dim)
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
-    schema = T.StructType([*vectors.schema.fields, T.StructField("list_id", T.IntegerType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("list_id", T.IntegerType())])
 
     def assign(batches):
         for batch in batches:
-            near = _distances(_matrix(batch.column("embedding")), shared.value, "l2").argmin(1) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())],
-                                             names=[*batch.schema.names, "list_id"])
+            good, matrix = _matrix(batch.column("embedding"), dim)
+            near = np.round(_distances(matrix, shared.value, "l2"), DIGITS).argmin(1) if len(matrix) else np.zeros(0)
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near, pa.int32())], names=[*batch.schema.names, "list_id"])
+
+    return rows.mapInArrow(assign, schema)
 
-    return vectors.mapInArrow(assign, schema)
+
+def write_lists(vectors: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """The vectors with their lists, written once with a folder per list; searches read the result."""
+    assign_lists(vectors, centres).repartition("list_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).write.partitionBy("list_id").parquet(path)
+    return vectors.sparkSession.read.parquet(path)
 
 
 def knn_ivf(listed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probe: int) -> DataFrame:
     """(S) Approximate k nearest by L2: each query looks only into its ``probe`` nearest lists.
 
-    A long list needs no special care: rows stay where they are, and each input block sends
-    at most k rows per query.
+    ``listed`` has vec_id, embedding and list_id; read from ``write_lists``, only the folders of probed lists are scanned.
+    A long list needs no special care: rows stay where they are, and each task sends k rows per query.
     """
     dim = centres.shape[1]
-    few = queries.where(F.size("query") == dim).select("query_id", "query").limit(BROADCAST_QUERIES + 1).collect()
-    if len(few) > BROADCAST_QUERIES:
-        raise ValueError(f"search in batches of at most {BROADCAST_QUERIES} queries")
-    ids = np.array([r.query_id for r in few])
-    matrix = np.array([r.query for r in few], dtype=np.float64).reshape(-1, dim)
-    nearest = _distances(matrix, centres, "l2").argsort(1)[:, :probe]
-    probed = np.zeros((len(few), len(centres)), dtype=bool)
-    np.put_along_axis(probed, nearest, True, axis=1)
-    wanted = [int(i) for i in np.flatnonzero(probed.any(0))]
-    shared = listed.sparkSession.sparkContext.broadcast((ids, matrix, probed))
-
-    def scan(batches):
-        query_ids, rows, lists = shared.value
-        for batch in batches:
-            if len(batch):
-                allowed = lists[:, batch.column("list_id").to_numpy()]
-                yield _top(query_ids, rows, batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding")), k,
-                           "l2", allowed)
-
-    inside = listed.where(F.col("list_id").isin(wanted)).select("vec_id", "embedding", "list_id")
-    return _ranked(inside.mapInArrow(scan, TOP), k)
+    queries = _strict(queries.select("query_id", "query").where("query_id is not null"), "query", dim)
+    context, scans = listed.sparkSession.sparkContext, []
+    for ids, rows in _chunks(queries):
+        matrix = np.array(rows, dtype=np.float64)
+        nearest = np.round(_distances(matrix, centres, "l2"), DIGITS).argsort(axis=1, kind="stable")[:, :probe]
+        probed = np.zeros((len(ids), len(centres)), dtype=bool)
+        np.put_along_axis(probed, nearest, True, axis=1)
+        shared = context.broadcast((ids, matrix, probed))
+
+        def scan(batches, shared=shared):
+            query_ids, asked, lists = shared.value
+            best = _Best(query_ids, k)
+            for batch in batches:
+                good, matrix = _matrix(batch.column("embedding"), dim)
+                kept = batch.filter(pa.array(good))
+                inside = lists[:, kept.column("list_id").to_numpy()]
+                best.add(kept.column("vec_id").to_numpy(), np.where(inside, _distances(asked, matrix, "l2"), np.inf))
+            yield best.rows()
+
+        wanted = [int(i) for i in np.flatnonzero(probed.any(0))]
+        scans.append(listed.where(F.col("list_id").isin(wanted)).select("vec_id", "embedding", "list_id").mapInArrow(scan, TOP))
+    if not scans:
+        scans = [listed.sparkSession.createDataFrame([], TOP)]
+    return _ranked(reduce(DataFrame.unionAll, scans), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
@@ -192,8 +225,7 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
 def retrieve_documents(nearest: DataFrame, documents: DataFrame, doc_id: str) -> DataFrame:
     """(D) Nearest vectors with their documents.
 
-    The search result has k rows per query. It is written once (the search is the costly
-    part) and broadcast when it is seen to be small, so document texts are not shuffled.
+    The search result has k rows per query. It is written once, as the search is the costly
+    part; Spark broadcasts it if its size in bytes allows.
     """
-    found = cut_lineage(nearest.withColumnRenamed("vec_id", doc_id))
-    return documents.join(broadcast_if_small(found), doc_id)
+    return documents.join(cut_lineage(nearest.withColumnRenamed("vec_id", doc_id)), doc_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelode.operators import (
@@ -296,12 +297,13 @@ def progress_by_concept(spark, sf):
 
 @query
 def log_trace_join(spark, sf):
+    """Every other log row names no span and is placed by its time."""
     spans = views.flat_spans(spark, sf)
     written = views.ev(spark, sf).select(
-        F.col("event_id").alias("span_id"), F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("-"),
-                                                     F.dayofmonth("ts").cast("string")).alias("trace_id"),
+        "event_id", F.when(F.col("k") % 2 == 0, F.col("event_id")).alias("span_id"),
+        F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("-"), F.dayofmonth("ts").cast("string")).alias("trace_id"),
         F.timestamp_add("MICROSECOND", F.col("k") * 1000, F.col("ts")).alias("ts"))
-    return logs.log_trace_join(written, spans).select("trace_id", "span_id", "ts", "operation")
+    return logs.log_trace_join(written, spans, ["event_id"]).select("event_id", "trace_id", "span_id", "ts", "operation")
 
 
 def _label_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,12 +346,7 @@ def total_events(spark, sf):
 
 @query
 def stats_snapshot(spark, sf):
-    snapshot = events.stats_snapshot(views.kind_outcomes(spark, sf), views.connections(spark, sf))
-    texts = F.transform(F.map_entries("events"), lambda e: F.concat_ws(
-        ":", e["key"], e["value"]["count"], e["value"]["errors"], e["value"]["avg_latency_ns"],
-        e["value"]["latency_samples"]))
-    return snapshot.select("total", "active", F.size("events").cast("bigint").alias("names"),
-                           F.array_join(F.sort_array(texts), ";").alias("events"))
+    return events.stats_snapshot(views.kind_outcomes(spark, sf), views.connections(spark, sf))
 
 
 @query
@@ -492,10 +489,12 @@ def knn_l2(spark, sf):
 
 @query
 def knn_ivf(spark, sf):
+    """Lists around the mean vector of each label, written once; each query looks into three of them."""
+    means = _label_means(spark, sf).orderBy("query_id").collect()
+    centres = np.array([r.query for r in means])
     store = views.embeddings(spark, sf).select("vec_id", "embedding")
-    centres = vectors.train_lists(store, lists=20)
-    listed = vectors.assign_lists(store, centres)
-    return _near(vectors.knn_ivf(listed, _label_means(spark, sf), centres, 10, 8))
+    listed = vectors.write_lists(store, centres, run_folder(spark, "lists"))
+    return _near(vectors.knn_ivf(listed, _label_means(spark, sf), centres, 10, 3))
 
 
 @query
@@ -573,7 +572,9 @@ def namespace_metrics(spark, sf):
 
 @query
 def span_events(spark, sf):
-    return traces.span_events(views.span_event_json(spark, sf))
+    out = traces.span_events(views.span_event_json(spark, sf))
+    texts = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.withColumn("attributes", F.array_join(texts, ";"))
 
 
 @query
@@ -586,7 +587,8 @@ def session_funnel(spark, sf):
 
 @query
 def check_rows(spark, sf):
-    rules = [checks.not_null("body"), checks.in_range("difficulty", 1, 5), checks.not_empty("concepts")]
+    rules = [checks.not_null("body"), checks.not_null("difficulty"), checks.in_range("difficulty", 1, 5), checks.not_null("concepts"),
+             checks.not_empty("concepts")]
     questions = checks.check_rows(views.question_bank(spark, sf), ["question_id"], rules)
     stored = views.embeddings(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
     return questions.unionByName(checks.check_rows(stored, ["question_id"], [checks.vector_length("embedding", 64)]))
@@ -609,7 +611,8 @@ def apply_defaults(spark, sf):
 @query
 def dependency_levels(spark, sf):
     spans = views.spans(spark, sf)
-    return graph.dependency_levels(spans.select(F.col("span_id").alias("node"), F.col("parent_span_id").alias("dep")))
+    out = graph.dependency_levels(spans.select(F.col("span_id").alias("node"), F.col("parent_span_id").alias("dep")))
+    return out.withColumn("level", F.col("level").cast("bigint"))
 
 
 @query

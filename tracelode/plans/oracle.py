@@ -168,9 +168,6 @@ select a.event_id as answer_id, a.session_id, a.ts as answered_at,
   {_IN_TIME.format(event='kc.answer.result')} as result_in_time,
   {_IN_TIME.format(event='kc.adaptive.update')} as update_in_time
 from session_messages a where a.event = 'kc.answer.submit') t"""
-_FUNNEL_T = ", ".join(
-    f"min(case when event = '{s}' then ts end) as t{i}"
-    for i, s in enumerate(["client.connect", "kc.request.next", "kc.answer.submit", "kc.answer.result"]))
 _STATS = """select c.event_name, c.count, c.errors, cast(r.total // r.latency_samples as bigint) as avg_latency_ns, r.latency_samples
 from (select event_name, count(*) filter (not is_error) as count, count(*) filter (is_error) as errors from {v} group by 1) c
 join (select event_name, sum(latency_ns) as total, count(*) as latency_samples from (
@@ -297,17 +294,21 @@ select *, case when param is null then case when is_known then 'known' else 'unk
     "progress_by_concept": (["progress", "question_concepts"], """select user_id, concept, count(*) as attempts,
   round(avg(case when correct then 1.0 else 0.0 end), 6) as correct_share
 from progress join question_concepts using (question_id) group by 1, 2"""),
-    "log_trace_join": (["spans"], """select trace_id, span_id, start_ts + to_microseconds(k * 1000) as ts, operation from spans
-where k * 1000 <= duration_us"""),
+    "log_trace_join": (["spans"], """with w as (select span_id as event_id, k, trace_id, start_ts + to_microseconds(k * 1000) as ts from spans)
+select event_id, trace_id, span_id, ts, operation from (
+select w.event_id, w.trace_id, s.span_id, w.ts, s.operation, row_number() over (partition by w.event_id
+    order by s.start_ts desc, s.duration_us, s.span_id) as rn
+from w join spans s on s.trace_id = w.trace_id and w.ts between s.start_ts and s.start_ts + to_microseconds(s.duration_us)
+  and (w.k % 2 <> 0 or s.span_id = w.event_id)) t where rn = 1"""),
     "retrieve_documents": (["label_means"], f"""select query_id, rank, doc_id, text from (
 {_KNN.format(distance="1 - list_cosine_similarity(q, cast(embedding as double[]))", k=5)}) n join documents on doc_id = vec_id"""),
     "event_stats": (["event_outcomes"], _STATS.format(v="event_outcomes")),
     "event_stats_by_kind": (["kind_outcomes"], _STATS.format(v="kind_outcomes")),
     "connection_totals": (["connections"], _TOTALS),
     "total_events": (["event_outcomes"], "select count(*) filter (not is_error) as total_events from event_outcomes"),
-    "stats_snapshot": (["kind_outcomes", "connections"], f"""select total, active, names, events from ({_TOTALS}) c, (
-select count(*) as names, string_agg(concat_ws(':', event_name, count, errors, avg_latency_ns, latency_samples), ';' order by event_name) as events
-from ({_STATS.format(v='kind_outcomes')}) s) t"""),
+    "stats_snapshot": (["kind_outcomes", "connections"], f"""select null::varchar as event_name, total::bigint as total, active::bigint as active,
+  null::bigint as count, null::bigint as errors, null::bigint as avg_latency_ns, null::bigint as latency_samples from ({_TOTALS}) c
+union all select event_name, null, null, count, errors, avg_latency_ns, latency_samples from ({_STATS.format(v='kind_outcomes')}) s"""),
     "trace_summary": (["spans"], """select trace_id, count(*) as spans, string_agg(distinct operation, ',' order by operation) as operations,
   min(start_ts) as started, max(start_ts + to_microseconds(duration_us)) as ended from spans group by 1"""),
     "list_services": (["spans"], "select distinct service_name from spans"),
@@ -360,6 +361,13 @@ where service_name = 'svc-1' and start_ts >= (select max(start_ts) from spans) -
 group by 1 order by started desc, trace_id limit 100"""),
     "knn_cosine": (["label_means"], _COSINE),
     "knn_l2": (["label_means"], _L2),
+    "knn_ivf": (["label_means"], """with c as (select query_id as list_id, q as centre from label_means),
+ a as (select vec_id, embedding, list_id from (select vec_id, embedding, list_id, row_number() over (partition by vec_id
+   order by round(list_distance(centre, cast(embedding as double[])), 9), list_id) as rn from embeddings, c where embedding is not null) t where rn = 1),
+ p as (select query_id, q, list_id from (select query_id, q, list_id, row_number() over (partition by query_id
+   order by round(list_distance(q, centre), 9), list_id) as rn from label_means, c) t where rn <= 3)
+select query_id, rank, vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank
+  from (select query_id, vec_id, list_distance(q, cast(embedding as double[])) as distance from p join a using (list_id)) d) r where rank <= 10"""),
     "knn_ivf_recall": (["label_means"], f"select cast(count(*) / count(*) as double) as recall from ({_L2}) t"),
     "intent_match": (["best"], "select doc_id, entry, round(confidence, 6) as confidence from best", _DOCS),
     "intent_match_commands": (["best"], "select event_id, entry, round(confidence, 6) as confidence from best", _SAYS),
@@ -383,25 +391,32 @@ from session_messages"""),
   case when doc_id % 2 = 0 then lang end as first_option, cast(1 + doc_id % 5 as int) as difficulty,
   source || ',' || lang as concepts from documents"""),
     "namespace_metrics": (["metric_samples"], "select distinct 'agent_' || job as name, instance from metric_samples"),
-    "span_events": (["spans"], """select trace_id, span_id, start_ts, 'executing query' as event_name, 'debug' as level, null::varchar as error_message from spans
+    "span_events": (["spans"], """select trace_id, span_id, start_ts, 'executing query' as event_name, 'debug' as level, null::varchar as error_message,
+  'db.rows=' || k || ';level=debug' as attributes from spans
+union all select trace_id, span_id, start_ts, 'retry', null, null, 'attempt=' || (k % 3) from spans
 union all select trace_id, span_id, start_ts, case when status = 'Error' then 'query failed' else 'query completed successfully' end,
-  case when status = 'Error' then 'error' else 'info' end, case when status = 'Error' then 'boom' end from spans"""),
-    "session_funnel": (["session_messages"], f"""with t as (select session_id, {_FUNNEL_T} from session_messages group by 1),
- f as (select *, t0 is not null as f0, t0 is not null and coalesce(t1 >= t0, false) as f1,
-   t0 is not null and coalesce(t1 >= t0 and t2 >= t1, false) as f2,
-   t0 is not null and coalesce(t1 >= t0 and t2 >= t1 and t3 >= t2, false) as f3 from t)
-select session_id, cast(f0 as int) + cast(f1 as int) + cast(f2 as int) + cast(f3 as int) as stages_reached,
-  case when not f0 then 'client.connect' when not f1 then 'kc.request.next' when not f2 then 'kc.answer.submit'
-    when not f3 then 'kc.answer.result' end as first_missing from f"""),
+  case when status = 'Error' then 'error' else 'info' end, case when status = 'Error' then 'boom' end,
+  case when status = 'Error' then 'error.message=boom;level=error' else 'level=info' end from spans"""),
+    "session_funnel": (["session_messages"], """with m as (select session_id, ts, event from session_messages),
+ a as (select s.session_id, (select min(ts) from m where m.session_id = s.session_id and event = 'client.connect') as t0
+       from (select distinct session_id from m) s),
+ b as (select *, (select min(ts) from m where m.session_id = a.session_id and event = 'kc.request.next' and ts >= t0) as t1 from a),
+ c as (select *, (select min(ts) from m where m.session_id = b.session_id and event = 'kc.answer.submit' and ts >= t1) as t2 from b),
+ d as (select *, (select min(ts) from m where m.session_id = c.session_id and event = 'kc.answer.result' and ts >= t2) as t3 from c)
+select session_id, (t0 is not null)::int + (t1 is not null)::int + (t2 is not null)::int + (t3 is not null)::int as stages_reached,
+  case when t0 is null then 'client.connect' when t1 is null then 'kc.request.next' when t2 is null then 'kc.answer.submit'
+    when t3 is null then 'kc.answer.result' end as first_missing from d"""),
     "check_rows": ([], """select doc_id as question_id, 'body_not_null' as rule from documents where n_chars % 5 = 0
-union all select doc_id, 'difficulty_range' from documents where doc_id % 7 not between 1 and 5
-union all select doc_id, 'concepts_not_empty' from documents where n_chars % 3 = 0
+union all select doc_id, 'difficulty_not_null' from documents where doc_id % 11 = 0
+union all select doc_id, 'difficulty_range' from documents where doc_id % 11 <> 0 and doc_id % 7 not between 1 and 5
+union all select doc_id, 'concepts_not_null' from documents where n_chars % 13 = 0
+union all select doc_id, 'concepts_not_empty' from documents where n_chars % 3 = 0 and n_chars % 13 <> 0
 union all select vec_id, 'embedding_length' from embeddings where len(embedding) <> 64"""),
     "check_unique": (["progress"], "select user_id, question_id, count(*) as n from progress group by 1, 2 having count(*) > 1"),
     "apply_defaults": (["progress"], """select event_id, case when correct then answered_at else timestamp '2024-02-01 00:00:00' end as answered_at
 from progress"""),
     "dependency_levels": (["spans"], """with recursive edges as (select span_id as node, parent_span_id as dep from spans where parent_span_id is not null),
- nodes as (select node from edges union select dep from edges),
+ nodes as (select span_id as node from spans union select dep from edges),
  lv as (select node, 0 as level from nodes where node not in (select node from edges)
    union all select e.node, lv.level + 1 from edges e join lv on e.dep = lv.node)
 select node, max(level) as level from lv group by 1"""),

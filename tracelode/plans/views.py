@@ -172,8 +172,9 @@ def question_bank(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("question_id"),
         F.when(F.col("n_chars") % 5 > 0, F.col("lang")).alias("body"),
-        (F.col("doc_id") % 7).cast("int").alias("difficulty"),
-        F.when(F.col("n_chars") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("concepts"))
+        F.when(F.col("doc_id") % 11 > 0, (F.col("doc_id") % 7).cast("int")).alias("difficulty"),
+        F.when(F.col("n_chars") % 13 == 0, F.lit(None).cast("array<string>"))
+        .when(F.col("n_chars") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("concepts"))
 
 
 def question_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,7 +253,7 @@ def app_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 def span_event_json(spark: SparkSession, folder: str) -> DataFrame:
     events = F.concat(
-        F.lit('[{"name":"executing query","level":"debug"}'),
+        F.lit('[{"name":"executing query","level":"debug","db.rows":'), F.col("k").cast("string"), F.lit('},{"name":"retry","attempt":"'), (F.col("k") % 3).cast("string"), F.lit('"}'),
         F.when(F.col("status") == "Error", ',{"name":"query failed","level":"error","error.message":"boom"}')
         .otherwise(',{"name":"query completed successfully","level":"info"}'), F.lit("]"))
     return flat_spans(spark, folder).select("trace_id", "span_id", "start_ts", events.alias("events"))

@@ -60,16 +60,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# Largest row count a frame may have to be broadcast by a hint. Used for narrow rows only.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the frame is seen to be small, else the frame as it is.
-
-    Asking for one row after the allowed number reads partitions only until that many rows
-    are found, so a large frame is given up on early. Without the hint Catalyst plans a
-    shuffled join, which adaptive execution splits on skewed keys.
-    """
-    more = df.select(F.lit(1)).offset(rows).take(1)
-    return df if more else F.broadcast(df)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table of its own in the shared folder, which cuts its lineage."""
+    folder = run_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

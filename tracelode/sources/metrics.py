@@ -28,14 +28,16 @@ def split_payload(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def exposition_load(df: DataFrame, line: str = "line") -> DataFrame:
-    """(I) Lines of the text format to samples; comments, empty and blank lines are dropped."""
+    """(I) Lines of the text format to samples; comments, empty and blank lines are dropped. Of a repeated label the first
+    value counts."""
     text = F.col(line)
     samples = df.where((F.length(text) > 0) & ~text.startswith("#"))
     labels = F.regexp_extract(text, SAMPLE, 2)
+    names = F.regexp_extract_all(labels, F.lit(LABEL), F.lit(1))
+    pairs = F.zip_with(names, F.regexp_extract_all(labels, F.lit(LABEL), F.lit(2)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
     parsed = samples.withColumns({
         "name": F.regexp_extract(text, SAMPLE, 1),
-        "labels": F.map_from_arrays(F.regexp_extract_all(labels, F.lit(LABEL), F.lit(1)),
-                                    F.regexp_extract_all(labels, F.lit(LABEL), F.lit(2))),
+        "labels": F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["key"]) == i + 1)),
         "value": F.regexp_extract(text, SAMPLE, 3).try_cast("double"),
     })
     return parsed.where("name <> ''").drop(line)
