@@ -12,6 +12,17 @@ def match_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df
 
 
+def metric_pipeline(df: DataFrame, namespace: str, environment: str = "development") -> DataFrame:
+    """(I) The whole way of a sample to its sink: the environment, which is always set, then the prefix of its name."""
+    return namespace_metrics(df.withColumn("environment", F.lit(environment)), namespace)
+
+
+def series_up(samples: DataFrame, labels: dict[str, str], order: list[str], name: str = "up") -> DataFrame:
+    """(I) One check row: whether the query result holds a series of the name and labels, how many, and the first one's value."""
+    found = match_labels(samples, {"__name__": name, **labels})
+    return found.agg((F.count("*") > 0).alias("success"), F.count("*").alias("series"), F.min_by("value", F.struct(*order)).alias("first_value"))
+
+
 def latest_sample(df: DataFrame, series: list[str]) -> DataFrame:
     """(I) Newest value per series."""
     newest = F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("last")

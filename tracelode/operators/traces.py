@@ -18,6 +18,25 @@ def trace_default_service(df: DataFrame, default: str) -> DataFrame:
     return df.withColumn("service_name", F.coalesce("service_name", F.lit(default)))
 
 
+def trace_pipeline(df: DataFrame, default: str = "unknown-service", environment: str = "development") -> DataFrame:
+    """(I) The whole way of a span to its sink: default service, then the environment, which is always set."""
+    return trace_default_service(df, default).withColumn("environment", F.lit(environment))
+
+
+def trace_check(spans: DataFrame, id_sets: DataFrame, expected: list[str] = EXPECTED_SPANS) -> DataFrame:
+    """(I) Per id set whether its trace is there and whole: the matched trace, agreeing ids, expected spans it lacks.
+
+    ``spans`` has tags as for ``correlation_match``. An id set without a match fails with all expected spans missing.
+    """
+    matched = correlation_match(spans, id_sets).select("set_id", "trace_id", "hits")
+    wanted = spans.join(matched.select("trace_id").distinct(), "trace_id", "left_semi")
+    lacking = missing_spans(wanted, expected).groupBy("trace_id").agg(F.count("*").alias("n_missing"))
+    whole = id_sets.select("set_id").join(matched, "set_id", "left").join(lacking, "trace_id", "left")
+    absent = F.when(F.col("trace_id").isNull(), F.lit(len(expected))).otherwise(F.coalesce("n_missing", F.lit(0))).cast("bigint")
+    return whole.select("set_id", "trace_id", F.coalesce("hits", F.lit(0)).alias("hits"), absent.alias("n_missing"),
+                        (F.col("trace_id").isNotNull() & (absent == 0)).alias("success"))
+
+
 def enrich_context(df: DataFrame, row_key: list[str]) -> DataFrame:
     """(I) Request id made when empty, correlation id = trace id, other ids only when non-empty.
 

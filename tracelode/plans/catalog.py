@@ -15,7 +15,7 @@ from tracelode.sources import logs as log_files, metrics as metric_texts, sinks,
 from tracelode.sources.tables import table_stream
 from tracelode.streaming import events as event_streams, logs as log_streams, metrics as metric_streams
 from tracelode.streaming import sessions as session_streams
-from tracelode.streaming.run import finish, newest
+from tracelode.streaming.run import closed_by, finish, newest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,15 +105,17 @@ def render_exposition(spark, sf):
 @query
 def write_signals(spark, sf):
     path = run_folder(spark, "signals")
-    metric_rows = views.metric_samples(spark, sf)
+    unnamed = views.flat_spans(spark, sf).withColumn("service_name", F.when(F.col("status") == "Ok", F.col("service_name")))
+    named = views.metric_samples(spark, sf).withColumn("name", F.col("job"))
     sinks.write_signals({
         "logs": (views.logs(spark, sf).transform(logs.severe_logs).drop("log_fields"), "ts"),
-        "traces": (views.flat_spans(spark, sf), "start_ts"),
-        "metrics": (metric_rows, "ts"),
+        "traces": (unnamed.transform(traces.trace_pipeline), "start_ts"),
+        "metrics": (named.transform(metrics.metric_pipeline, "agent"), "ts"),
     }, path)
+    label = {"logs": F.col("service_name"), "traces": F.col("service_name"), "metrics": F.col("name")}
     counted = [
-        sinks.read_signal(spark, path, name).groupBy("day").agg(F.count("*").alias("n"))
-        .select(F.lit(name).alias("signal"), F.col("day").cast("string").alias("day"), "n")
+        sinks.read_signal(spark, path, name).groupBy("day", "environment", label[name].alias("name")).agg(F.count("*").alias("n"))
+        .select(F.lit(name).alias("signal"), F.col("day").cast("string").alias("day"), "environment", "name", "n")
         for name in ("logs", "traces", "metrics")
     ]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
@@ -253,6 +255,18 @@ def correlation_match(spark, sf):
     return traces.correlation_match(views.tagged_spans(spark, sf), _id_sets(spark, sf))
 
 
+@query
+def trace_check(spark, sf):
+    spans = views.tagged_spans(spark, sf)
+    return traces.trace_check(spans, _id_sets(spark, sf), ["click", "error", "purchase", "signup", "view"])
+
+
+@query
+def series_up(spark, sf):
+    samples = metric_texts.metric_json_load(views.metric_payloads(spark, sf))
+    return metrics.series_up(samples, {"job": "purchase"}, ["event_id"])
+
+
 @query
 def missing_spans(spark, sf):
     return traces.missing_spans(views.flat_spans(spark, sf), ["click", "error", "purchase", "signup", "view"])
@@ -657,7 +671,7 @@ def stream_active_gauge(spark, sf):
 
 @query
 def stream_scrape(spark, sf):
-    rows = views.metric_samples(spark, sf, table_stream)
+    rows = closed_by(views.metric_samples(spark, sf, table_stream), {"job": "closing"})
     steps = finish(metric_streams.stream_scrape(rows, ["job", "instance"]), "scrape")
     return steps.select("job", "instance", _ntz("step_start"), _ntz("step_end"), "value")
 

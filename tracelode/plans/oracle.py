@@ -220,11 +220,11 @@ union all select 3, '# TYPE ws_events_total counter'
 union all select 4, 'ws_events_total ' || cast(n as bigint) from t
 union all select 5, '# TYPE ws_purchase_latency_seconds gauge'
 union all select 6, 'ws_purchase_latency_seconds ' || printf('%.6f', ns / 1e9) from t"""),
-    "write_signals": (["logs", "spans", "metric_samples"], f"""select 'traces' as signal, cast(cast(start_ts as date) as varchar) as day, count(*) as n
-  from spans group by 2
-union all select 'metrics', cast(cast(ts as date) as varchar), count(*) from metric_samples group by 2
-union all select 'logs', cast(cast(ts as date) as varchar), count(*) from (
-  {_SEVERE.replace("select coalesce(container_name, 'unknown-service') as service_name", "select ts, coalesce(container_name, 'unknown-service') as service_name")}) s group by 2"""),
+    "write_signals": (["logs", "spans", "metric_samples"], f"""select 'traces' as signal, cast(cast(start_ts as date) as varchar) as day,
+  'development' as environment, case when status = 'Ok' then service_name else 'unknown-service' end as name, count(*) as n from spans group by all
+union all select 'metrics', cast(cast(ts as date) as varchar), 'development', 'agent_' || job, count(*) from metric_samples group by all
+union all select 'logs', cast(cast(ts as date) as varchar), 'development', service_name, count(*) from (
+  {_SEVERE.replace("select coalesce(container_name, 'unknown-service') as service_name", "select ts, coalesce(container_name, 'unknown-service') as service_name")}) s group by all"""),
     "sql_query_rows_affected": (["questions"], "select count(*) as rows_affected from questions where difficulty = 3"),
     "detect_level": (["levels"], "select log_id, severity_text, severity_number from levels"),
     "merge_json_log": (["logs"], """select log_id, coalesce(case when log like '{%' then log ->> '$.level' end, level) as level,
@@ -264,6 +264,8 @@ select h.*, s.operation, row_number() over (partition by set_id order by s.start
     union all select event_id, 'request.id', cast(event_id as varchar) from app_errors) i
   join span_tags t using (tag_key, tag_value) group by all having count(*) >= 2) h
 join spans s using (trace_id, span_id)) r where rn = 1"""),
+    "series_up": (["metric_samples"], """select count(*) > 0 as success, count(*) as series, min_by(case when job = 'error' then 0.0::double else 1.0::double end, event_id)
+  as first_value from metric_samples where job = 'purchase'"""),
     "missing_spans": (["spans"], """select trace_id, missing from (select distinct trace_id from spans) t
 cross join (values ('click'), ('error'), ('purchase'), ('signup'), ('view')) e(missing)
 where not exists (select 1 from spans s where s.trace_id = t.trace_id and s.operation = e.missing)"""),
@@ -434,8 +436,7 @@ select trace_id, span_id, depth from d"""),
     from ({_WHOLE}) w) p) s where severity_text <> 'INFO'"""),
     "stream_event_stats": (["kind_outcomes"], _STATS.format(v="kind_outcomes")),
     "stream_active_gauge": (["connections"], _TOTALS),
-    "stream_scrape": (["metric_samples"], f"""select * from ({_SCRAPE}) s
-where step_end <= (select max(ts) from metric_samples) - interval 1 minute"""),
+    "stream_scrape": (["metric_samples"], _SCRAPE),
     "stream_answer_deadline": (["session_messages"], f"""select d.* from ({_DEADLINE}) d
 where time_bucket(interval 8 hours, answered_at, timestamp '1970-01-01') + interval 16 hours <=
   (select max(ts) from session_messages where event in ('kc.answer.result', 'kc.adaptive.update')) - interval 1 minute"""),
@@ -443,6 +444,14 @@ where time_bucket(interval 8 hours, answered_at, timestamp '1970-01-01') + inter
 }
 
 
+_FOUND, _ABSENT = ORACLES["correlation_match"], ORACLES["missing_spans"]
+ORACLES["trace_check"] = (["span_tags", "app_errors", "spans"], f"""with found as ({_FOUND[1]}), lacking as ({_ABSENT[1]}),
+ n as (select trace_id, count(*) as n_missing from lacking group by 1)
+select e.event_id as set_id, f.trace_id, coalesce(f.hits, 0) as hits, case when f.trace_id is null then 5 else coalesce(n.n_missing, 0) end as n_missing,
+  f.trace_id is not null and coalesce(n.n_missing, 0) = 0 as success
+from app_errors e left join found f on f.set_id = e.event_id left join n on n.trace_id = f.trace_id""")
+
+
 def _with_args(text: str, args: dict) -> str:
     for name, value in args.items():
         text = text.replace(":" + name, _quoted(value))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelode.session import run_folder
 
+CLOSING_TIME = datetime(2999, 1, 1)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,6 +61,19 @@ def finish(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
+def closed_by(stream: DataFrame, *rows: dict, time: str = "ts") -> DataFrame:
+    """The stream and closing rows of a far time: once they are read, every window before them is given out.
+
+    ``rows`` holds the columns that are not null. They must come with the last batch, as what follows them is late.
+    """
+    spark = stream.sparkSession
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in stream.schema])
+    folder = run_folder(spark, "closing")
+    closing = [tuple({time: CLOSING_TIME, **row}.get(f.name) for f in schema) for row in rows]
+    spark.createDataFrame(closing, schema).coalesce(1).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
 def newest(df: DataFrame, keys: list[str]) -> DataFrame:
     """Last written row per key of an update table."""
     columns = [c for c in df.columns if c not in (*keys, "batch")]
