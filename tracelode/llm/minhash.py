@@ -8,8 +8,9 @@ similarity. Bands of equal signature parts give buckets; documents of a bucket a
 their shingle sets, and components of verified links are classes.
 
 Documents of the same shingle set are one node from the start. Within a bucket, members are compared with one hub, a few
-rounds with another hub each, only across classes found so far; what is left unlinked then is compared pair by pair, so no
-bucket is capped and a large group of copies costs a few comparisons per member.
+rounds with another hub each, only across classes found so far, so a large group of copies costs a few comparisons per
+member. What a bucket still holds of several classes then is compared all with all, in blocks of members whose common
+shingles are counted by a matrix product; only links leave a block. So no bucket is capped and no link is lost.
 
 Defined results: fewer words than a shingle make one shingle; texts that are null or hold no word are classes of their own;
 cluster_id is the least doc_id of a class (null only if all ids are null); repeated rows are one class; extra columns are
@@ -32,8 +33,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-#: Rounds with one hub a bucket before the rest is compared pair by pair.
+#: Rounds with one hub a bucket before the rest is compared all with all.
 ROUNDS = 3
+#: Members of a block of a bucket, about, and how many rows and columns of it are multiplied at a time.
+BLOCK = 1024
+TILE = (128, 8192)
 
 _U = np.uint64
 
@@ -125,6 +129,57 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, linked boolean")
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `a` shares with each of `b`; sets are sorted and distinct."""
+    columns = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    counts = np.zeros((len(a), len(b)))
+    for start in range(0, len(columns), TILE[1]):
+        part = columns[start : start + TILE[1]]
+        sides = []
+        for sets in (a, b):
+            matrix = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for row, values in enumerate(sets):
+                at = np.searchsorted(part, values)
+                at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == values)]
+                matrix[row, at] = 1
+            sides.append(matrix)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of different components and at least this Jaccard similarity; across sides, or of one side if there is but one."""
+    sizes, sides = np.array([len(x) for x in sets], dtype=float), np.unique(side)
+    first, second = np.flatnonzero(side == sides[0]), np.flatnonzero(side == sides[-1])
+    found = []
+    for i in range(0, len(first), TILE[0]):
+        for j in range(i if len(sides) == 1 else 0, len(second), TILE[0]):
+            a, b = first[i : i + TILE[0]], second[j : j + TILE[0]]
+            common = common_counts([sets[x] for x in a], [sets[x] for x in b])
+            near = (common >= similarity * (sizes[a][:, None] + sizes[b][None, :] - common)) & (component[a][:, None] != component[b][None, :])
+            found += [(int(a[x]), int(b[y])) for x, y in zip(*np.nonzero(near))]
+    return found
+
+
+def compared(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a and b, the links between different components within a bucket; `members` is (bucket, node, component)."""
+    sizes = stored(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("bucket", "node", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        found = words_of(texts_of(block.column("text")))
+        sets = [np.unique(shingles(found.hash[i:j], words)) for i, j in zip(found.first, found.first[1:])]
+        side, nodes = block.column("own").to_numpy(), block.column("node").to_pylist()
+        _, component = np.unique(np.array([c.hex() for c in block.column("component").to_pylist()]), return_inverse=True)
+        whole = block.column("low")[0] == block.column("high")[0]
+        pairs = linked_pairs(sets, side, component, similarity) if whole or len(np.unique(side)) > 1 else []
+        return pa.table({"a": pa.array([nodes[i] for i, _ in pairs], pa.binary()), "b": pa.array([nodes[j] for _, j in pairs], pa.binary())})
+
+    return dealt.join(texts, "node").groupBy("bucket", "low", "high").applyInArrow(compare, "a binary, b binary")
+
+
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, row (hash of id and text), cluster_id and component of every document; documents without words have no component."""
     sketch = stored(sketches(docs, words, bands, rows), "sketches")
@@ -142,13 +197,14 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         else:
             placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_)).cast("string").cast("binary")
-        hubs = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                            F.min(F.struct(order.alias("order"), "node", "component")).alias("hub")).where("low < high")
-        if round_ < rounds:
-            pairs = placed.join(hubs.select("bucket", F.col("hub.node").alias("other"), F.col("hub.component").alias("other_component")), "bucket")
-        else:
-            still = placed.join(hubs.select("bucket"), "bucket")
-            pairs = still.join(still.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component")), "bucket")
+        hubs = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                                   F.min(F.struct(order.alias("order"), "node", "component")).alias("hub")).where("low < high"), "hubs")
+        if round_ == rounds:
+            links = stored(compared(placed.join(hubs.select("bucket"), "bucket"), texts, words, similarity).distinct(), "verified")
+            tested = links.withColumn("linked", F.lit(True)) if tested is None else tested.union(links.withColumn("linked", F.lit(True)))
+            found = components(tested.where("linked"))
+            break
+        pairs = placed.join(hubs.select("bucket", F.col("hub.node").alias("other"), F.col("hub.component").alias("other_component")), "bucket")
         pairs = pairs.where("component <> other_component").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -162,7 +218,7 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         placed = placed.join(found, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component"))
     else:
         placed = placed.select("doc_id", "row", F.col("node").alias("component"))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("cluster_id"))
+    least = stored(placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("cluster_id")), "least")
     return placed.join(least, "component", "left").select("doc_id", "row", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")).alias("cluster_id"), "component")
 
 
