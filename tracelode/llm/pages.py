@@ -127,7 +127,7 @@ class Page:
         named = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _NAMED.finditer(attributes)} if attributes else {}
         words = {w.lower() for key in ("class", "id", "role") for w in _WORDS.findall(named.get(key, ""))}
         inside = any(kind == 1 for _, _, kind in self._stack)
-        label = _NUMBER.sub("", name + "".join(f".{c}" for c in named.get("class", "").split()) + (f"#{named['id']}" if named.get("id") else ""))
+        label = name + _NUMBER.sub("", "".join(f".{c}" for c in named.get("class", "").split()) + (f"#{named['id']}" if named.get("id") else ""))
         if name in ("html", "body"):
             return label, 0
         if name in HIDDEN or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower():
@@ -188,7 +188,7 @@ def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     tokens = page_tokens(pages).groupBy("host", "token", "whole").agg(
         F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
     every = tokens.where("token = '' and not whole").select("host", F.col("pages").alias("all_pages")).where(F.col("all_pages") >= least)
-    frequent = tokens.join(every, "host").where((F.col("most") == 1) & (F.col("pages") >= share * F.col("all_pages")))
+    frequent = tokens.where(F.col("pages") >= share * least).join(every, "host").where((F.col("most") == 1) & (F.col("pages") >= share * F.col("all_pages")))
     classes = frequent.groupBy("host", "vector").agg(F.collect_list(F.struct("chars", "token", "whole")).alias("tokens"))
     members = classes.select("host", F.explode("tokens").alias("t")).select("host", "t.*")
     return members.groupBy("host").agg(F.max_by("token", F.when(~F.col("whole"), F.struct("chars", F.length("token")))).alias("main"),
