@@ -44,6 +44,8 @@ WITHIN = frozenset("article content main post story entry body articlebody mainc
 #: Pages a host must have for a skeleton; share of them that a token must be in.
 PAGES = 4
 SHARE = 0.9
+#: Parts in which the pages of a host meet its template, so that a large host is not one task.
+SALTS = 16
 #: Longer blocks are never template texts.
 SHORT = 200
 
@@ -240,4 +242,6 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataF
                                              ["page_id", "url", "text", "n_chars"])
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars bigint"
-    return rows.join(hosts, "host", "left").select("page_id", "url", "html", "main", "texts").mapInArrow(cut, schema)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "main", "texts").mapInArrow(cut, schema)
