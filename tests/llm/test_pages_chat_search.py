@@ -51,6 +51,15 @@ def test_template_classes(spark):
     assert pages.templates(df.limit(3)).count() == 0
 
 
+def test_two_layouts_of_unnamed_divs(spark):
+    """Half articles, half posts, and pages without html: no token is in nearly all pages."""
+    article = lambda i: (f"<div>Home News Contact</div><div><h2>Head {i}</h2><p>{words(i, 30)}</p></div><div>All rights reserved</div>")
+    post = lambda i: (f"<section><p>Posts of our readers</p></section><table><tr><td>{words(i, 25)}</table><section><p>Write to us</p></section>")
+    rows = [page(i, f"<body>{post(i) if i % 2 else article(i)}</body>", "two") for i in range(12)] + [page(20 + i, (None, "")[i % 2], "two") for i in range(4)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found == {i: words(i, 25) if i % 2 else f"Head {i} {words(i, 30)}" for i in range(12)} | {20 + i: "" for i in range(4)}
+
+
 @pytest.mark.parametrize("text", ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\|turn|> \\ <\\\\|end|>", "<<|end|>|end|>", "<", "<|", "[[INST]INST]", "a\\"])
 def test_escape_is_undone(text):
     f = chat.Format(chat.CHAT)

@@ -1,15 +1,19 @@
 """HTML extraction by equivalence classes of template tokens.
 
 A page is read as blocks: stretches of text between block-level tags, each with the path of open elements. The tokens of a
-host are element paths (names with their class or id) and short whole block texts. Their occurrence vectors over the host's
-pages are folded into one hash, so tokens that occur equally often in the same pages meet in one equivalence class by an
-aggregation over (host, token). A class is valid for the template if it occurs once in each of nearly all pages; its paths
-nest by construction. They are the host's skeleton: a page's text lies in the slots between them. Slots whose path names
-something that surrounds an article are left out, also texts that are themselves template tokens and lie outside the slot
-with most text. What remains beneath the element that holds this slot is the article.
+page are the element paths (names with their class or id) and short whole block texts that it holds once. Their occurrence
+vectors over the host's pages are folded into one hash, so tokens of the same pages meet in one equivalence class by an
+aggregation over (host, token) and one over (host, vector). A class is valid if its pages are a fair share of the host's
+(SUPPORT) and it has two tokens or more; one in nearly all pages (SHARE) needs no second token. A host of several layouts so
+has classes for each of them. A page's skeleton is made of the valid classes it holds, those of more pages first, which
+contain the narrower ones: its main element is the one whose slot holds most text, and the texts of the classes are template
+unless nothing else would remain of the page. Slots whose path names something that surrounds an article are left out, also
+texts that are template and lie outside the slot with most text. What remains beneath the element that holds this slot is
+the article.
 
 Defined results: null and empty html give an empty text; a page without a usable url belongs to the host "" ; a host of few
-pages has no skeleton, and each of its pages is judged by its own elements; repeated rows and repeated ids are pages each;
+pages has no skeleton, and each of its pages is judged by its own elements, as is a page without a valid class; pages without
+text and elements do not count; repeated rows and repeated ids are pages each;
 a page of plain text without any tag is one block; other columns are not read.
 """
 
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +46,10 @@ AROUND = frozenset("ad ads advert adverts advertisement advertising banner spons
                    "widget pagination pager toolbar search copyright legal hidden contentinfo complementary".split())
 WITHIN = frozenset("article content main post story entry body articlebody maincontent postcontent entrycontent".split())
 
-#: Pages a host must have for a skeleton; share of them that a token must be in.
+#: Pages a host must have for a skeleton, and a class for being valid; share of the pages that a class must be in, and share
+#: with which a single token is a class.
 PAGES = 4
+SUPPORT = 0.2
 SHARE = 0.9
 #: Parts in which the pages of a host meet its template, so that a large host is not one task.
 SALTS = 16
@@ -147,54 +154,61 @@ def clean(path: tuple[tuple[str, int], ...]) -> bool:
     return all(kind >= 0 for _, kind in path)
 
 
-TOKENS = "host string, token string, whole boolean, n bigint, vector bigint, chars bigint"
+TOKENS = "host string, token string, whole boolean, vector bigint, chars bigint"
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def text_token(path: str, text: str) -> str:
+    return f"{path}\t{text}"
+
+
+def text_counts(blocks: list[tuple[str, str]]) -> dict[str, int]:
+    """How often a page holds each token that is a text; blocks are (path, text)."""
+    return Counter(text_token(at, text) for at, text in blocks if len(text) <= SHORT)
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of every page: element paths and short block texts (whole: a text), how often they occur, that number and the
-    page folded into one hash, and the text that lies directly in the slot of an element which the page holds once."""
+    """Tokens that a page holds once: element paths and short block texts (whole: a text), a hash of the page, and the text
+    that lies directly in the slot of an element. Path "" is the page; pages without text and elements have no tokens."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, key, html in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
                 page = Page(html or "")
+                if not page.blocks and not page.elements:
+                    continue
                 chars: dict[str, int] = {}
-                texts: dict[str, int] = {}
-                for path, text in page.blocks:
-                    if clean(path):
-                        at = path_of(path)
-                        if len(text) <= SHORT:
-                            texts[f"{at}\t{text}"] = texts.get(f"{at}\t{text}", 0) + 1
-                        while at and page.elements.get(at) != 1:
-                            at = at.rpartition("/")[0]
-                        chars[at] = chars.get(at, 0) + len(text)
-                rows.append((host, "", False, 1, key, chars.get("", 0)))
-                rows += [(host, path, False, n, key, chars.get(path, 0)) for path, n in page.elements.items()]
-                rows += [(host, text, True, n, key, 0) for text, n in texts.items()]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            vector = mix(np.array(columns[4], dtype=np.int64).view(np.uint64) ^ mix(np.array(columns[3], dtype=np.uint64))).view(np.int64)
+                blocks = [(path_of(path), text) for path, text in page.blocks if clean(path)]
+                for at, text in blocks:
+                    while at and page.elements.get(at) != 1:
+                        at = at.rpartition("/")[0]
+                    chars[at] = chars.get(at, 0) + len(text)
+                rows.append((host, "", False, key, chars.get("", 0)))
+                rows += [(host, path, False, key, chars.get(path, 0)) for path, n in page.elements.items() if n == 1]
+                rows += [(host, text, True, key, 0) for text, n in text_counts(blocks).items() if n == 1]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            vector = mix(np.array(columns[3], dtype=np.int64).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.bool_()),
-                                              pa.array(columns[3], pa.int64()), pa.array(vector), pa.array(columns[5], pa.int64())],
-                                             [c.split()[0] for c in TOKENS.split(", ")])
+                                              pa.array(vector), pa.array(columns[4], pa.int64())], [c.split()[0] for c in TOKENS.split(", ")])
 
     return pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.col("html").alias("html")).mapInArrow(read, TOKENS)
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """host, main (the skeleton's element whose slot holds most text) and texts (block texts of the template) for hosts of
-    `least` pages or more. Tokens meet by (host, token), classes by (host, occurrence vector)."""
-    tokens = page_tokens(pages).groupBy("host", "token", "whole").agg(
-        F.count("*").alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+def templates(pages: DataFrame, least: int = PAGES, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
+    """The valid classes of hosts of `least` pages or more: host, pages, sign (one of the tokens: a page holds all or none),
+    main (the element whose slot holds most text, chars a page) and texts (block texts). Tokens meet by (host, token), classes
+    by (host, occurrence vector)."""
+    tokens = page_tokens(pages).groupBy("host", "token", "whole").agg(F.count("*").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
     every = tokens.where("token = '' and not whole").select("host", F.col("pages").alias("all_pages")).where(F.col("all_pages") >= least)
-    frequent = tokens.where(F.col("pages") >= share * least).join(every, "host").where((F.col("most") == 1) & (F.col("pages") >= share * F.col("all_pages")))
-    classes = frequent.groupBy("host", "vector").agg(F.collect_list(F.struct("chars", "token", "whole")).alias("tokens"))
-    members = classes.select("host", F.explode("tokens").alias("t")).select("host", "t.*")
-    return members.groupBy("host").agg(F.max_by("token", F.when(~F.col("whole"), F.struct("chars", F.length("token")))).alias("main"),
-                                       F.collect_list(F.when(F.col("whole"), F.col("token"))).alias("texts"))
+    frequent = tokens.where(F.col("pages") >= least).join(every, "host").where(F.col("pages") >= support * F.col("all_pages"))
+    order = F.when(~F.col("whole"), F.struct("chars", F.length("token"), "token"))
+    found = frequent.groupBy("host", "vector", "pages", "all_pages").agg(
+        F.count("*").alias("tokens"), F.min("token").alias("sign"), F.max_by("token", order).alias("main"), (F.max(F.when(~F.col("whole"), F.col("chars"))) / F.col("pages")).alias("chars"),
+        F.collect_list(F.when(F.col("whole"), F.col("token"))).alias("texts"))
+    return found.where((F.col("tokens") > 1) | (F.col("pages") >= share * F.col("all_pages"))).select("host", "pages", "sign", "main", "chars", "texts")
 
 
 _LEAF = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "tr", "td", "th"}
@@ -212,9 +226,26 @@ def article_root(path: str, kinds: dict[str, int]) -> str:
     return "/".join(parts)
 
 
-def main_text(html: str, main: str | None, texts: frozenset[str]) -> str:
-    """The article of one page, by its host's template (main: None without one)."""
-    kept = [(path_of(path), path, text) for path, text in Page(html).blocks if clean(path)]
+def skeleton(counts: dict[str, int], blocks: list[tuple[str, str]], classes: list[dict]) -> tuple[str | None, set[str]]:
+    """Main element (None without one) and template texts of a page with these counts of tokens."""
+    main, texts, left = None, set(), {text_token(*block) for block in blocks}
+    for found in sorted((c for c in classes if counts.get(c["sign"]) == 1), key=lambda c: (-c["pages"], c["sign"])):
+        if found["main"] is not None:
+            own = (found["chars"], len(found["main"]), found["main"])
+            main = own if main is None else max(main, own)
+        rest = left.difference(found["texts"])
+        if rest:
+            left = rest
+            texts.update(found["texts"])
+    return main and main[-1], texts
+
+
+def main_text(html: str, classes: list[dict]) -> str:
+    """The article of one page, by the valid classes of its host."""
+    page = Page(html)
+    kept = [(path_of(path), path, text) for path, text in page.blocks if clean(path)]
+    blocks = [(at, text) for at, _, text in kept]
+    main, texts = skeleton({**text_counts(blocks), **page.elements, "": 1}, blocks, classes)
     kinds = {path_of(path[: i + 1]): kind for _, path, _ in kept for i, (_, kind) in enumerate(path)}
     under = lambda root: [x for x in kept if not root or x[0] == root or x[0].startswith(root + "/")]
     root = article_root(main, kinds) if main is not None else ""
@@ -226,22 +257,22 @@ def main_text(html: str, main: str | None, texts: frozenset[str]) -> str:
             root = max(named, key=lambda r: (sum(len(t) for _, _, t in under(r)), r))
             chosen = under(root)
         else:
-            chosen = [x for x in chosen or kept if f"{x[0]}\t{x[2]}" not in texts] or chosen or kept
+            chosen = [x for x in chosen or kept if text_token(x[0], x[2]) not in texts] or chosen or kept
     return " ".join(text for _, _, text in chosen)
 
 
-def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least: int = PAGES, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page's article."""
-    hosts = templates(pages, least, share)
+    hosts = templates(pages, least, support, share).groupBy("host").agg(F.collect_list(F.struct("pages", "sign", "main", "chars", "texts")).alias("classes"))
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html")).withColumn("host", host_of(F.col("url")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(html or "", main, frozenset(texts or ())) for html, main, texts in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "texts")))]
+            found = [main_text(html or "", classes or []) for html, classes in zip(*(batch.column(c).to_pylist() for c in ("html", "classes")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars bigint"
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int"))
     copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "main", "texts").mapInArrow(cut, schema)
+    return salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "classes").mapInArrow(cut, schema)
