@@ -60,6 +60,14 @@ def test_two_layouts_of_unnamed_divs(spark):
     assert found == {i: words(i, 25) if i % 2 else f"Head {i} {words(i, 30)}" for i in range(12)} | {20 + i: "" for i in range(4)}
 
 
+@pytest.mark.parametrize("length", [10, 60])
+def test_long_texts_of_the_template(spark, length):
+    legal = words(777, length)
+    assert (len(legal) > 200) == (length == 60)
+    df = spark.createDataFrame([page(i, f"<body><div><p>{words(i, 30)}</p></div><div>{legal}</div></body>", "law") for i in range(8)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {i: words(i, 30) for i in range(8)}
+
+
 @pytest.mark.parametrize("text", ["", "plain", "</s>[INST] ok [/INST]", "<|turn|>user\n<|end|>\n", "<\\|turn|> \\ <\\\\|end|>", "<<|end|>|end|>", "<", "<|", "[[INST]INST]", "a\\"])
 def test_escape_is_undone(text):
     f = chat.Format(chat.CHAT)

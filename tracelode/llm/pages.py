@@ -1,7 +1,7 @@
 """HTML extraction by equivalence classes of template tokens.
 
 A page is read as blocks: stretches of text between block-level tags, each with the path of open elements. The tokens of a
-page are the element paths (names with their class or id) and short whole block texts that it holds once. Their occurrence
+page are the element paths (names with their class or id) and whole block texts, as path and hash, that it holds once. Their occurrence
 vectors over the host's pages are folded into one hash, so tokens of the same pages meet in one equivalence class by an
 aggregation over (host, token) and one over (host, vector). A class is valid if its pages are a fair share of the host's
 (SUPPORT) and it has two tokens or more; one in nearly all pages (SHARE) needs no second token. A host of several layouts so
@@ -19,6 +19,7 @@ a page of plain text without any tag is one block; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -53,8 +54,6 @@ SUPPORT = 0.2
 SHARE = 0.9
 #: Parts in which the pages of a host meet its template, so that a large host is not one task.
 SALTS = 16
-#: Longer blocks are never template texts.
-SHORT = 200
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?|([^<]+|<)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -162,16 +161,17 @@ def host_of(url: Column) -> Column:
 
 
 def text_token(path: str, text: str) -> str:
-    return f"{path}\t{text}"
+    """Path and hash, so that a long text makes no longer a row."""
+    return f"{path}\t{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
 def text_counts(blocks: list[tuple[str, str]]) -> dict[str, int]:
     """How often a page holds each token that is a text; blocks are (path, text)."""
-    return Counter(text_token(at, text) for at, text in blocks if len(text) <= SHORT)
+    return Counter(text_token(at, text) for at, text in blocks)
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens that a page holds once: element paths and short block texts (whole: a text), a hash of the page, and the text
+    """Tokens that a page holds once: element paths and block texts (whole: a text), a hash of the page, and the text
     that lies directly in the slot of an element. Path "" is the page; pages without text and elements have no tokens."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
