@@ -120,6 +120,18 @@ def test_mixing(spark, rows):
     assert mixing.mix_sources(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [])).count() == 0
 
 
+def test_a_tiny_source_does_not_shred_the_others(spark):
+    data = [(i, words(i, 1000), "aa", "ab"[i % 2], 0) for i in range(80)]
+    tiny = [(900, words(900, 90), "aa", "c", 0)]
+    for more in ([], tiny):
+        found = [r for r in mixing.mix_spans(frame(spark, data + more)).collect() if r.source in ("a", "b")]
+        assert len(found) == 80 and all(s[0] % 8 == 0 for r in found for s in r.spans)
+        inner = [e - b for r in found for b, e, _ in r.spans if b > 0 and e < r["size"]]
+        assert inner and all(n % 256 == 0 for n in inner)
+    taken = [r for r in mixing.mix_sources(frame(spark, data + tiny)).collect() if r.source == "c"]
+    assert abs(sum(r.taken for r in taken) - taken[0].target) <= 0.03 * taken[0].target + 16
+
+
 def test_targets_and_seats():
     assert mixing.capped_targets([100, 100, 1], [1, 2, 3]) == pytest.approx([66, 132, 3])
     assert mixing.capped_targets([0, 10], [1, 1]) == pytest.approx([0, 10])

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Every source gets a target in words: its weight's share of all words, at most `most` times its size, what is above reshared
-by weight. The words of a source lie in shards, and in a shard in blocks of equally many words that cross document limits.
-Blocks are allotted by highest quotients (target divided by the odd numbers), first to the sources, then within a source to
+by weight. The words of a source lie in shards, and in a shard in blocks of equally many words that cross document limits; only
+sources too small for BLOCK_WORDS have shorter blocks, which changes no other source's.
+Blocks are allotted by highest quotients (target divided by the odd numbers), first to the sources of a block length, then within a source to
 its shards, so each shard has a whole number of blocks. Which blocks a shard gives is drawn by a seeded hash; a quota above
 the number of blocks takes all of them once or twice first.
 
@@ -28,8 +29,10 @@ SEED = 20
 #: Words of a shard, about, and the most shards a source gets; with more words than both allow, shards grow.
 SHARD_WORDS = 1 << 19
 SHARDS = 4096
-#: Words of a block; fewer if the smallest source would hold under 512 blocks, but 8 at least.
+#: Words of a block: the second for every source of FULL such blocks or more (by its size and its target); a smaller source
+#: has blocks of its own length, a FULL-th of it, but of the first at least.
 BLOCK_WORDS = (8, 256)
+FULL = 64
 #: Stands for a null source among keys; names begin with "=".
 NO_SOURCE = "~"
 
@@ -83,16 +86,19 @@ def sainte_lague(shares: np.ndarray, seats: int, limits: np.ndarray) -> np.ndarr
     return got
 
 
-def source_plan(sized: DataFrame, weights: tuple[float, ...], most: int, block_words: tuple[int, int]) -> tuple[list[tuple], int]:
-    """(key, size, target, shards, blocks) of each source, and the words of a block. One entry per source name is held here."""
+def source_plan(sized: DataFrame, weights: tuple[float, ...], most: int, block_words: tuple[int, int]) -> list[tuple]:
+    """(key, size, target, shards, blocks, words of a block) of each source. One entry per source name is held here."""
     rows = [(r["__key"], int(r["words"])) for r in sized.groupBy("__key").agg(F.sum("size").alias("words")).collect()]
     rows.sort(key=lambda x: (x[0] == NO_SOURCE, x[0]))
     sizes = [n for _, n in rows]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most)
-    filled = [n for n in sizes if n]
-    block = int(np.clip(min(filled) // 512 if filled else 1, *block_words))
-    blocks = sainte_lague(np.array(targets), round(sum(targets) / block), np.array([most * -(-n // block) for n in sizes]))
-    return [(key, n, t, int(np.clip(-(-n // SHARD_WORDS), 1, SHARDS)), int(b)) for (key, n), t, b in zip(rows, targets, blocks)], block
+    shares, limits = np.array(targets), np.array(sizes, dtype=np.int64)
+    lengths = np.clip(np.minimum(shares, limits) // FULL, *block_words).astype(np.int64)
+    blocks = np.zeros(len(rows), dtype=np.int64)
+    for length in np.unique(lengths):
+        of = lengths == length
+        blocks[of] = sainte_lague(shares[of], round(shares[of].sum() / length), most * -(-limits[of] // length))
+    return [(key, n, t, int(np.clip(-(-n // SHARD_WORDS), 1, SHARDS)), int(b), int(w)) for (key, n), t, b, w in zip(rows, targets, blocks, lengths)]
 
 
 def chosen(words: int, block: int, quota: int, seed: int, name: str) -> np.ndarray:
@@ -124,15 +130,15 @@ def mix_spans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE))
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("__key"), size_of(F.col("text")).alias("size"),
                         F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("text_hash"))
-    plan, block = source_plan(sized, weights, most, block_words)
-    sources = docs.sparkSession.createDataFrame(plan, "__key string, source_size bigint, target double, shards bigint, blocks bigint")
+    plan = source_plan(sized, weights, most, block_words)
+    sources = docs.sparkSession.createDataFrame(plan, "__key string, source_size bigint, target double, shards bigint, blocks bigint, block bigint")
     keyed = sized.join(sources, "__key").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "text_hash"), "shards"))
-    shards = keyed.groupBy("__key", "__shard").agg(F.sum("size").alias("shard_words"), F.first("blocks").alias("blocks"))
+    shards = keyed.groupBy("__key", "__shard").agg(F.sum("size").alias("shard_words"), F.first("blocks").alias("blocks"), F.first("block").alias("block"))
 
     def quotas(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__shard", kind="stable")
         words = frame["shard_words"].to_numpy()
-        quota = sainte_lague(words, int(frame["blocks"].iloc[0]), most * -(-words // block))
+        quota = sainte_lague(words, int(frame["blocks"].iloc[0]), most * -(-words // int(frame["block"].iloc[0])))
         return frame.assign(quota=quota)[["__key", "__shard", "quota"]]
 
     quota = shards.groupBy("__key").applyInPandas(quotas, "__key string, __shard bigint, quota bigint")
@@ -140,7 +146,7 @@ def mix_spans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     def take(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text_hash"], kind="stable")
         sizes = frame["size"].to_numpy()
-        ends = np.cumsum(sizes)
+        ends, block = np.cumsum(sizes), int(frame["block"].iloc[0])
         times = chosen(int(ends[-1]), block, int(frame["quota"].iloc[0]), seed, f"{group[0]} {group[1]}")
         before = np.concatenate([[0], np.cumsum(times)]) * block
 
