@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tracelode.operators import vectors
 
 
@@ -75,6 +76,11 @@ def test_lists(spark):
     assert 0.3 < some <= 1.0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_rows_that_are_no_centres(spark, sf):
+    assert queries()["knn_ivf_rows_recall"](spark, f"/root/testdata/{sf}").first().recall >= 0.9
+
+
 def test_mean_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 3.0]), (0, [3.0, 5.0]), (1, [1.0, 1.0])], "label int, embedding array<float>")
     assert {r.label: r.query for r in vectors.mean_vectors(df, "label").collect()} == {0: [2.0, 4.0], 1: [1.0, 1.0]}

@@ -160,6 +160,15 @@ _KNN = """select query_id, rank, vec_id, round(distance, 6) as distance from (
 select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank from (
 select query_id, vec_id, {distance} as distance from label_means, embeddings) d) r where rank <= {k}"""
 _COSINE = _KNN.format(distance="1 - list_cosine_similarity(q, cast(embedding as double[]))", k=10)
+_IVF_ROWS = """with c as (select query_id as list_id, q as centre from label_means),
+ asked as (select vec_id as query_id, cast(embedding as double[]) as q from embeddings where vec_id % 20 = 0 and embedding is not null),
+ a as (select vec_id, embedding, list_id from (select vec_id, embedding, list_id, row_number() over (partition by vec_id
+   order by round(list_distance(centre, cast(embedding as double[])), 9), list_id) as rn from embeddings, c where embedding is not null) t where rn = 1),
+ p as (select query_id, q, list_id from (select query_id, q, list_id, row_number() over (partition by query_id
+   order by round(list_distance(q, centre), 9), list_id) as rn from asked, c) t where rn <= 8),
+ near as (select query_id, rank, vec_id, distance from (select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank
+   from (select query_id, vec_id, list_distance(q, cast(embedding as double[])) as distance from p join a using (list_id)) d) r where rank <= 10)"""
+
 _L2 = _KNN.format(distance="list_distance(q, cast(embedding as double[]))", k=10)
 _IN_TIME = """exists(select 1 from session_messages r where r.session_id = a.session_id and r.event = '{event}'
     and r.ts between a.ts and a.ts + interval 8 hours)"""
@@ -370,6 +379,11 @@ group by 1 order by started desc, trace_id limit 100"""),
    order by round(list_distance(q, centre), 9), list_id) as rn from label_means, c) t where rn <= 3)
 select query_id, rank, vec_id, round(distance, 6) as distance from (select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank
   from (select query_id, vec_id, list_distance(q, cast(embedding as double[])) as distance from p join a using (list_id)) d) r where rank <= 10"""),
+    "knn_ivf_rows": (["label_means"], f"""{_IVF_ROWS}
+select query_id, rank, vec_id, round(distance, 6) as distance from near"""),
+    "knn_ivf_rows_recall": (["label_means"], f"""{_IVF_ROWS}, exact as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id
+   order by round(list_distance(q, cast(embedding as double[])), 9), vec_id) as rank from asked, embeddings where embedding is not null) t where rank <= 10)
+select round(count(near.vec_id) / count(*), 6) as recall from exact left join near using (query_id, vec_id)"""),
     "knn_ivf_recall": (["label_means"], f"select cast(count(*) / count(*) as double) as recall from ({_L2}) t"),
     "intent_match": (["best"], "select doc_id, entry, round(confidence, 6) as confidence from best", _DOCS),
     "intent_match_commands": (["best"], "select event_id, entry, round(confidence, 6) as confidence from best", _SAYS),
