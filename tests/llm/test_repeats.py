@@ -107,6 +107,17 @@ def test_near_duplicates(spark, rows, rounds):
     assert kept.count() == wordless + len({c for _, c in brute_classes(with_words)}) + 1  # the row without an id is alone
 
 
+def test_near_copies_with_a_repeated_passage(spark):
+    """Set similarity 0.805, a passage of 150 words 100 times in one of both."""
+    data = []
+    for i in range(20):
+        text = words(5000 + i, 500).split()
+        data += [(2 * i, " ".join(text), "aa", "s", 0), (2 * i + 1, " ".join(text[:450] + words(7000 + i, 50).split() + text[:150] * 100), "aa", "s", 0)]
+    expected = brute_classes(data)
+    assert expected == [(i, i - i % 2) for i in range(40)]
+    assert sorted((r.doc_id, r.cluster_id) for r in minhash.near_duplicates(frame(spark, data)).collect()) == expected
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = columns.mix(np.arange(400, dtype=np.uint64))

@@ -1,16 +1,17 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is the set of its shingles (five consecutive words), each with weight 1 + ln(occurrences). Every shingle runs a
+A document is the set of its shingles (five consecutive words), each with weight 1 however often it occurs. Every shingle runs a
 Poisson process whose rate is its weight; each arrival picks a component of the signature at random, and a component keeps
 the shingle that arrived first. Arrivals later than the last component's best cannot win, so a shingle stops there: a few
 arrivals a shingle instead of one per component. Two documents agree in a component with their probability Jaccard
-similarity. Bands of equal signature parts give buckets; documents of a bucket are verified by the Jaccard similarity of
+similarity, which for weights 1 is the Jaccard similarity of the sets, the one that is verified. Bands of equal signature parts give buckets; documents of a bucket are verified by the Jaccard similarity of
 their shingle sets, and components of verified links are classes.
 
 Documents of the same shingle set are one node from the start. Within a bucket, members are compared with one hub, a few
 rounds with another hub each, only across classes found so far, so a large group of copies costs a few comparisons per
 member. What a bucket still holds of several classes then is compared all with all, in blocks of members whose common
-shingles are counted by a matrix product; only links leave a block. So no bucket is capped and no link is lost.
+shingles are counted by a matrix product; only links leave a block. So no bucket is capped and no link within one is lost;
+two documents of similarity 0.8 share a bucket with probability 0.9999, more similar ones with more.
 
 Defined results: fewer words than a shingle make one shingle; texts that are null or hold no word are classes of their own;
 cluster_id is the least doc_id of a class (null only if all ids are null); repeated rows are one class; extra columns are
@@ -70,12 +71,10 @@ def prob_minhash(document: np.ndarray, element: np.ndarray, weight: np.ndarray,
     return who.reshape(documents, size)
 
 
-def _distinct(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, shingle and number of occurrences of every distinct shingle of each document."""
-    found = [np.unique(x, return_counts=True) for x in texts]
-    sizes = [len(x) for x, _ in found]
-    none = [np.zeros(0, np.uint64)]
-    return np.repeat(np.arange(len(texts)), sizes), np.concatenate([x for x, _ in found] or none), np.concatenate([n for _, n in found] or none)
+def _distinct(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and shingle of every distinct shingle of each document."""
+    found = [np.unique(x) for x in texts]
+    return np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.concatenate(found or [np.zeros(0, np.uint64)])
 
 
 SKETCH = "doc_id bigint, row bigint, node binary, shingles int, bands array<bigint>"
@@ -89,9 +88,9 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
             for part in slices(batch, "text"):
                 all_words = words_of(texts_of(part.column("text")))
                 sets = [shingles(all_words.hash[a:b], words) for a, b in zip(all_words.first, all_words.first[1:])]
-                document, element, count = _distinct(sets)
+                document, element = _distinct(sets)
                 size = np.bincount(document, minlength=len(sets))
-                signature = prob_minhash(document, element, 1 + np.log(count), len(sets), bands * rows)
+                signature = prob_minhash(document, element, np.ones(len(element)), len(sets), bands * rows)
                 grouped = signature.reshape(len(sets), bands, rows)
                 hashes = mix(np.arange(bands, dtype=np.uint64)[None, :] + sum(mix(grouped[:, :, r] + _U(r + 1)) for r in range(rows)))
                 names = np.zeros((len(sets), 2), dtype=np.uint64)
