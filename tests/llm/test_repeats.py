@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from fixtures import corpus, frame, words
+from pyspark.sql import functions as F
 
 from tracelode.llm import columns, components, minhash, subtrees, suffixes, windows
 
@@ -118,6 +119,22 @@ def test_near_copies_with_a_repeated_passage(spark):
     assert sorted((r.doc_id, r.cluster_id) for r in minhash.near_duplicates(frame(spark, data)).collect()) == expected
 
 
+def test_bucket_with_the_same_hub_twice(spark):
+    """A is hub of {A, B, C} in both rounds and not linked; B and C are left to the last comparison."""
+    data = []
+    for i in range(150):
+        a, b = words(i, 60).split(), words(1000 + i, 20).split()
+        b = a[:40] + b
+        data += [(3 * i + k, " ".join(text), "aa", "s", 0) for k, text in enumerate((a, b, b[:-1] + ["other"]))]
+    order = F.xxhash64("node", F.lit(1)).cast("string").cast("binary")
+    found = {r.doc_id: r for r in minhash.sketches(frame(spark, data), bands=1, rows=1).withColumn("order", order).collect()}
+    first = lambda three: all(three[0][c] < min(r[c] for r in three[1:]) for c in ("node", "order")) and len({r.bands[0] for r in three}) == 1
+    at = next(i for i in range(150) if first([found[3 * i + k] for k in range(3)]))
+    three = frame(spark, data[3 * at : 3 * at + 3])
+    clusters = {r.doc_id - 3 * at: r.cluster_id - 3 * at for r in minhash.near_duplicates(three, bands=1, rows=1, rounds=2).collect()}
+    assert clusters == {0: 0, 1: 1, 2: 1}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = columns.mix(np.arange(400, dtype=np.uint64))

@@ -198,6 +198,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         order = F.col("node") if round_ == 0 else F.xxhash64("node", F.lit(round_)).cast("string").cast("binary")
         hubs = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                                    F.min(F.struct(order.alias("order"), "node", "component")).alias("hub")).where("low < high"), "hubs")
+        if hubs.isEmpty():
+            break
         if round_ == rounds:
             links = stored(compared(placed.join(hubs.select("bucket"), "bucket"), texts, words, similarity).distinct(), "verified")
             tested = links.withColumn("linked", F.lit(True)) if tested is None else tested.union(links.withColumn("linked", F.lit(True)))
@@ -208,8 +210,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         result = stored(verified(pairs, texts, words, similarity), "verified")
-        if result.isEmpty():
-            break
+        if result.isEmpty():  # every hub was compared before; what else is in the buckets was not
+            continue
         tested = result if tested is None else tested.union(result)
         found = components(tested.where("linked"))
     placed = sketch.select("doc_id", "row", "node")
