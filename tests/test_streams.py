@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tracelode.operators import events, logs, metrics, sessions
 from tracelode.streaming import events as event_streams, logs as log_streams, metrics as metric_streams
 from tracelode.streaming import sessions as session_streams
-from tracelode.streaming.run import finish, newest
+from tracelode.streaming import tables
+from tracelode.streaming.run import closed_by, finish
 
 START = datetime(2024, 1, 1)
 CLOSING = 10**6   # an event far in the future closes all windows
@@ -44,15 +45,15 @@ def test_event_stats(stream):
             for i in range(600)] + [(601, START, "only.bad", True, 1)]
     rng.shuffle(rows)
     source, df = stream(rows, "event_id bigint, ts timestamp, event_name string, is_error boolean, latency_ns bigint")
-    updates = finish(event_streams.stream_event_stats(source, salts=3), "stats", "update")
-    assert updates.select("batch").distinct().count() > 1
-    same(event_streams.merge_event_stats(updates), events.event_stats(df))
+    now = finish(event_streams.stream_event_stats(source, salts=3), "stats", event_streams.SALTED)
+    assert now.count() == now.select(*event_streams.SALTED).distinct().count()
+    same(event_streams.merge_event_stats(now), events.event_stats(df))
 
 
 def test_gauge(stream):
     rows = [(i, START, d) for i, d in enumerate([1, 1, -1, 1, -1, 1, 1])]
     source, df = stream(rows, "event_id bigint, ts timestamp, delta int")
-    same(newest(finish(event_streams.stream_active_gauge(source), "gauge", "update"), []), events.connection_totals(df))
+    same(finish(event_streams.stream_active_gauge(source), "gauge", []), events.connection_totals(df))
 
 
 def test_scrape(stream):
@@ -72,13 +73,27 @@ def test_late_rows_are_dropped(stream):
 
 
 def test_deadline(stream):
+    """Every answer is settled once, over batches, by the event that comes last."""
     rng = random.Random(7)
     kinds = [sessions.ANSWER, sessions.RESULT, sessions.UPDATE]
     rows = [(i, START + timedelta(milliseconds=i * 700), rng.choice(["hot", "hot", "b"]), rng.choice(kinds)) for i in range(240)]
-    rows += [(10**6 + i, START + timedelta(seconds=CLOSING), "end", kind) for i, kind in enumerate(kinds)]
+    rows += [(300 + i, START + timedelta(minutes=9, seconds=30 * i), "slow", kinds[i % 3]) for i in range(9)]
+    rows.append((10**6, START + timedelta(seconds=CLOSING), "end", sessions.RESULT))
     source, df = stream(rows, "event_id bigint, ts timestamp, session_id string, event string")
-    settled = session_streams.settle_answers(finish(session_streams.stream_answer_deadline(source), "deadline"))
-    same(settled, sessions.answer_deadline(df).where("session_id <> 'end'"))
+    settled = finish(session_streams.stream_answer_deadline(source), "deadline")
+    same(settled, sessions.answer_deadline(df))
+    assert {r.status for r in settled.collect()} == {"complete", "late_or_absent"}
+
+
+def test_deadline_of_shuffled_arrivals(stream):
+    """Replies before their answers, within the delay."""
+    rng = random.Random(8)
+    kinds = [sessions.ANSWER, sessions.RESULT, sessions.UPDATE]
+    rows = [(i, START + timedelta(milliseconds=i * 333, microseconds=i), rng.choice("abc"), rng.choice(kinds)) for i in range(300)]
+    rows = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rng.randrange(40)))
+    rows.append((10**6, START + timedelta(seconds=CLOSING), "end", sessions.RESULT))
+    source, df = stream(rows, "event_id bigint, ts timestamp, session_id string, event string", batches=6)
+    same(finish(session_streams.stream_answer_deadline(source, 4), "deadline"), sessions.answer_deadline(df, 4))
 
 
 def lines(rows):
@@ -88,27 +103,78 @@ def lines(rows):
 LINE = "container_id string, n int, ts timestamp, log string"
 
 
-def test_reassemble_over_batches(stream):
+def run_lines(start, source, tmp_path, schema=log_streams.LINE):
+    path = str(tmp_path / "out")
+    start(source, path, str(tmp_path / "checkpoint"), {"availableNow": True}, ["n"]).awaitTermination()
+    return log_streams.written_lines(source.sparkSession, path, schema)
+
+
+def test_reassemble_over_batches(stream, tmp_path):
     rows = lines([("a", 0, "one "), ("b", 0, "left"), ("a", 1, "two"), ("b", 7, "late\n"), ("a", 2, " three\n"), ("a", 3, "x\n"),
                   ("c", 3, "open"), ("a", CLOSING, "end\n")])
     source, df = stream(rows, LINE)
-    joined = finish(log_streams.stream_reassemble(source, ["n"]), "lines")
+    joined = run_lines(log_streams.stream_reassemble, source, tmp_path)
     same(joined, logs.reassemble(df, ["container_id"], ["n"]))
     assert "one two three\n" in [r.log for r in joined.collect()]
 
 
-def test_severe_logs(stream):
+def test_one_container_of_parts(stream, tmp_path):
+    """Parts of equal times stand by their place in the file, over many batches of one container."""
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        rows.append(("hot" if i % 9 else None, i // 7, f"{i}" + ("\n" if rng.random() < 0.3 else " ")))
+    source, df = stream(lines(rows + [("z", CLOSING, "end\n")]), LINE, batches=9)
+    same(run_lines(log_streams.stream_reassemble, source, tmp_path), logs.reassemble(df, ["container_id"], ["n"]))
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    joiner = log_streams.LineJoiner(path, ["n"], 5, 60, None)
+    batches = [spark.createDataFrame(lines(rows), LINE) for rows in ([("a", 0, "one ")], [("a", 1, "two\n"), ("b", 1, "x\n")], [("b", 900, "y\n")])]
+    for number in (0, 0, 1, 0, 1, 1, 2):
+        joiner(batches[number], number)
+    found = log_streams.written_lines(spark, path)
+    assert sorted(r.log for r in found.collect()) == ["one two\n", "x\n", "y\n"]
+
+
+def test_severe_logs(stream, tmp_path):
     rows = lines([("a", 0, '{"level":"warn",'), ("a", 1, '"msg":"slow"}\n'), ("a", 2, "fine\n"), ("b", 3, "it fai"), ("b", 4, "led\n"),
                   ("a", CLOSING, "end\n")])
     source, df = stream(rows, LINE)
     columns = ["service_name", "severity_text", "operation", "body", "msg", "environment"]
-    out = finish(log_streams.stream_logs(source, ["n"]).select(columns), "severe")
-    batch = logs.reassemble(df, ["container_id"], ["n"]).withColumns(
-        {"container_name": F.col("container_id"), "level": F.lit(None).cast("string")}).transform(logs.severe_logs)
+    batch = log_streams.severe(logs.reassemble(df, ["container_id"], ["n"]))
+    out = run_lines(log_streams.stream_logs, source, tmp_path, batch.schema).select(columns)
     same(out, batch.select(columns))
     assert out.count() == 2
 
 
+def test_tables_stay_small_over_many_batches(spark, tmp_path):
+    """A merged table is one folder, an appended one a few, however many batches came; older states go."""
+    merged, appended = (tables.BatchTable(spark, str(tmp_path / n), 3) for n in ("merged", "appended"))
+    for batch in range(30):
+        rows = spark.createDataFrame([(batch % 4, batch), (None, batch)], "k int, v int").coalesce(1)
+        for _ in range(1 + batch % 2):
+            merged.merge(rows, batch, ["k"])
+            appended.append(rows, batch)
+    assert sorted((r.k, r.v) for r in merged.read(rows.schema).where("k is not null").collect()) == [(0, 28), (1, 29), (2, 26), (3, 27)]
+    assert [r.v for r in merged.read(rows.schema).where("k is null").collect()] == [29]
+    assert sorted(r.v for r in appended.read(rows.schema).where("k is not null").collect()) == list(range(30))
+    assert len(merged.state()["folders"]) == 1 and len(appended.state()["folders"]) <= 9
+    assert merged.batches() == appended.batches() == [28, 29]
+    for name, most in (("merged", 2), ("appended", 14)):
+        assert len([f for f in (tmp_path / name).iterdir() if f.name.startswith("part-")]) <= most
+
+
+def test_a_batch_without_manifest_is_not_seen(spark, tmp_path):
+    table = tables.BatchTable(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([(1,)], "v int")
+    table.append(rows, 0)
+    table._write(rows)  # as a run that was stopped before its manifest
+    assert table.read(rows.schema).count() == 1
+    table.append(rows, 1)
+    assert table.read(rows.schema).count() == 2 and len([f for f in (tmp_path / "t").iterdir() if f.name.startswith("part-")]) == 2
+
+
 def test_stream_into_signal_folders(stream, spark, tmp_path):
     from tracelode.sources import sinks
     source, _ = stream([(1, START), (2, START + timedelta(days=1))], "id int, ts timestamp")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelode.operators import (
@@ -15,7 +18,7 @@ from tracelode.sources import logs as log_files, metrics as metric_texts, sinks,
 from tracelode.sources.tables import table_stream
 from tracelode.streaming import events as event_streams, logs as log_streams, metrics as metric_streams
 from tracelode.streaming import sessions as session_streams
-from tracelode.streaming.run import closed_by, finish, newest
+from tracelode.streaming.run import append_table, closed_by, finish, one_state_partition_per_core
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,8 +48,15 @@ def _write_raw_lines(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def _tail(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
-    tail = log_files.log_tail_load(spark, _write_raw_lines(spark, sf) + "/*/*", stream, max_files=100_000)
+def _tail(spark: SparkSession, sf: str) -> DataFrame:
+    return _without_key(log_files.log_tail_load(spark, _write_raw_lines(spark, sf) + "/*/*"))
+
+
+def _followed(spark: SparkSession, sf: str) -> DataFrame:
+    return _without_key(log_files.log_tail_follow(spark, _write_raw_lines(spark, sf).removeprefix("file:") + "/*/*.txt"))
+
+
+def _without_key(tail: DataFrame) -> DataFrame:
     return tail.withColumn("container_id", F.regexp_replace("container_id", "^container_id=", ""))
 
 
@@ -59,6 +69,33 @@ def log_tail_load(spark, sf):
     return _tail(spark, sf).select("container_id", "log", "stream", "source", _ntz("ts"))
 
 
+def _grow(lines: DataFrame, folder: str) -> None:
+    """Appends lines to the file of their container, as its runtime does; a container is one task."""
+    def append(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/{key[0]}/app.log"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "a", encoding="utf-8") as file:
+            file.write("".join(line + "\n" for line in rows.sort_values("line_no")["line"]))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    lines.select("container_id", "line_no", "line").groupBy("container_id").applyInPandas(append, "n bigint").agg(F.sum("n")).collect()
+
+
+@query
+def log_tail_follow(spark, sf):
+    """Three times the files grow and are read on from where the last run stopped; in between they are rotated."""
+    folder = run_folder(spark, "growing").removeprefix("file:")
+    lines = views.raw_log_lines(spark, sf)
+    for step in range(3):
+        _grow(lines.where(F.pmod("log_id", F.lit(3)) == step), f"{folder}/logs")
+        if step == 1:
+            for path in glob.glob(f"{folder}/logs/*/app.log"):
+                os.rename(path, f"{path}.1")
+        records = log_files.log_tail_follow(spark, f"{folder}/logs/*/app.log*", part_bytes=1 << 20)
+        append_table(records, f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    return spark.read.schema(records.schema).parquet(f"{folder}/out").select("container_id", "log", "stream", "source", _ntz("ts"))
+
+
 @query
 def reassemble(spark, sf):
     lines = _tail(spark, sf)
@@ -670,28 +707,35 @@ def severe_log_counts(spark, sf):
 
 # ---------------------------------------------------------------- streams, run over all that is there
 
+def _lines_of(start, spark: SparkSession, sf: str, name: str, schema) -> DataFrame:
+    folder = run_folder(spark, name)
+    with one_state_partition_per_core(spark):
+        start(_followed(spark, sf), folder, f"{folder}/checkpoint", {"availableNow": True}, log_files.STREAM_ORDER).awaitTermination()
+    return log_streams.written_lines(spark, folder, schema)
+
+
 @query
 def stream_reassemble(spark, sf):
-    joined = log_streams.stream_reassemble(_tail(spark, sf, stream=True), log_files.STREAM_ORDER)
-    return finish(joined, "reassemble").select("container_id", _ntz("ts"), "log")
+    return _lines_of(log_streams.stream_reassemble, spark, sf, "reassemble", log_streams.LINE).select("container_id", _ntz("ts"), "log")
 
 
 @query
 def stream_logs(spark, sf):
-    severe = log_streams.stream_logs(_tail(spark, sf, stream=True), log_files.STREAM_ORDER).drop("log_fields")
-    return finish(severe, "severe-logs").select("service_name", _ntz("ts"), "severity_text", "operation", "body", "msg")
+    schema = log_streams.severe(spark.createDataFrame([], log_streams.LINE)).schema
+    severe = _lines_of(log_streams.stream_logs, spark, sf, "severe-logs", schema)
+    return severe.select("service_name", _ntz("ts"), "severity_text", "operation", "body", "msg")
 
 
 @query
 def stream_event_stats(spark, sf):
     rows = views.kind_outcomes(spark, sf, table_stream)
-    return event_streams.merge_event_stats(finish(event_streams.stream_event_stats(rows), "event-stats", "update"))
+    return event_streams.merge_event_stats(finish(event_streams.stream_event_stats(rows), "event-stats", event_streams.SALTED))
 
 
 @query
 def stream_active_gauge(spark, sf):
     rows = views.connections(spark, sf, table_stream)
-    return newest(finish(event_streams.stream_active_gauge(rows), "gauge", "update"), [])
+    return finish(event_streams.stream_active_gauge(rows), "gauge", [])
 
 
 @query
@@ -703,7 +747,6 @@ def stream_scrape(spark, sf):
 
 @query
 def stream_answer_deadline(spark, sf):
-    rows = views.session_messages(spark, sf, table_stream)
-    settled = session_streams.settle_answers(
-        finish(session_streams.stream_answer_deadline(rows, 8 * 3600), "deadline"))
+    rows = closed_by(views.session_messages(spark, sf, table_stream), {"session_id": "closing", "event": sessions.RESULT})
+    settled = finish(session_streams.stream_answer_deadline(rows, 8 * 3600), "deadline")
     return settled.withColumn("answered_at", F.col("answered_at").cast("timestamp_ntz"))

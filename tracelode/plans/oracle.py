@@ -451,14 +451,13 @@ select trace_id, span_id, depth from d"""),
     "stream_event_stats": (["kind_outcomes"], _STATS.format(v="kind_outcomes")),
     "stream_active_gauge": (["connections"], _TOTALS),
     "stream_scrape": (["metric_samples"], _SCRAPE),
-    "stream_answer_deadline": (["session_messages"], f"""select d.* from ({_DEADLINE}) d
-where time_bucket(interval 8 hours, answered_at, timestamp '1970-01-01') + interval 16 hours <=
-  (select max(ts) from session_messages where event in ('kc.answer.result', 'kc.adaptive.update')) - interval 1 minute"""),
+    "stream_answer_deadline": (["session_messages"], _DEADLINE),
     "severe_log_counts": (["logs"], f"select service_name, severity_text, operation, count(*) as records from ({_SEVERE}) s group by all"),
 }
 
 
 _FOUND, _ABSENT = ORACLES["correlation_match"], ORACLES["missing_spans"]
+ORACLES["log_tail_follow"] = ORACLES["log_tail_load"]
 ORACLES["trace_check"] = (["span_tags", "app_errors", "spans"], f"""with found as ({_FOUND[1]}), lacking as ({_ABSENT[1]}),
  n as (select trace_id, count(*) as n_missing from lacking group by 1)
 select e.event_id as set_id, f.trace_id, coalesce(f.hits, 0) as hits, case when f.trace_id is null then 5 else coalesce(n.n_missing, 0) end as n_missing,

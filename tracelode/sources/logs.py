@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelode.functions.once import with_once
+from tracelode.sources.tail import tail_lines
 
 LINE = "log string, stream string, time string"
 
@@ -22,24 +23,37 @@ def parse_container_lines(df: DataFrame, line: str = "value") -> DataFrame:
                          parse_time(F.col("_l.time")).alias("ts"))
 
 
-# Columns that put the lines of a container in the order they were written. A stream has
-# no line numbers, there the time of a line comes first.
-LINE_ORDER = ["file_path", "block_start", "line_id"]
-STREAM_ORDER = ["file_path"]
+# Columns that put the lines of a container in the order they were written. Closed files are ordered by the number that
+# rotation gave them, the highest being the oldest and the file without one the newest. A followed file has no rank among
+# the files of its container, as rotation renames it; there the time of a line comes first.
+LINE_ORDER = ["file_age", "file_path", "block_start", "line_id"]
+STREAM_ORDER = ["file_id", "line_start"]
 
 
-def log_tail_load(spark: SparkSession, path: str, stream: bool = False, max_files: int = 1000) -> DataFrame:
-    """(I) Container log files (JSON per line) to records, as a frame or as a stream of new files.
+def file_age(path: Column) -> Column:
+    """Minus the number at the end of a rotated file's name (``app.log.3``), 0 for the open file."""
+    return -F.coalesce(F.regexp_extract(path, r"\.([0-9]{1,9})(?:\.[a-z]+)?$", 1).try_cast("int"), F.lit(0))
+
+
+def _records(lines: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    named = {"container_id": F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1), **columns}
+    return parse_container_lines(lines.withColumns(named)).withColumn("source", F.lit("docker"))
+
+
+def log_tail_load(spark: SparkSession, path: str) -> DataFrame:
+    """(I) Container log files (JSON per line) to records.
 
     The path may hold wildcards. Adds ``source``, the container (the file's folder) and the
     columns that order its lines.
     """
-    if stream:
-        lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    else:
-        lines = spark.read.text(path)
-    file = F.col("_metadata.file_path")
-    named = {"container_id": F.regexp_extract(file, "([^/]+)/[^/]+$", 1), "file_path": file}
-    if not stream:
-        named |= {"block_start": F.col("_metadata.file_block_start"), "line_id": F.monotonically_increasing_id()}
-    return parse_container_lines(lines.withColumns(named)).withColumn("source", F.lit("docker"))
+    lines = spark.read.text(path).withColumn("file_path", F.col("_metadata.file_path"))
+    return _records(lines, {"file_age": file_age(F.col("file_path")), "block_start": F.col("_metadata.file_block_start"),
+                            "line_id": F.monotonically_increasing_id()})
+
+
+def log_tail_follow(spark: SparkSession, path: str, **options: int) -> DataFrame:
+    """(I) The same records as a stream over files that grow: lines appended later, rotated and cut back files included.
+
+    See ``sources.tail`` for the rules and options.
+    """
+    return _records(tail_lines(spark, path, **options), {})

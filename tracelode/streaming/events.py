@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracelode.operators.events import RING, latency_ring
-from tracelode.streaming.run import newest, use_rocksdb
+from tracelode.streaming.run import use_rocksdb
 
 SAMPLE = "ts timestamp, event_id bigint, latency_ns bigint"
 
@@ -45,14 +45,19 @@ class _Counter(StatefulProcessor):
         pass
 
 
-def stream_event_stats(events: DataFrame, keep: int = RING, salts: int = 16) -> DataFrame:
+SALTED = ["event_name", "salt"]
+
+
+def stream_event_stats(events: DataFrame, keep: int = RING, salts: int | None = None) -> DataFrame:
     """(I) Counts, errors and last samples per event and salt, updated per batch.
 
-    The salt spreads one busy event over ``salts`` tasks. The last samples of the event are
-    among the last samples of its salts, so nothing is lost; ``merge_event_stats`` puts
-    them together. Samples are kept by (ts, event_id), so late input gives the same ring.
+    The salt spreads one busy event over ``salts`` tasks, by default one for every shuffle partition that the stream
+    starts with. The last samples of the event are among the last samples of its salts, so nothing is lost;
+    ``merge_event_stats`` puts them together. Samples are kept by (ts, event_id), so late input gives the same ring.
+    Written by ``update_table`` with the keys SALTED.
     """
     use_rocksdb(events.sparkSession)
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = events.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
     return salted.select("event_name", "salt", "ts", "event_id", "latency_ns", "is_error").groupBy(
         "event_name", "salt").transformWithStateInPandas(
@@ -64,9 +69,8 @@ def _fields() -> str:
     return ", ".join(f"{name}:{kind}" for name, kind in (f.split() for f in SAMPLE.split(", ")))
 
 
-def merge_event_stats(updates: DataFrame, keep: int = RING) -> DataFrame:
-    """Stats per event from the newest rows of all its salts, as ``event_stats`` gives them."""
-    now = newest(updates, ["event_name", "salt"])
+def merge_event_stats(now: DataFrame, keep: int = RING) -> DataFrame:
+    """Stats per event from the rows of all its salts, as ``event_stats`` gives them."""
     counts = now.groupBy("event_name").agg(F.sum("processed").alias("count"), F.sum("errors").alias("errors"))
     samples = now.select("event_name", F.lit(False).alias("is_error"), F.inline("ring"))
     ring = latency_ring(samples, keep).groupBy("event_name").agg(

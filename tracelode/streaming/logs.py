@@ -2,74 +2,98 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tracelode.operators.logs import severe_logs
-from tracelode.streaming.run import use_rocksdb
-
-
-class _Joiner(StatefulProcessor):
-    """Keeps the open part of one container's log; an event-time timer gives it out when nothing follows."""
-
-    def __init__(self, flush_seconds: int):
-        self.flush = flush_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "ts timestamp, log string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(rows)
-        order = [c for c in lines.columns if c.startswith("order_")]
-        lines = lines.sort_values(["ts", *order])[["ts", "log"]]
-        if self.open.exists():
-            lines = pd.concat([pd.DataFrame([self.open.get()], columns=["ts", "log"]), lines])
-        lines = lines.reset_index(drop=True)
-        ended = lines["log"].str.endswith("\n")
-        late = lines["ts"].diff() > pd.Timedelta(seconds=self.flush)
-        line = (ended.shift(fill_value=True) | late).cumsum()
-        joined = lines.groupby(line).agg(ts=("ts", "min"), log=("log", "".join))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if ended.iloc[-1]:
-            self.open.clear()
-        else:
-            self.open.update(tuple(joined.iloc[-1]))
-            self.handle.registerTimer(int(lines["ts"].iloc[-1].timestamp() * 1000) + 1000 * self.flush)
-            joined = joined.iloc[:-1]
-        yield self._named(key, joined)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            rest = pd.DataFrame([self.open.get()], columns=["ts", "log"])
-            self.open.clear()
-            yield self._named(key, rest)
-
-    def _named(self, key, lines: pd.DataFrame) -> pd.DataFrame:
-        return lines.assign(container_id=key[0])[["container_id", "ts", "log"]]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_reassemble(lines: DataFrame, order: list[str], flush_seconds: int = 5, delay: str = "1 minute") -> DataFrame:
-    """(I) Joins split lines per container; see ``operators.logs.reassemble`` for the rule.
-
-    An open part is given out when the watermark is ``flush_seconds`` past it. Lines are put in order by time, then by
-    the columns of ``order``. The order of a container's lines is what is being rebuilt, so one container is one
-    state key; a batch of it is bounded by the files taken per trigger.
+from tracelode.operators.ordered import previous, running_sum, slices
+from tracelode.streaming.tables import BatchTable
+
+KEY = "container_id"
+LINE = "container_id string, ts timestamp, log string"
+OPEN = "container_id string, started timestamp, ts timestamp, log string"
+
+
+def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Lines of a batch put together with what earlier ones left open: (joined lines, unfinished last line of each container).
+
+    A container's lines are cut into slices of (container, time, order), so one container is many tasks; what a slice owes to
+    the one before is one row.
+    """
+    new = lines.select(KEY, F.lit(1).alias("_new"), F.col("ts").alias("started"), "ts", "log", *order)
+    kinds = {f.name: f.dataType for f in new.schema}
+    old = open_parts.select(KEY, F.lit(0).alias("_new"), "started", "ts", "log", *[F.lit(None).cast(kinds[c]).alias(c) for c in order])
+    place = ["_new", "ts", *order]
+    cut = slices(old.unionByName(new), [KEY], place)
+    before = previous(cut, [KEY], place, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
+    late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
+    starts = F.col("_before").isNull() | F.col("_before.ended") | late
+    numbered = running_sum(before, [KEY], place, starts.cast("int"), "_line")
+    pieces = F.sort_array(F.collect_list(F.struct(*place, "log")))
+    whole = numbered.groupBy(KEY, "_line").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), pieces.alias("_pieces"))
+    whole = whole.select(KEY, "_line", "started", "ts", F.array_join(F.transform("_pieces", lambda p: p["log"]), "").alias("log")).persist()
+    ended = F.col("log").endswith("\n")
+    # Only lines without an end meet the last line of their container: as many as there are pauses.
+    last = whole.groupBy(KEY).agg(F.max("_line").alias("_last"))
+    unended = whole.where(~ended).join(last.withColumnRenamed(KEY, "_c"), F.col(KEY).eqNullSafe(F.col("_c"))).drop("_c")
+    done = whole.where(ended).unionByName(unended.where("_line < _last").drop("_last"))
+    return done.select(KEY, F.col("started").alias("ts"), "log"), unended.where("_line = _last").select(KEY, "started", "ts", "log")
+
+
+class LineJoiner:
+    """Writes the joined lines of a stream, batch by batch.
+
+    Below `path`, ``lines`` is the result and ``open`` the part of each container that is still waiting for its end: one row
+    a container. Such a part is given out when the newest time seen is `delay` and the flush time past it. Both are tables of
+    ``streaming.tables``: a batch that is run again changes nothing that it has written before, and reads the open parts as
+    they were before it.
     """
-    use_rocksdb(lines.sparkSession)
-    renamed = lines.withWatermark("ts", delay).select("container_id", "ts", "log", *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)])
-    return renamed.groupBy("container_id").transformWithStateInPandas(
-        _Joiner(flush_seconds), "container_id string, ts timestamp, log string", "append", "eventTime")
 
+    def __init__(self, path: str, order: list[str], flush_seconds: int, delay_seconds: int, then: Callable[[DataFrame], DataFrame] | None) -> None:
+        self._path, self._order, self._flush, self._wait, self._then = path, order, flush_seconds, delay_seconds, then
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        lines, open_parts = BatchTable(spark, f"{self._path}/lines"), BatchTable(spark, f"{self._path}/open")
+        if open_parts.done(batch):
+            return
+        rows = rows.persist()
+        seen = rows.agg(F.max("ts")).first()[0]
+        before = open_parts.state(batch)["notes"].get("seen")
+        seen = max(filter(None, (seen, before and datetime.fromisoformat(before))), default=None)
+        done, waiting = join_parts(rows, open_parts.read(OPEN, batch), self._order, self._flush)
+        limit = seen and seen - timedelta(seconds=self._flush + self._wait)
+        over = F.col("ts") < F.lit(limit)
+        given_out = done.unionByName(waiting.where(over).select(KEY, F.col("started").alias("ts"), "log"))
+        lines.append(self._then(given_out) if self._then else given_out, batch)
+        open_parts.replace(waiting.where(~over), batch, seen=seen and seen.isoformat())
+        spark.catalog.clearCache()
+
+
+def stream_reassemble(lines: DataFrame, path: str, checkpoint: str, trigger: dict, order: list[str], flush_seconds: int = 5,
+                      delay_seconds: int = 60, then: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """(I) Joins split lines per container into the table ``path``/lines; see ``operators.logs.reassemble`` for the rule.
+
+    Lines of a batch are put in order by time, then by the columns of ``order``, behind what earlier batches left open;
+    `then` changes the joined lines before they are written.
+    """
+    return (lines.select(KEY, "ts", "log", *order).writeStream.foreachBatch(LineJoiner(path, order, flush_seconds, delay_seconds, then))
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
-def stream_logs(lines: DataFrame, order: list[str], delay: str = "1 minute") -> DataFrame:
+
+def severe(joined: DataFrame) -> DataFrame:
+    """Joined lines to severe log records by the batch rules."""
+    return severe_logs(joined.withColumns({"container_name": F.col(KEY), "level": F.lit(None).cast("string")}))
+
+
+def stream_logs(lines: DataFrame, path: str, checkpoint: str, trigger: dict, order: list[str], delay_seconds: int = 60) -> StreamingQuery:
     """(I) Container lines to severe log records: join parts, then the batch rules unchanged."""
-    joined = stream_reassemble(lines, order, delay=delay).withColumn("container_name", F.col("container_id"))
-    return severe_logs(joined.withColumn("level", F.lit(None).cast("string")))
+    return stream_reassemble(lines, path, checkpoint, trigger, order, delay_seconds=delay_seconds, then=severe)
+
+
+def written_lines(spark: SparkSession, path: str, schema: T.StructType | str = LINE) -> DataFrame:
+    """What a line stream has written so far."""
+    return BatchTable(spark, f"{path}/lines").read(schema)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelode.session import run_folder
+from tracelode.streaming.tables import BatchTable
 
 CLOSING_TIME = datetime(2999, 1, 1)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,12 +26,10 @@ def append_table(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> St
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def update_table(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Updated rows of each batch into ``batch=<n>``; a batch that is run again replaces its folder."""
-    def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    return (df.writeStream.outputMode("update").foreachBatch(write)
+def update_table(df: DataFrame, path: str, checkpoint: str, trigger: dict, keys: list[str]) -> StreamingQuery:
+    """A table of the newest row of every key, as it is after the last batch; see ``streaming.tables``."""
+    table = BatchTable(df.sparkSession, path)
+    return (df.writeStream.outputMode("update").foreachBatch(lambda rows, batch: table.merge(rows, batch, keys))
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
@@ -49,16 +48,15 @@ def one_state_partition_per_core(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def finish(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote."""
+def finish(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote: all rows, or the newest of every key."""
     spark = df.sparkSession
     folder = run_folder(spark, name)
-    write = append_table if mode == "append" else update_table
+    out, checkpoint, trigger = f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True}
     with one_state_partition_per_core(spark):
-        query = write(df, f"{folder}/out", f"{folder}/checkpoint", {"availableNow": True})
+        query = append_table(df, out, checkpoint, trigger) if keys is None else update_table(df, out, checkpoint, trigger, keys)
     query.awaitTermination()
-    schema = df.schema.add("batch", T.IntegerType()) if mode == "update" else df.schema
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    return spark.read.schema(df.schema).parquet(out) if keys is None else BatchTable(spark, out).read(df.schema)
 
 
 def closed_by(stream: DataFrame, *rows: dict, time: str = "ts") -> DataFrame:
@@ -72,10 +70,3 @@ def closed_by(stream: DataFrame, *rows: dict, time: str = "ts") -> DataFrame:
     closing = [tuple({time: CLOSING_TIME, **row}.get(f.name) for f in schema) for row in rows]
     spark.createDataFrame(closing, schema).coalesce(1).write.parquet(folder)
     return stream.unionByName(spark.readStream.schema(schema).parquet(folder))
-
-
-def newest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Last written row per key of an update table."""
-    columns = [c for c in df.columns if c not in (*keys, "batch")]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("last"))
-    return last.select(*keys, "last.*")

@@ -2,45 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracelode.operators.sessions import ANSWER, DEADLINE_SECONDS, RESULT, UPDATE
+from tracelode.streaming.run import use_rocksdb
+
+SETTLED = "answer_id bigint, session_id string, answered_at timestamp, result_in_time boolean, update_in_time boolean, status string"
+_REPLIES = (RESULT, UPDATE)
+
+
+class _Deadlines(StatefulProcessor):
+    """The open answers of one session, and its replies as first and last time per window as long as the deadline.
+
+    A reply in time lies in the answer's window, at or after the answer, or in the next one, not after the deadline, so the
+    window's last, or first, time decides (as in the batch form) and a busy session keeps two numbers a window and kind.
+    """
+
+    def __init__(self, seconds: int) -> None:
+        self.width = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answers = handle.getMapState("answers", "answer_id bigint", "answered bigint")
+        self.windows = handle.getMapState("windows", "number bigint, kind int", "first bigint, last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for batch in rows:
+            asked = batch[batch["event"] == ANSWER]
+            for answer_id, at in zip(asked["event_id"].tolist(), asked["us"].tolist()):
+                self.answers.updateValue((answer_id,), (at,))
+                due.add(self._timer(at))
+            for kind, event in enumerate(_REPLIES):
+                at = batch.loc[batch["event"] == event, "us"]
+                for number, own in at.groupby(at // self.width):
+                    first, last = int(own.min()), int(own.max())
+                    slot = (int(number), kind)
+                    if self.windows.containsKey(slot):
+                        known = self.windows.getValue(slot)
+                        first, last = min(first, known[0]), max(last, known[1])
+                    self.windows.updateValue(slot, (first, last))
+        for time in due:
+            self.handle.registerTimer(time)
+        if not due:
+            self._forget(timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame([], columns=_columns())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Answers whose deadline the watermark has passed: every reply in time has been seen."""
+        time = expiredTimerInfo.getExpiryTimeInMs()
+        over = [(answer_id, at) for (answer_id,), (at,) in self.answers.iterator() if self._timer(at) <= time]
+        out = []
+        for answer_id, at in over:
+            hits = [self._in_time(kind, at) for kind in range(len(_REPLIES))]
+            out.append((answer_id, key[0], pd.Timestamp(at, unit="us"), *hits, "complete" if all(hits) else "late_or_absent"))
+            self.answers.removeKey((answer_id,))
+        self._forget(timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=_columns())
+
+    def _timer(self, at: int) -> int:
+        return (at + self.width) // 1000 + 1
+
+    def _in_time(self, kind: int, at: int) -> bool:
+        own, following = (at // self.width, kind), (at // self.width + 1, kind)
+        if self.windows.containsKey(own) and self.windows.getValue(own)[1] >= at:
+            return True
+        return self.windows.containsKey(following) and self.windows.getValue(following)[0] <= at + self.width
+
+    def _forget(self, watermark_ms: int) -> None:
+        """Windows before the oldest open answer and before any that may still come."""
+        oldest = min([at for (_,), (at,) in self.answers.iterator()], default=1 << 62)
+        limit = min(oldest, watermark_ms * 1000) // self.width
+        for slot in [slot for slot in self.windows.keys() if slot[0] < limit]:
+            self.windows.removeKey(slot)
+
+    def close(self) -> None:
+        pass
+
+
+def _columns() -> list[str]:
+    return [c.split()[0] for c in SETTLED.split(", ")]
 
 
 def stream_answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """(I) Per answer and window the replies in time; ``settle_answers`` folds the two windows.
+    """(I) Answers as ``answer_deadline`` gives them, each when the watermark has passed its deadline.
 
-    As in the batch form, replies are reduced to first and last per session and window
-    before the join, so an answer meets one row per window and not every reply. Both
-    sides join on the window, which lets the watermark clear their state.
+    An event-time timer settles an answer, so all answers come out, late and unanswered ones too, as long as time goes on;
+    at the end of a stream one closing event of a far time does (``closed_by``).
     """
-    width = f"{seconds} seconds"
-    replies = messages.where(F.col("event").isin(RESULT, UPDATE)).withWatermark("ts", delay).groupBy(
-        F.col("session_id").alias("reply_session"), F.window("ts", width).alias("reply_win")).agg(
-        *[f(F.when(F.col("event") == e, F.col("ts"))).alias(f"{n}_{name}")
-          for e, name in ((RESULT, "result"), (UPDATE, "update")) for n, f in (("first", F.min), ("last", F.max))])
-    due = F.timestamp_add("SECOND", F.lit(seconds), F.col("ts"))
-    asked = messages.where(F.col("event") == ANSWER).select(
-        "session_id", F.col("event_id").alias("answer_id"), F.col("ts").alias("answered_at"), due.alias("due"),
-        F.explode(F.array("ts", due)).alias("probe"))
-    probes = asked.withWatermark("probe", delay).withColumns({
-        "win": F.window("probe", width), "own": F.col("probe") == F.col("answered_at")}).drop("probe")
-    met = probes.join(replies, (F.col("session_id") == F.col("reply_session")) & (F.col("win") == F.col("reply_win")),
-                      "left_outer")
-
-    def in_time(name: str):
-        hit = (F.col(f"last_{name}") >= F.col("answered_at")) & (
-            F.col("own") | (F.col(f"first_{name}") <= F.col("due")))
-        return F.coalesce(hit, F.lit(False)).alias(f"{name}_in_time")
-
-    return met.select("answer_id", "session_id", "answered_at", in_time("result"), in_time("update"))
-
-
-def settle_answers(rows: DataFrame) -> DataFrame:
-    """Answers of which both windows are closed, as ``answer_deadline`` gives them."""
-    folded = rows.groupBy("answer_id", "session_id", "answered_at").agg(
-        F.count("*").alias("windows"), F.bool_or("result_in_time").alias("result_in_time"),
-        F.bool_or("update_in_time").alias("update_in_time"))
-    complete = F.col("result_in_time") & F.col("update_in_time")
-    return folded.where("windows = 2").drop("windows").withColumn(
-        "status", F.when(complete, "complete").otherwise("late_or_absent"))
+    use_rocksdb(messages.sparkSession)
+    rows = messages.withWatermark("ts", delay).where(F.col("event").isin(ANSWER, *_REPLIES)).select(
+        "session_id", "event_id", "event", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("session_id").transformWithStateInPandas(_Deadlines(seconds), SETTLED, "append", "eventTime")
