@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tracelode.session import run_folder
 from tracelode.streaming.tables import BatchTable
 
-CLOSING_TIME = datetime(2999, 1, 1)
+#: Far, and within what nanoseconds since 1970 can hold.
+CLOSING_TIME = datetime(2200, 1, 1)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
