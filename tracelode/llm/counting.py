@@ -21,8 +21,11 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -48,8 +51,17 @@ class Token(NamedTuple):
     joined: bool
 
 
+#: Words whose counts a task keeps: those met lately, and as many of before until they are met again.
+KEPT_WORDS = 500_000
+#: str.split() splits here; not every splitter of a tokenizer does.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 class Library:
-    """A file of the tokenizers library."""
+    """A file of the tokenizers library.
+
+    Where the file's splitter drops white space and its vocabulary marks the ends of words, nothing reaches over white space, so
+    the count of a text is that of its words, and words met before are looked up."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,16 +70,53 @@ class Library:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        added = self._tokenizer.get_added_tokens_decoder().values()
         #: Characters on either side of a place that decide whether a special string or a word's short ending covers it.
-        self.sight = max([4, *(len(t.content) for t in self._tokenizer.get_added_tokens_decoder().values())])
-
-    def counts(self, texts: list[str]) -> list[int]:
+        self.sight = max([4, *(len(t.content) for t in added)])
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        splitter = form.get("pre_tokenizer") or {}
+        splits = [p for p in splitter.get("pretokenizers", [splitter]) if p.get("type") == "Split"]
+        dropped = any(p["behavior"] == "Removed" and p["invert"] and "\\s" in p["pattern"].get("Regex", "") and " ?" not in p["pattern"]["Regex"] for p in splits)
+        alone = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        self._by_word = bool(dropped and alone and form["model"].get("end_of_word_suffix"))
+        self._known: dict[str, int] = {}
+        self._before: dict[str, int] = {}
+
+    def _encoded(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def tokens(self, text: str) -> list[Token]:
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self._by_word:
+            return self._encoded(texts)
+        split = [None if _SEPARATORS.search(text) else text.split() for text in texts]
+        wanted: set[str] = set()
+        for words in split:
+            wanted.update(words or ())
+        if len(self._known) + len(wanted) > KEPT_WORDS:
+            self._known, self._before = {}, self._known
+        new = wanted.difference(self._known)
+        back = new.intersection(self._before)
+        self._known.update((word, self._before[word]) for word in back)
+        new = list(new - back)
+        self._known.update(zip(new, self._encoded(new)))
+        count = self._known.__getitem__
+        return [self._encoded([text])[0] if words is None else sum(map(count, words)) for text, words in zip(texts, split)]
+
+    def ends(self, text: str, start: int, head: int, tail: int) -> tuple[int, list[Token], list[Token]]:
+        """The number of tokens, those that begin before place `head`, and those from the last before place `tail` on. Places
+        of the tokens count from `start`."""
         found = self._tokenizer.encode(text, add_special_tokens=False)
-        words = found.word_ids
-        return [Token(i, s, e, k > 0 and words[k] is not None and words[k] == words[k - 1]) for k, (i, (s, e)) in enumerate(zip(found.ids, found.offsets))]
+        ids, begin = found.ids, lambda k: found.token_to_chars(k)[0]
+        indices = range(len(ids))
+
+        def token(k: int) -> Token:
+            low, high = found.token_to_chars(k)
+            word = found.token_to_word(k)
+            return Token(ids[k], low + start, high + start, k > 0 and word is not None and word == found.token_to_word(k - 1))
+
+        first, last = bisect_left(indices, head, key=begin), bisect_left(indices, tail, key=begin)
+        return len(ids), [token(k) for k in indices[:first]], [token(k) for k in indices[max(last - 1, 0) :]]
 
 
 @lru_cache(maxsize=2)
@@ -132,12 +181,10 @@ def _ends(chunks: DataFrame, tokenizer: str, chunk: int, overlap: int) -> DataFr
             for part in slices(batch, "text"):
                 rows = []
                 for key, number, start, last, text in zip(*(c.to_pylist() for c in part.columns)):
-                    tokens = [Token(t.id, t.start + start, t.end + start, t.joined) for t in library(tokenizer).tokens(text)]
-                    head = [t._asdict() for t in tokens if t.start < start + overlap] if number else None
-                    rows.append((key, number, len(tokens), head, None, text[:overlap] if number else None))
+                    size, head, tail = library(tokenizer).ends(text, start, overlap if number else 0, len(text) if last else chunk)
+                    rows.append((key, number, size, [t._asdict() for t in head] if number else None, None, text[:overlap] if number else None))
                     if not last:
-                        first = next((k for k, t in enumerate(tokens) if t.start >= start + chunk), len(tokens))
-                        rows.append((key, number + 1, 0, None, [t._asdict() for t in tokens[max(first - 1, 0) :]], None))
+                        rows.append((key, number + 1, 0, None, [t._asdict() for t in tail], None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
 
     return chunks.mapInArrow(encode, ENDS)
