@@ -34,7 +34,8 @@ class _Deadlines(StatefulProcessor):
         due = set()
         for batch in rows:
             asked = batch[batch["event"] == ANSWER]
-            for answer_id, at in zip(asked["event_id"].tolist(), asked["us"].tolist()):
+            # A null id anywhere in the batch makes the column one of floats.
+            for answer_id, at in zip(asked["event_id"].astype("Int64").tolist(), asked["us"].tolist()):
                 self.answers.updateValue((answer_id,), (at,))
                 due.add(self._timer(at))
             for kind, event in enumerate(_REPLIES):
@@ -50,10 +51,12 @@ class _Deadlines(StatefulProcessor):
             self.handle.registerTimer(time)
         if not due:
             self._forget(timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame([], columns=_columns())
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Answers whose deadline the watermark has passed: every reply in time has been seen."""
+        """Answers whose deadline the watermark has passed: every reply in time has been seen.
+
+        The rows are made before this returns, as the state is this session's only until then."""
         time = expiredTimerInfo.getExpiryTimeInMs()
         over = [(answer_id, at) for (answer_id,), (at,) in self.answers.iterator() if self._timer(at) <= time]
         out = []
@@ -62,7 +65,7 @@ class _Deadlines(StatefulProcessor):
             out.append((answer_id, key[0], pd.Timestamp(at, unit="us"), *hits, "complete" if all(hits) else "late_or_absent"))
             self.answers.removeKey((answer_id,))
         self._forget(timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(out, columns=_columns())
+        return iter([pd.DataFrame(out, columns=[c.split()[0] for c in SETTLED.split(", ")])])
 
     def _timer(self, at: int) -> int:
         return (at + self.width) // 1000 + 1
@@ -84,17 +87,14 @@ class _Deadlines(StatefulProcessor):
         pass
 
 
-def _columns() -> list[str]:
-    return [c.split()[0] for c in SETTLED.split(", ")]
-
-
 def stream_answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS, delay: str = "1 minute") -> DataFrame:
     """(I) Answers as ``answer_deadline`` gives them, each when the watermark has passed its deadline.
 
-    An event-time timer settles an answer, so all answers come out, late and unanswered ones too, as long as time goes on;
+    An answer is known by its id; one without is left out. An event-time timer settles an answer, so all answers come out, late and unanswered ones too, as long as time goes on;
     at the end of a stream one closing event of a far time does (``closed_by``).
     """
     use_rocksdb(messages.sparkSession)
-    rows = messages.withWatermark("ts", delay).where(F.col("event").isin(ANSWER, *_REPLIES)).select(
+    useful = F.col("event").isin(*_REPLIES) | ((F.col("event") == ANSWER) & F.col("event_id").isNotNull())
+    rows = messages.withWatermark("ts", delay).where(useful).select(
         "session_id", "event_id", "event", F.unix_micros("ts").alias("us"), "ts")
     return rows.groupBy("session_id").transformWithStateInPandas(_Deadlines(seconds), SETTLED, "append", "eventTime")
