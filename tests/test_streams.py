@@ -91,7 +91,7 @@ def test_deadline_of_shuffled_arrivals(stream):
     kinds = [sessions.ANSWER, sessions.RESULT, sessions.UPDATE]
     rows = [(i, START + timedelta(milliseconds=i * 333, microseconds=i), rng.choice("abc"), rng.choice(kinds)) for i in range(300)]
     rows = sorted(rows, key=lambda r: r[1] + timedelta(seconds=rng.randrange(40)))
-    rows.append((10**6, START + timedelta(seconds=CLOSING), "end", sessions.RESULT))
+    rows.append((None, START + timedelta(seconds=CLOSING), "end", sessions.RESULT))
     source, df = stream(rows, "event_id bigint, ts timestamp, session_id string, event string", batches=6)
     same(finish(session_streams.stream_answer_deadline(source, 4), "deadline"), sessions.answer_deadline(df, 4))
 

@@ -25,8 +25,9 @@ def brute(v, q, k, metric):
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 @pytest.mark.parametrize("chunk", [1024, 3])
 def test_exact(spark, monkeypatch, metric, chunk):
-    """With one scan and with several, and batches far smaller than a task's rows."""
-    monkeypatch.setattr(vectors, "QUERIES_PER_SCAN", chunk)
+    """With one scan and in blocks, and batches far smaller than a task's rows."""
+    for name, value in (("QUERIES_PER_SCAN", chunk), ("VECTOR_BLOCK", 100), ("QUERY_BLOCK", 4), ("STEP", 13)):
+        monkeypatch.setattr(vectors, name, value)
     v, q, store, asked = frames(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -76,6 +77,42 @@ def test_lists(spark):
     assert 0.3 < some <= 1.0
 
 
+def test_split_lists_and_queries(spark, monkeypatch):
+    """Blocks of lists and of queries far smaller than both give what whole lists give; one list holds most vectors."""
+    v, q, store, asked = frames(spark, rows=300, queries=30)
+    centres = np.vstack([np.zeros(8), np.eye(8)[:2] * 3])
+    listed = vectors.assign_lists(store, centres)
+    whole = sorted(map(tuple, vectors.knn_ivf(listed, asked, centres, 5, 2).collect()))
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 17)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, vectors.knn_ivf(listed, asked, centres, 5, 2).collect())) == whole and len(whole) == 150
+    assert vectors.knn_ivf(listed, asked.limit(0), centres, 5, 2).count() == 0
+    assert vectors.knn_ivf(listed.limit(0), asked, centres, 5, 2).count() == 0
+
+
+def test_codes(spark, tmp_path):
+    v, q, store, asked = frames(spark, rows=600, queries=20, dim=16)
+    store = store.union(spark.createDataFrame([(10_000, None)], store.schema))
+    centres, books = vectors.train_lists(store.where("embedding is not null"), lists=6), vectors.train_codes(store, 16, 8)
+    assert books.shape == (8, 256, 2)
+    listed = vectors.write_lists(store, centres, str(tmp_path / "vectors"))
+    codes = vectors.write_codes(listed, books, str(tmp_path / "codes"))
+    assert codes.count() == 600 and {len(r.code) for r in codes.collect()} == {8}
+    exact = vectors.knn_l2(store, asked, 5, 16)
+    # All compared: exact. A few: nearly.
+    assert {(r.query_id, r["rank"]): r.vec_id for r in vectors.knn_ivf_codes(codes, listed, asked, centres, books, 5, 6, 600).collect()} == brute(v, q, 5, "l2")
+    assert vectors.recall(vectors.knn_ivf_codes(codes, listed, asked, centres, books, 5, 6, 40), exact).first().recall >= 0.95
+    with pytest.raises(ValueError):
+        vectors.train_codes(store, 16, 5)
+    with pytest.raises(ValueError):
+        vectors.train_codes(store.limit(0), 16, 8)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_codes_find_nine_tenths(spark, sf):
+    assert tuple(queries()["knn_ivf_recall"](spark, f"/root/testdata/{sf}").first()) == (True, True)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_recall_of_rows_that_are_no_centres(spark, sf):
     assert queries()["knn_ivf_rows_recall"](spark, f"/root/testdata/{sf}").first().recall >= 0.9

@@ -34,8 +34,7 @@ class _Deadlines(StatefulProcessor):
         due = set()
         for batch in rows:
             asked = batch[batch["event"] == ANSWER]
-            # A null id anywhere in the batch makes the column one of floats.
-            for answer_id, at in zip(asked["event_id"].astype("Int64").tolist(), asked["us"].tolist()):
+            for answer_id, at in zip(asked["event_id"].tolist(), asked["us"].tolist()):
                 self.answers.updateValue((answer_id,), (at,))
                 due.add(self._timer(at))
             for kind, event in enumerate(_REPLIES):
@@ -94,7 +93,8 @@ def stream_answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS,
     at the end of a stream one closing event of a far time does (``closed_by``).
     """
     use_rocksdb(messages.sparkSession)
+    # A null id would make the ids of a whole batch floats.
     useful = F.col("event").isin(*_REPLIES) | ((F.col("event") == ANSWER) & F.col("event_id").isNotNull())
     rows = messages.withWatermark("ts", delay).where(useful).select(
-        "session_id", "event_id", "event", F.unix_micros("ts").alias("us"), "ts")
+        "session_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "event", F.unix_micros("ts").alias("us"), "ts")
     return rows.groupBy("session_id").transformWithStateInPandas(_Deadlines(seconds), SETTLED, "append", "eventTime")
