@@ -116,3 +116,27 @@ def test_union_receivers_fills_columns(spark):
     a = spark.createDataFrame([(1, "x")], "id int, log string")
     b = spark.createDataFrame([(2, "y")], "id int, body string")
     assert sorted(map(tuple, logs.union_receivers(a, b).collect()), key=str) == [(1, "x", None), (2, None, "y")]
+
+
+def test_table_of_patterns(spark, monkeypatch):
+    """Patterns within patterns, overlapping, in other letters, many of them, in one scan and in several."""
+    rows = [(2, "She sells Sea shells"), (1, "he and SHE"), (None, "hers"), (3, None), (4, ""), (5, "éÉ she")]
+    lines = spark.createDataFrame(rows, "n int, log string")
+    texts = ["he", "SHE", "she", "hers", "ells s", "É", "", None, "absent", *[f"x{i}" for i in range(3000)]]
+    patterns = spark.createDataFrame([(t,) for t in texts], "pattern string")
+    expected = {"he": ("hers", 4), "SHE": ("he and SHE", 3), "she": ("he and SHE", 3), "hers": ("hers", 1), "ells s": ("She sells Sea shells", 1), "É": ("éÉ she", 1)}
+    for most in (100_000, 500):
+        monkeypatch.setattr(logs, "PATTERNS_PER_SCAN", most)
+        found = logs.pattern_table_scan(lines, patterns, ["n"]).collect()
+        assert {r.pattern: (r.first_line, r.n_lines) for r in found} == expected and len(found) == 6
+    assert logs.pattern_table_scan(lines.limit(0), patterns, ["n"]).count() == 0
+    assert logs.pattern_table_scan(lines, patterns.limit(0), ["n"]).count() == 0
+
+
+def test_table_of_patterns_equals_the_list(spark):
+    rows = [(i, t) for i, t in enumerate(["Connection REFUSED by x", "ok", "tls handshake", "no such host: connection error", "dial tcp.*failed"] * 3)]
+    lines = spark.createDataFrame(rows, "n int, log string")
+    table = spark.createDataFrame([(p,) for p in logs.EXPORT_ERRORS], "pattern string")
+    columns = ["pattern", "first_line", "n_lines"]
+    found, expected = (sorted(map(tuple, df.select(columns).collect())) for df in (logs.pattern_table_scan(lines, table, ["n"]), logs.error_pattern_scan(lines, ["n"])))
+    assert found == expected

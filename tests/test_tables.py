@@ -132,3 +132,76 @@ def test_signals_are_partitioned(spark, tmp_path):
     back = sinks.read_signal(spark, str(tmp_path / "out"), "logs")
     assert back.count() == 2 and back.where("day = '2024-01-02'").first().v == 2
     assert "PartitionFilters: [isnotnull(day" in back.where("day = '2024-01-02'")._jdf.queryExecution().toString()
+
+
+def test_a_run_that_is_stopped_leaves_the_old_state(spark, tmp_path):
+    path = str(tmp_path / "out")
+    make = lambda v: spark.createDataFrame([("2024-01-01 10:00:00", v)], "t string, v int").withColumn("ts", F.to_timestamp("t"))
+    read = lambda name: sinks.read_signal(spark, path, name).first().v
+    sinks.write_signals({"logs": (make(1), "ts"), "traces": (make(1), "ts")}, path)
+    broken = make(2).withColumn("v", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_signals({"logs": (make(2), "ts"), "traces": (broken, "ts")}, path)
+    assert (read("logs"), read("traces")) == (1, 1)
+    sinks.write_signals({"logs": (make(3), "ts")}, path)
+    assert (read("logs"), read("traces")) == (3, 1)
+    for v in (4, 5, 6):
+        sinks.write_signals({"logs": (make(v), "ts"), "traces": (make(v), "ts")}, path)
+    assert (read("logs"), read("traces")) == (6, 6)
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("run-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        read("metrics")
+
+
+def slow_levels(edges):
+    nodes = {n for n, _ in edges} | {d for _, d in edges if d is not None}
+    deps, level = {n: {d for m, d in edges if m == n and d is not None} for n in nodes}, {}
+    while ready := [n for n in nodes - set(level) if all(d in level for d in deps[n])]:
+        level |= {n: 1 + max((level[d] for d in deps[n]), default=-1) for n in ready}
+    last = 1 + max(level.values(), default=-1)
+    return {n: level.get(n, last) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_of_random_graphs(spark, seed):
+    """Chains, branches, reconvergence, cycles, repeated and lone rows."""
+    import random
+    rng = random.Random(seed)
+    edges = [(i, rng.randrange(max(0, i - 6), i)) for i in range(1, 60) for _ in range(rng.choice([1, 1, 1, 2]))] + [(100, None), (5, 4), (5, 4)]
+    if seed % 2:
+        edges += [(70, 71), (71, 72), (72, 70), (73, 72), (73, 3), (74, 73)]
+    if seed == 5:
+        edges += [(0, 59)]
+    out = graph.dependency_levels(spark.createDataFrame(edges, "node int, dep int")).collect()
+    assert {r.node: r.level for r in out} == slow_levels(edges) and len(out) == len(slow_levels(edges))
+
+
+def test_a_deep_chain_with_one_branch_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: rounds.append(name) or write(df, name))
+    n = 10_000
+    edges = spark.range(1, n).select(F.col("id").alias("node"), (F.col("id") - 1).alias("dep")).union(spark.createDataFrame([(n // 2, 17)], "node bigint, dep bigint"))
+    out = graph.dependency_levels(edges)
+    assert out.where("level <> node").isEmpty() and out.count() == n
+    assert rounds.count("ready") <= 30 and rounds.count("links") <= 60
+
+
+def test_depth_below_what_one_query_reaches(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHALLOW", 2)
+    rows = [("t", i, i - 1 if i else None) for i in range(9)] + [("t", 20, 3), ("t", 30, 31), ("t", 31, 30), ("t", 32, 31), ("u", 1, 0), (None, 1, 0), (None, 2, 1)]
+    out = graph.span_depth(spark.createDataFrame(rows, "trace_id string, span_id int, parent_span_id int")).collect()
+    expected = {("t", i): i for i in range(9)} | {("t", 20): 4, ("t", 30): None, ("t", 31): None, ("t", 32): None, ("u", 1): 0, (None, 1): 0, (None, 2): 0}
+    assert {(r.trace_id, r.span_id): r.depth for r in out} == expected and len(out) == len(expected)
+
+
+@pytest.mark.parametrize("match", ["any", "all"])
+def test_index_on_concepts(spark, tmp_path, match):
+    rows = [(i, [f"c{j}" for j in range(7) if (i >> j) & 1]) for i in range(100)] + [(200, None), (201, ["c1", None, "c1"])]
+    df = spark.createDataFrame(rows, "question_id bigint, concepts array<string>")
+    postings = learning.write_postings(df, str(tmp_path / "p"), 8)
+    for wanted in (["c1"], ["c1", "c4"], ["c0", "c1", "none"], ["c2", "c2"]):
+        found = learning.filter_concepts_indexed(df, postings, wanted, match, 8)
+        assert sorted(r.question_id for r in found.collect()) == sorted(r.question_id for r in learning.filter_concepts(df, wanted, match).collect())
+    assert learning.filter_concepts_indexed(df, postings, [], match, 8).count() == 102
+    plan = learning.posted_questions(postings, ["c1"], match, 8)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: ")[1][:80]

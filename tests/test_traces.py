@@ -144,3 +144,25 @@ def test_logs_meet_the_innermost_span(spark):
     df = spark.createDataFrame(rows, "id int, trace_id string, span_id string, ts timestamp")
     got = {r.id: (r.span_id, r.operation) for r in logs.log_trace_join(df, spans, ["id"]).collect()}
     assert got == {1: ("short", "step2"), 2: ("inner", "step"), 3: ("outer", "root"), 5: ("inner", "step")}
+
+
+def test_long_and_short_spans_of_one_trace(spark):
+    """Against all pairs, spans of microseconds to years; a span is two rows at most."""
+    import random
+    from datetime import datetime, timedelta
+
+    from tracelode.operators import logs
+    rng, start = random.Random(1), datetime(2024, 1, 1)
+    spans = [(rng.choice("ab"), i, f"op{i}", start + timedelta(microseconds=rng.randrange(10**9)), rng.choice([0, 1, 10**3, 10**6, 10**8, 400 * 86_400 * 10**6])) for i in range(120)]
+    rows = [(i, rng.choice("abc"), rng.choice([None, None, rng.randrange(120)]), start + timedelta(microseconds=rng.randrange(2 * 10**9))) for i in range(300)]
+    rows += [(1000, "a", None, start + timedelta(days=300)), (1001, None, None, start), (1002, "a", None, start - timedelta(days=9000))]
+    expected = {}
+    for i, trace, span, ts in rows:
+        hits = [s for s in spans if s[0] == trace and s[3] <= ts <= s[3] + timedelta(microseconds=s[4]) and (span is None or span == s[1])]
+        if hits:
+            best = min(hits, key=lambda s: (-s[3].timestamp(), s[4], s[1]))
+            expected[i] = (best[1], best[2])
+    df = spark.createDataFrame(rows, "id int, trace_id string, span_id int, ts timestamp")
+    frame = spark.createDataFrame(spans, "trace_id string, span_id int, operation string, start_ts timestamp, duration_us bigint")
+    assert {r.id: (r.span_id, r.operation) for r in logs.log_trace_join(df, frame, ["id"]).collect()} == expected
+    assert logs.log_trace_join(df, frame.limit(0), ["id"]).count() == 0

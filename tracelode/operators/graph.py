@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelode.session import run_folder, written
+from tracelode.session import written
 
 
 def _climbed(steps: DataFrame, key: list[str]) -> DataFrame:
@@ -32,13 +34,32 @@ def _climbed(steps: DataFrame, key: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [*arrived, climbing]).select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
+def _jumped(links: DataFrame) -> DataFrame:
+    """Links (node, dep, w, b), one a node, led on to the first dep that is no link, by doubling.
+
+    A link says level(node) = max(b, level(dep) + w); two of them behind each other are one of the same form. Links on or
+    before a cycle of links keep a link as their dep.
+    """
+    state, total, reach = links, links.count(), 1
+    while reach <= 2 * total:
+        above = state.select(F.col("node").alias("dep"), F.col("dep").alias("_d"), F.col("w").alias("_w"), F.col("b").alias("_b"))
+        state = written(state.join(above, "dep", "left").select(
+            "node", F.coalesce("_d", "dep").alias("dep"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+            F.greatest("b", F.coalesce(F.col("_b") + F.col("w"), F.col("b"))).alias("b")), "links")
+        reach *= 2
+        if state.join(links.select(F.col("node").alias("dep")), "dep", "left_semi").isEmpty():
+            break
+    return state
+
+
 def dependency_levels(edges: DataFrame) -> DataFrame:
     """(I) Level of each node so that its dependencies have lower ones; ``edges`` is (node, dep), dep null for a lone node.
 
     Nodes on or behind a cycle get one last level. Where no node has two dependencies, the
-    level is the length of its chain, found in a logarithmic number of rounds. Otherwise
-    each round places the nodes that wait for nothing and drops the edges to them; a round
-    places a node or is the last, so no cap is needed. Levels are written as they are found.
+    level is the length of its chain, found in a logarithmic number of rounds. Otherwise a round places the nodes that wait
+    for nothing, and then leads every chain of nodes that wait for one node each on to the first node that does not: what
+    is left of a chain is an edge with a weight. So rounds follow the number of nodes with two open dependencies behind each
+    other, not the depth, and a chain costs the logarithm of its length. A round places a node or is the last.
     """
     spark = edges.sparkSession
     pairs = written(edges.select("node", "dep").where("node is not null").distinct(), "edges")
@@ -48,29 +69,82 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         depth = written(_climbed(nodes.join(waiting.withColumnRenamed("dep", "up"), "node", "left"), ["node"]), "depths")
         last = depth.agg(F.coalesce(F.max("depth") + 1, F.lit(0))).first()[0]
         return depth.select("node", F.coalesce("depth", F.lit(last)).cast("int").alias("level"))
-    folder, level = run_folder(spark, "levels"), 0
-    left = written(nodes, "left")
+    # Open nodes with the level that what they no longer wait for gives them, and weighted edges between them.
+    left, open_edges = written(nodes.withColumn("b", F.lit(0)), "left"), waiting.withColumn("w", F.lit(1))
+    placed = []
     while True:
-        ready = left.join(waiting.select("node").distinct(), "node", "left_anti")
-        ready.write.parquet(f"{folder}/level={level}")
-        placed = spark.read.schema(left.schema).parquet(f"{folder}/level={level}")
-        if placed.isEmpty():
-            left.write.mode("overwrite").parquet(f"{folder}/level={level}")
-            return spark.read.parquet(folder).select("node", F.col("level").cast("int").alias("level"))
-        left = written(left.join(placed, "node", "left_anti"), "left")
-        waiting = written(waiting.join(placed.withColumnRenamed("node", "dep"), "dep", "left_anti"), "waiting")
-        level += 1
+        ready = written(left.join(open_edges.select("node").distinct(), "node", "left_anti"), "ready")
+        if ready.isEmpty():
+            break
+        placed.append(ready)
+        ends = open_edges.join(ready.select(F.col("node").alias("dep"), F.col("b").alias("level")), "dep", "left")
+        ends = written(ends, "ends")
+        bases = ends.where("level is not null").groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("_b"))
+        left = left.join(ready.select("node"), "node", "left_anti").join(bases, "node", "left")
+        left = written(left.select("node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b")), "left")
+        rest = ends.where("level is null").select("node", "dep", "w")
+        single = rest.groupBy("node").agg(F.count("*").alias("n"), F.first("dep").alias("dep"), F.first("w").alias("w")).where("n = 1")
+        links = written(single.join(left, "node").select("node", "dep", "w", "b"), "links")
+        if links.isEmpty():
+            open_edges = rest
+            continue
+        jumped = _jumped(links)
+        over = jumped.select(F.col("node").alias("dep"), F.col("dep").alias("_d"), F.col("w").alias("_w"), F.col("b").alias("_b"))
+        many = rest.join(links.select("node"), "node", "left_anti").join(over, "dep", "left")
+        many = written(many.select("node", F.coalesce("_d", "dep").alias("dep"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+                                   (F.col("_b") + F.col("w")).alias("b")), "many")
+        bases = many.select("node", "b").unionByName(jumped.select("node", "b")).groupBy("node").agg(F.max("b").alias("_b"))
+        left = written(left.join(bases, "node", "left").select("node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b")), "left")
+        open_edges = many.select("node", "dep", "w").unionByName(jumped.select("node", "dep", "w")).groupBy("node", "dep").agg(F.max("w").alias("w"))
+        open_edges = written(open_edges, "open")
+    known = reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], left.schema)
+    last = known.agg(F.coalesce(F.max("b") + 1, F.lit(0))).first()[0]
+    return known.unionByName(left.join(known.select("node"), "node", "left_anti").withColumn("b", F.lit(last))).select("node", F.col("b").cast("int").alias("level"))
 
 
 def _first(column: str) -> Column:
     return F.min(column).alias("up")
 
 
+#: Steps below the roots that one recursive query takes; what lies deeper is climbed by doubling.
+SHALLOW = 16
+
+
 def span_depth(spans: DataFrame) -> DataFrame:
     """(S) Steps from each span up to the root of its tree, one row per distinct (trace, span); null on a cycle of parents.
 
     A parent that is not in the trace counts as absent. A span delivered twice is one span;
-    if its deliveries name different parents, the least one counts.
+    if its deliveries name different parents, the least one counts. Trees are walked down from their roots by one recursive
+    query; only spans that it has not reached, deep ones and those on or behind cycles, are climbed in rounds.
     """
-    key = ["trace_id", "span_id"]
-    return _climbed(spans.groupBy(*key).agg(_first("parent_span_id")), key)
+    key, spark = ["trace_id", "span_id"], spans.sparkSession
+    own = written(spans.groupBy(*key).agg(_first("parent_span_id")), "spans")
+    name = f"spans_{uuid.uuid4().hex}"
+    own.createOrReplaceTempView(name)
+    same = "p.trace_id = s.trace_id and p.span_id = s.up"
+    with _settings(spark, {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(SHALLOW + 2)}):
+        reached = written(spark.sql(f"""
+            with recursive d(trace_id, span_id, depth) as (
+              select s.trace_id, s.span_id, 0L from {name} s left anti join {name} p on {same}
+              union all
+              select s.trace_id, s.span_id, p.depth + 1 from d p join {name} s on {same} where p.depth < {SHALLOW})
+            select * from d"""), "reached")
+    spark.catalog.dropTempView(name)
+    known = reached.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"))
+    below = written(own.join(known, F.col("trace_id").eqNullSafe(F.col("_t")) & F.col("span_id").eqNullSafe(F.col("_s")), "left_anti"), "below")
+    if below.isEmpty():
+        return reached
+    # Their highest spans are children of the last ones reached.
+    return reached.unionByName(_climbed(below, key).withColumn("depth", F.col("depth") + SHALLOW + 1))
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tracelode.functions import severity
 from tracelode.functions.once import with_once
 from tracelode.operators.ordered import previous, running_sum, slices
-from tracelode.operators.sessions import window_number
 
 # Texts that mark a failing exporter. They look like patterns but are
 # searched as plain text, so the second one matches only its literal spelling.
@@ -134,6 +136,57 @@ def error_pattern_scan(df: DataFrame, order: list[str], patterns: list[str] = EX
     return one.select(F.inline("found")).where("n_lines > 0")
 
 
+#: Patterns of one automaton. More are searched by as many scans as it takes.
+PATTERNS_PER_SCAN = 100_000
+
+
+def pattern_table_scan(df: DataFrame, patterns: DataFrame, order: list[str], log: str = "log") -> DataFrame:
+    """(I) The scan of ``error_pattern_scan`` for a table of patterns (column ``pattern``): pattern, first_line, n_lines.
+
+    Patterns are made an automaton once, which finds all of them in one pass over a line, so a line costs as much for ten
+    thousand as for ten. What leaves a batch is one row per pattern found in it: its count and its first line. Patterns
+    without a line, empty and null ones are left out; two that differ in letter case alone are found alike.
+    """
+    spark = df.sparkSession
+    wanted = patterns.select(F.col("pattern").cast("string").alias("pattern"), F.lower("pattern").alias("text")).where("text <> ''").distinct()
+    count = max(1, math.ceil(wanted.count() / PATTERNS_PER_SCAN))
+    lines = df.select(*order, F.col(log).alias("_line"), F.lower(F.col(log)).alias("_low")).where("_line is not null")
+    kinds = {f.name: f.dataType for f in lines.schema}
+    found_schema = T.StructType([T.StructField("_p", T.LongType()), T.StructField("_n", T.LongType()), *[T.StructField(c, kinds[c]) for c in (*order, "_line")]])
+    keys = [(c, "ascending") for c in order]
+    scans = []
+    for number in range(count):
+        part = wanted.where(F.pmod(F.xxhash64("text"), F.lit(count)) == number)
+        texts = sorted({r.text for r in part.select("text").collect()})
+        shared = spark.sparkContext.broadcast(texts)
+
+        def scan(batches, shared=shared):
+            import ahocorasick
+
+            finder = ahocorasick.Automaton()
+            for i, text in enumerate(shared.value):
+                finder.add_word(text, i)
+            if not shared.value:
+                return
+            finder.make_automaton()
+            for batch in batches:
+                # Rows in order: the first hit of a pattern is its first line.
+                batch = batch.take(pc.sort_indices(batch.select([*order, "_line"]), sort_keys=[*keys, ("_line", "ascending")], null_placement="at_start"))
+                first, total = {}, {}
+                for row, text in enumerate(batch.column("_low").to_pylist()):
+                    for i in {i for _, i in finder.iter(text)}:
+                        first.setdefault(i, row)
+                        total[i] = total.get(i, 0) + 1
+                rows = batch.select([*order, "_line"]).take(pa.array([first[i] for i in total], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()), *rows.columns],
+                                                 names=["_p", "_n", *order, "_line"])
+
+        hits = lines.mapInArrow(scan, found_schema).groupBy("_p").agg(F.sum("_n").alias("n_lines"), F.min(F.struct(*order, "_line")).alias("_first"))
+        names = spark.createDataFrame(list(enumerate(texts)), "_p bigint, text string")
+        scans.append(hits.join(names, "_p").select("text", "n_lines", F.col("_first._line").alias("first_line")))
+    return reduce(DataFrame.unionByName, scans).join(wanted, "text").select("pattern", "first_line", "n_lines")
+
+
 def receiver_seen(df: DataFrame, log: str = "log") -> DataFrame:
     """(I) Whether a line names the receiver, all upper or all lower case."""
     named = F.col(log).contains("OTLP") | F.col(log).contains("otlp")
@@ -164,25 +217,39 @@ def log_tail(df: DataFrame, keys: list[str], order: list[str], lines: int = 100)
     return df.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= lines)
 
 
-def log_trace_join(logs: DataFrame, spans: DataFrame, key: list[str], log_time: str = "ts", step_seconds: int = 60) -> DataFrame:
+#: Spans up to this many microseconds (as a power of two) share one level.
+LEAST_LEVEL = 20
+
+
+def _cell(micros: Column, level: Column) -> Column:
+    return F.floor(micros / F.pow(F.lit(2.0), level)).cast("bigint")
+
+
+def log_trace_join(logs: DataFrame, spans: DataFrame, key: list[str], log_time: str = "ts") -> DataFrame:
     """(D) Log rows (unique by ``key``) with the span they were written in.
 
     A row that names its span joins by trace and span id, if written while it ran. A row
     with a trace id only gets the innermost span that ran then: the last to start, of those
-    the shortest, then by id. Spans are cut into steps of time for that, so a long trace is
-    many join keys.
+    the shortest, then by id. For that, time is cut into cells of 2^level microseconds, and a span lies in the cells of the
+    least level at which a cell is as long as it: two rows at most, however long it ran. A log row looks into the one cell
+    that it lies in of every level that spans have, of which there are at most 64.
     """
     end = F.timestamp_add("MICROSECOND", F.col("duration_us"), F.col("start_ts"))
     wide = spans.select("trace_id", F.col("span_id").alias("_span"), "operation", "start_ts", "duration_us", end.alias("_end"))
     inside = F.col(log_time).between(F.col("start_ts"), F.col("_end"))
     named = logs.where("span_id is not null").join(wide, (logs["trace_id"] == wide["trace_id"]) & (F.col("span_id") == F.col("_span"))).where(inside)
     named = named.drop(wide["trace_id"]).drop("_span", "start_ts", "duration_us", "_end")
-    first, last = window_number(F.col("start_ts"), step_seconds), window_number(F.col("_end"), step_seconds)
-    steps = wide.withColumn("_step", F.explode(F.sequence(first, last)))
-    rest = logs.where("span_id is null and trace_id is not null").withColumn("_step", window_number(F.col(log_time), step_seconds))
-    candidates = rest.join(steps, ["trace_id", "_step"]).where(inside)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.col("duration_us") + 1.0))).cast("int")
+    levelled = wide.where("duration_us >= 0").withColumn("_level", level)
+    levels = sorted(r._level for r in levelled.select("_level").distinct().collect())
+    cells = levelled.withColumn("_cell", F.explode(F.sequence(_cell(micros("start_ts"), F.col("_level")), _cell(micros("_end"), F.col("_level")))))
+    rest = logs.where("span_id is null and trace_id is not null")
+    asked = rest.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    asked = asked.withColumn("_cell", _cell(micros(log_time), F.col("_level")))
+    candidates = asked.join(cells, ["trace_id", "_level", "_cell"]).where(inside)
     order = F.struct(F.unix_micros(F.col("start_ts").cast("timestamp")) * -1, "duration_us", "_span")
     innermost = candidates.groupBy(*key).agg(F.min_by(F.struct("_span", "operation"), order).alias("_s"))
-    found = rest.drop("_step", "span_id").join(innermost, key).select(
+    found = rest.drop("span_id").join(innermost, key).select(
         *[F.col("_s._span").alias("span_id") if c == "span_id" else F.col(c) for c in logs.columns], F.col("_s.operation").alias("operation"))
     return named.select(*logs.columns, "operation").unionByName(found)

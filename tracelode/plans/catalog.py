@@ -261,6 +261,15 @@ def filter_concepts(spark, sf):
     return either.unionByName(both).select("match", "question_id", F.array_join("concepts", ",").alias("concepts"))
 
 
+@query
+def filter_concepts_indexed(spark, sf):
+    """The same questions by the index on concepts."""
+    questions = views.questions(spark, sf)
+    postings = learning.write_postings(questions, run_folder(spark, "postings"))
+    either, both = (learning.filter_concepts_indexed(questions, postings, ["src1", "fr"], match).withColumn("match", F.lit(match)) for match in ("any", "all"))
+    return either.unionByName(both).select("match", "question_id", F.array_join("concepts", ",").alias("concepts"))
+
+
 @query
 def embedding_backfill(spark, sf):
     docs = views.documents(spark, sf).select("doc_id", "lang")
@@ -326,6 +335,13 @@ def error_pattern_scan(spark, sf):
     return logs.error_pattern_scan(views.logs(spark, sf), ["ts", "log_id"])
 
 
+@query
+def pattern_table_scan(spark, sf):
+    """Documents that hold the beginning of a benchmark text, in any letter case: one pattern an item."""
+    patterns = views.benchmark(spark, sf).select(F.substring("text", 1, 30).alias("pattern"))
+    return logs.pattern_table_scan(views.documents(spark, sf), patterns, ["doc_id"], "text")
+
+
 @query
 def pending_versions(spark, sf):
     return checks.pending_versions(views.migration_files(spark, sf), views.migration_ledger(spark, sf))
@@ -714,6 +730,16 @@ def dependency_levels(spark, sf):
     return out.withColumn("level", F.col("level").cast("bigint"))
 
 
+@query
+def dependency_levels_dag(spark, sf):
+    """Numbers of orders that depend on their half and their third, as far as these are positive."""
+    key = F.col("o_orderkey").cast("bigint")
+    deps = F.array(F.expr("o_orderkey div 2"), F.expr("o_orderkey div 3")).cast("array<bigint>")
+    edges = views.orders(spark, sf).select(key.alias("node"), F.explode(deps).alias("dep"))
+    out = graph.dependency_levels(edges.select("node", F.when(F.col("dep") > 0, F.col("dep")).alias("dep")))
+    return out.withColumn("level", F.col("level").cast("bigint"))
+
+
 @query
 def span_depth(spark, sf):
     return graph.span_depth(views.spans(spark, sf))

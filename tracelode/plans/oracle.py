@@ -287,6 +287,8 @@ from broken c left join broken p on p.span_id = c.parent_span_id group by 1"""),
     "error_pattern_scan": (["logs"], f"""select pattern, n_lines, first_line from (
 select p.pattern, count(*) as n_lines, arg_min(log, (ts, log_id)) as first_line
 from logs join ({_values([(p,) for p in EXPORT_ERRORS])}) p(pattern) on contains(lower(log), lower(p.pattern)) group by 1) t"""),
+    "pattern_table_scan": ([], """select pattern, count(*) as n_lines, arg_min(text, doc_id) as first_line
+from documents join (select distinct left(text, 30) as pattern from benchmark where text <> '') p on contains(lower(text), lower(pattern)) group by 1"""),
     "pending_versions": ([], """select doc_id as version, lpad(cast(doc_id as varchar), 9, '0') || '_' || source || '.sql' as file_name
 from documents where doc_id not in (select doc_id from labels) order by 1"""),
     "validate_invocations": (["invocation_params", "spec"], """with c as (select distinct invocation_id, command from invocation_params),
@@ -436,6 +438,11 @@ from progress"""),
  nodes as (select span_id as node from spans union select dep from edges),
  lv as (select node, 0 as level from nodes where node not in (select node from edges)
    union all select e.node, lv.level + 1 from edges e join lv on e.dep = lv.node)
+select node, max(level) as level from lv group by 1"""),
+    "dependency_levels_dag": ([], """with recursive edges as (select distinct o_orderkey::bigint as node, unnest([o_orderkey // 2, o_orderkey // 3])::bigint as dep from orders),
+ e as (select * from edges where dep > 0), nodes as (select node from edges union select dep from e),
+ lv as (select node, 0::bigint as level from nodes where node not in (select node from e)
+   union select e.node, lv.level + 1 from e join lv on e.dep = lv.node)
 select node, max(level) as level from lv group by 1"""),
     "span_depth": (["spans"], """with recursive d as (select trace_id, span_id, 0 as depth from spans where parent_span_id is null
   union all select s.trace_id, s.span_id, d.depth + 1 from spans s join d on s.parent_span_id = d.span_id and s.trace_id = d.trace_id)
@@ -459,6 +466,7 @@ select trace_id, span_id, depth from d"""),
 
 _FOUND, _ABSENT = ORACLES["correlation_match"], ORACLES["missing_spans"]
 ORACLES["log_tail_follow"] = ORACLES["log_tail_load"]
+ORACLES["filter_concepts_indexed"] = ORACLES["filter_concepts"]
 ORACLES["trace_check"] = (["span_tags", "app_errors", "spans"], f"""with found as ({_FOUND[1]}), lacking as ({_ABSENT[1]}),
  n as (select trace_id, count(*) as n_missing from lacking group by 1)
 select e.event_id as set_id, f.trace_id, coalesce(f.hits, 0) as hits, case when f.trace_id is null then 5 else coalesce(n.n_missing, 0) end as n_missing,

@@ -275,6 +275,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def orders(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders")
+
+
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark")
 

@@ -23,8 +23,8 @@ FAN = 16
 
 
 class BatchTable:
-    def __init__(self, spark: SparkSession, path: str, fan: int = FAN) -> None:
-        self._spark, self._path, self._store, self._fan = spark, path.rstrip("/"), Store(spark, path), fan
+    def __init__(self, spark: SparkSession, path: str, fan: int = FAN, partition: list[str] | None = None) -> None:
+        self._spark, self._path, self._store, self._fan, self._partition = spark, path.rstrip("/"), Store(spark, path), fan, partition or []
 
     def _manifest(self, batch: int) -> str:
         return f"{self._path}/manifests/{batch}.json"
@@ -41,13 +41,16 @@ class BatchTable:
         known = [b for b in self.batches() if before is None or b < before]
         return json.loads(self._store.read(self._manifest(known[-1]))) if known else {"folders": [], "notes": {}}
 
+    def folders(self, before: int | None = None) -> list[str]:
+        return [f"{self._path}/{name}" for _, name in self.state(before)["folders"]]
+
     def read(self, schema: T.StructType | str, before: int | None = None) -> DataFrame:
-        folders = [f"{self._path}/{name}" for _, name in self.state(before)["folders"]]
+        folders = self.folders(before)
         return self._spark.read.schema(schema).parquet(*folders) if folders else self._spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self._path}/{name}")
+        df.write.partitionBy(*self._partition).parquet(f"{self._path}/{name}")
         return name
 
     def _commit(self, batch: int, folders: list, notes: dict) -> None:
