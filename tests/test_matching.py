@@ -124,3 +124,12 @@ def test_call_groups(spark):
     df = spark.createDataFrame([("db.query",), ("db.ping",), ("db.ping",), ("alone",)], "command string")
     assert {(r.command, r.calls, r.group_calls) for r in calls.call_groups(df).collect()} == {
         ("db.query", 1, 3), ("db.ping", 2, 3), ("alone", 1, 1)}
+
+
+def test_a_vocabulary_that_is_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "show logs logs of postgres"), (2, "unknown"), (3, None), (None, "logs")], "id int, text string")
+    catalogue = spark.createDataFrame([("a", "show logs"), ("b", "postgres status")], "entry string, text string")
+    rows = lambda: sorted((str(r.id), r.token, r.n, round(r.weight, 9)) for r in matching.term_vectors(texts, catalogue, "id").collect())
+    expected = rows()
+    monkeypatch.setattr(matching, "VOCABULARY", 2)
+    assert rows() == expected and len(expected) == 4

@@ -65,3 +65,26 @@ def test_widgets(spark):
     raw = '{"widget":{"type":"mcq","id":"w","props":{"question_id":"q","question":"Why?","options":["a","b"]}},"difficulty":3,"concepts":["c"]}'
     row = sessions.parse_widgets(spark.createDataFrame([(raw,)], "payload string")).first()
     assert (row.widget_type, row.asked_id, row.question, row.first_option, row.difficulty, row.concepts) == ("mcq", "q", "Why?", "a", 3, ["c"])
+
+
+def test_funnel_against_a_slow_walk(spark):
+    """Hot sessions over many Arrow batches, equal times, null sessions and times, sessions of no stage."""
+    import random
+    rng, start = random.Random(2), datetime(2024, 1, 1)
+    stages = sessions.STAGES
+    rows = [(rng.choice(["hot", "hot", "hot", "b", "c", None]), start + timedelta(seconds=rng.randrange(60)) if rng.random() < 0.95 else None,
+             rng.choice([*stages, "other"])) for _ in range(400)] + [("only", start, "other"), ("nothing", None, None)]
+    expected = {}
+    for session in {r[0] for r in rows}:
+        own, at, n = [r for r in rows if r[0] == session and r[1] is not None], datetime.min, 0
+        while n < len(stages) and (times := [t for _, t, e in own if e == stages[n] and t >= at]):
+            at, n = min(times), n + 1
+        expected[session] = (n, stages[n] if n < len(stages) else None)
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp, event string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = sessions.session_funnel(df).collect()
+        assert sessions.session_funnel(df.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.session_id: (r.stages_reached, r.first_missing) for r in found} == expected and len(found) == len(expected)

@@ -205,3 +205,36 @@ def test_index_on_concepts(spark, tmp_path, match):
     assert learning.filter_concepts_indexed(df, postings, [], match, 8).count() == 102
     plan = learning.posted_questions(postings, ["c1"], match, 8)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: ")[1][:80]
+
+
+def test_a_run_ends_at_its_first_failure(spark):
+    good, bad = (spark.createDataFrame([(v,)], "ok boolean") for v in (True, False))
+    make = lambda *frames: [tuple(r) for r in checks.in_turn(*[checks.step("p", str(i), f, F.bool_and("ok"), F.count("*").cast("string")) for i, f in enumerate(frames)]).orderBy("number").collect()]
+    assert [r[3:5] + r[6:] for r in make(good, good)] == [(True, True, True), (True, True, True)]
+    assert [r[3:5] + r[6:] for r in make(good, bad, good)] == [(True, True, False), (False, True, False), (True, False, False)]
+    assert [r[3:5] + r[6:] for r in make(good.limit(0), good)] == [(False, True, False), (True, False, False)]
+
+
+def test_mastery(spark):
+    progress = spark.createDataFrame([(1, 10, True, 5), (1, 10, False, 1), (1, 11, False, 4), (2, 11, True, 2), (2, 99, True, 1)],
+                                     "user_id int, question_id int, correct boolean, difficulty int")
+    questions = spark.createDataFrame([(10, ["a", "b", "a"]), (11, ["b", None]), (12, None)], "question_id int, concepts array<string>")
+    found = {(r.user_id, r.concept): (r.answers, round(r.mastery_score, 6)) for r in learning.concept_mastery(progress, questions).collect()}
+    assert found == {(1, "a"): (2, round(5 / 6, 6)), (1, "b"): (3, 0.5), (2, "b"): (1, 1.0)}
+
+
+def test_nearest_concepts(spark):
+    concepts = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 3.0])], "concept string, embedding array<double>")
+    found = {(r.concept, r["rank"]): (r.near, r.distance) for r in learning.nearest_concepts(concepts, 2, 2).collect()}
+    assert found == {("a", 1): ("b", 1.0), ("a", 2): ("c", 3.0), ("b", 1): ("a", 1.0), ("b", 2): ("c", 2.0), ("c", 1): ("b", 2.0), ("c", 2): ("a", 3.0)}
+
+
+def test_slices_follow_the_size_of_rows(spark, monkeypatch, tmp_path):
+    from tracelode.operators import ordered
+    path = str(tmp_path / "t")
+    spark.range(20_000).selectExpr("id", "uuid() as text").write.parquet(path)
+    rows = spark.read.parquet(path)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ordered.slice_count(rows) == least
+    monkeypatch.setattr(ordered, "SLICE_BYTES", 10_000)
+    assert ordered.slice_count(rows) > 20 > least

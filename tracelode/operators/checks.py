@@ -80,3 +80,40 @@ def check_report(*checks: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("step", "success"))).alias("results"))
     whole = phases.agg(F.bool_and("success").alias("run_success"))
     return phases.withColumn("run_success", whole.scalar())
+
+
+STEP = "phase string, step string, success boolean, detail string"
+
+
+def step(phase: str, name: str, result: DataFrame, success: Column, detail: Column) -> DataFrame:
+    """One step of a verification from a frame: a single row, failed if the frame is empty."""
+    return result.agg(F.lit(phase).alias("phase"), F.lit(name).alias("step"), F.coalesce(success, F.lit(False)).alias("success"), detail.alias("detail"))
+
+
+def in_turn(*steps: DataFrame) -> DataFrame:
+    """(I) Steps of one verification, in the order given: number, phase, step, success, whether the run reached it, detail, and the
+    success of the run. A run ends at the first step that fails; later ones count as not reached, whatever they would say."""
+    numbered = reduce(DataFrame.unionByName, [s.withColumn("number", F.lit(i)) for i, s in enumerate(steps)])
+    first = numbered.where(~F.col("success")).agg(F.coalesce(F.min("number"), F.lit(len(steps))).alias("n"))
+    ends = first.scalar()
+    return numbered.select("number", "phase", "step", "success", (F.col("number") <= ends).alias("reached"), "detail", (ends == len(steps)).alias("run_success"))
+
+
+def verify_run(readiness: DataFrame, found: DataFrame, series: DataFrame, snapshot: DataFrame, lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(I) A whole verification: the fleet is ready, every id set's trace is there and whole, the metric has a series, the
+    snapshot of event counters is not empty, and no log line says that an export failed.
+
+    Takes the results of ``service_readiness``, ``trace_check``, ``series_up``, ``events.stats_snapshot`` and
+    ``logs.error_pattern_scan``, and the log lines themselves, of which there must be one.
+    """
+    text = lambda *parts: F.concat_ws(" ", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    named = F.col("event_name").isNotNull()
+    return in_turn(
+        step("infrastructure", "services are ready", readiness, F.bool_and("ready"), text(F.count_if("ready"), "of", F.count("*"), "ready")),
+        step("data flow", "traces are whole", found, F.bool_and("success"), text(F.count_if("success"), "of", F.count("*"), "id sets")),
+        step("data flow", "metric is up", series, F.bool_and("success"), text(F.sum("series"), "series")),
+        step("data flow", "snapshot is not empty", snapshot, F.count_if(named) > 0,
+             text("active", F.coalesce(F.max("active"), F.lit(0)), "total", F.coalesce(F.max("total"), F.lit(0)), "events", F.count_if(named))),
+        step("logs", "lines are there", lines, F.count("*") > 0, text(F.count("*"), "lines")),
+        step("logs", "no export failed", patterns, F.count("*") == 0, text(F.coalesce(F.sum("n_lines"), F.lit(0)), "lines")),
+    )

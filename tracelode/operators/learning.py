@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracelode.functions.text import tokens
 from tracelode.operators.ordered import running_sum, slices
+from tracelode.operators.vectors import knn_l2, mean_vectors
+from tracelode.session import cut_lineage
 
 
 def filter_difficulty(df: DataFrame, difficulty: int) -> DataFrame:
@@ -80,6 +82,36 @@ def progress_by_concept(progress: DataFrame, questions: DataFrame) -> DataFrame:
     return per_concept.select("user_id", "concept", "attempts", (F.col("right") / F.col("attempts")).alias("correct_share"))
 
 
+def concept_mastery(progress: DataFrame, questions: DataFrame) -> DataFrame:
+    """(S) The mastery table, one row per user and concept: the share of right answers, weighted by difficulty (our formula,
+    between 0 and 1), and the number of answers behind it."""
+    answers = progress.groupBy("user_id", "question_id").agg(
+        F.count("*").alias("answers"), F.sum("difficulty").alias("weight"), F.sum(F.when(F.col("correct"), F.col("difficulty")).otherwise(0)).alias("right"))
+    concepts = questions.select("question_id", F.explode(F.array_distinct("concepts")).alias("concept")).where("concept is not null")
+    return answers.join(concepts, "question_id").groupBy("user_id", "concept").agg(
+        F.sum("answers").alias("answers"), (F.sum("right") / F.sum("weight")).alias("mastery_score"))
+
+
+def concept_vectors(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(S) One vector per concept, the mean of its questions' vectors: concept, embedding. ``vectors`` is (question_id, embedding)."""
+    held = questions.select("question_id", F.explode(F.array_distinct("concepts")).alias("concept")).where("concept is not null")
+    return mean_vectors(held.join(vectors.where("embedding is not null"), "question_id"), "concept").withColumnRenamed("query", "embedding")
+
+
+def nearest_concepts(concepts: DataFrame, k: int, dim: int) -> DataFrame:
+    """(S) The k concepts whose vectors are nearest by L2 to each concept's, itself left out: concept, rank, near, distance.
+
+    Concepts are numbered by a hash of their name for the search, so equal distances come in the order of that.
+    """
+    numbered = cut_lineage(concepts.select(F.xxhash64("concept").alias("id"), "concept", "embedding"))
+    found = knn_l2(numbered.select(F.col("id").alias("vec_id"), "embedding"), numbered.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), k + 1, dim)
+    names = numbered.select("id", "concept")
+    others = found.where("query_id <> vec_id").join(names.withColumnRenamed("id", "query_id"), "query_id").join(
+        names.select(F.col("id").alias("vec_id"), F.col("concept").alias("near")), "vec_id")
+    order = Window.partitionBy("concept").orderBy("distance", "near")
+    return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("concept", "rank", "near", "distance")
+
+
 def recent_progress(progress: DataFrame, last: int = 10) -> DataFrame:
     """(S) The last attempts of each user."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("answered_at"), F.desc("event_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelode.functions.once import with_once
 from tracelode.functions.text import token_rows, tokens
-from tracelode.session import cut_lineage
+from tracelode.session import cut_lineage, written
 
 # The command catalogue (name, description, examples).
 COMMANDS = [
@@ -113,12 +113,23 @@ def _with_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
 
 
+#: Words of a vocabulary that is broadcast. A larger one is joined.
+VOCABULARY = 1 << 20
+
+
 def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(I) Term counts inside the catalogue's vocabulary and their unit-length weights; one row of ``texts`` is one text.
 
-    Every text is weighed inside its row; the vocabulary is broadcast, a catalogue's words being bounded by a language.
+    Every text is weighed inside its row against a vocabulary that is broadcast. One of more than VOCABULARY words is joined
+    with the counts instead, and lengths are added up by text.
     """
-    words = sorted(r.token for r in tokenize(catalogue, "entry").select("token").distinct().collect())
+    known = tokenize(catalogue, "entry").select("token").distinct()
+    words = sorted(r.token for r in known.limit(VOCABULARY + 1).collect())
+    if len(words) > VOCABULARY:
+        counts = token_counts(texts, key, text).join(known, "token")
+        squares = counts.groupBy(F.col(key).alias("_k")).agg(F.sum(F.col("n") * F.col("n")).alias("_norm2"))
+        weight = (F.col("n") / F.sqrt(F.col("_norm2").cast("double"))).alias("weight")
+        return counts.join(squares, F.col(key).eqNullSafe(F.col("_k"))).select(key, "token", "n", weight)
     shared = texts.sparkSession.sparkContext.broadcast(pa.array(words, pa.string()))
     kind = texts.schema[key].dataType.simpleString()
 
@@ -133,15 +144,15 @@ def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
     return _with_tokens(texts, key, text).mapInArrow(weigh, f"`{key}` {kind}, token string, n bigint, weight double")
 
 
-def _score(texts: DataFrame, index: list, key: str, text: str, kind: str) -> DataFrame:
-    """Best of some entries per text, entries in order of name."""
+def _score(tokenised: DataFrame, index: list, key: str, kind: str) -> DataFrame:
+    """Best of some entries per text (key, tokens), entries in order of name."""
     entries = sorted({(r.entry, r.norm2_entry) for r in index})
     number = {entry: i for i, (entry, _) in enumerate(entries)}
     words = sorted({r.token for r in index})
     code = {word: i for i, word in enumerate(words)}
     postings = np.array(sorted((code[r.token], number[r.entry], r.n_entry) for r in index), dtype=np.int64).reshape(-1, 3)
     begin = np.searchsorted(postings[:, 0], np.arange(len(words) + 1))
-    shared = texts.sparkSession.sparkContext.broadcast(
+    shared = tokenised.sparkSession.sparkContext.broadcast(
         (pa.array(words, pa.string()), postings, begin, np.array([n for _, n in entries], dtype=float), [e for e, _ in entries]))
 
     def best(batches):
@@ -162,8 +173,8 @@ def _score(texts: DataFrame, index: list, key: str, text: str, kind: str) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(key), pa.array([names[i] if s > 0 else None for i, s in zip(top, score)]), pa.array(score)], names=[key, "entry", "confidence"])
 
-    key_kind = texts.schema[key].dataType.simpleString()
-    return _with_tokens(texts, key, text).mapInArrow(best, f"`{key}` {key_kind}, entry {kind}, confidence double")
+    key_kind = tokenised.schema[key].dataType.simpleString()
+    return tokenised.mapInArrow(best, f"`{key}` {key_kind}, entry {kind}, confidence double")
 
 
 def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -171,7 +182,8 @@ def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
 
     Ties go to the first entry by name; a text without a known word has no entry and
     confidence 0. Texts are scored where they are read, against a bounded part of the
-    catalogue at a time; only with several parts is the best of them found by a group.
+    catalogue at a time; only with several parts are their tokens written, to be cut out once, and the best of them found by
+    a group.
     Dot products and norms are whole numbers, so scores do not depend on the order of
     addition.
     """
@@ -179,7 +191,10 @@ def intent_match(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
     kind = catalogue.schema["entry"].dataType.simpleString()
     parts = max(1, -(-index.select("entry").distinct().count() // ENTRIES_PER_PASS))
     part = F.pmod(F.xxhash64("entry"), F.lit(parts))
-    found = [_score(texts, index.where(part == i).collect(), key, text, kind) for i in range(parts)]
+    tokenised = _with_tokens(texts, key, text)
+    if parts > 1:
+        tokenised = written(tokenised, "tokens")
+    found = [_score(tokenised, index.where(part == i).collect(), key, kind) for i in range(parts)]
     if parts == 1:
         return found[0]
     order = F.struct(-F.col("confidence"), F.col("entry").isNull(), "entry")

@@ -16,14 +16,25 @@ from tracelode.session import cut_lineage
 SLICE = "_slice"
 
 
+#: Bytes of a slice, about, by what the optimizer expects of the rows.
+SLICE_BYTES = 128 << 20
+
+
+def slice_count(df: DataFrame) -> int:
+    """Slices for a frame: as many as shuffles have partitions, more if the rows are expected to be large."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Frames of unknown size are expected to be larger than anything there is.
+    return least if expected >= 1 << 60 else max(least, -(-expected // SLICE_BYTES))
+
+
 def slices(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Range partitions of (keys, order), numbered in order and frozen by a checkpoint.
 
     The checkpoint matters: slice numbers are read twice (rows and carried values) and
-    range bounds are sampled, so both readers must see the same cut.
+    range bounds are sampled, so both readers must see the same cut. Their number follows the size of the rows.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *keys, *order)
+    cut = df.repartitionByRange(parts or slice_count(df), *keys, *order)
     return cut_lineage(cut.withColumn(SLICE, F.spark_partition_id()))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelode.functions.once import with_once
@@ -12,6 +15,7 @@ EVENTS = ["client.connect", "server.connected", "kc.request.next", "kc.question"
 STAGES = EVENTS[:6]
 ANSWER, RESULT, UPDATE = "kc.answer.submit", "kc.answer.result", "kc.adaptive.update"
 DEADLINE_SECONDS = 8
+NEVER = np.iinfo(np.int64).max
 ENVELOPE = """event string, data string,
   meta struct<timestamp:bigint, user_id:string, session_id:string, request_id:string>, _corrupt_record string"""
 WIDGET = """widget struct<type:string, id:string, props:string>, difficulty int, concepts array<string>"""
@@ -86,19 +90,55 @@ def answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS) -> Dat
     return met.withColumn("status", F.when(complete, "complete").otherwise("late_or_absent"))
 
 
+FUNNEL = "session_id string, reached array<bigint>"
+
+
 def session_funnel(messages: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """(I) Per session the stages reached in order and the first one missing.
 
     A stage is reached at its first message at or after the time the stage before it was
-    reached, so later rounds of a session count. Each stage is one small aggregate over the
-    messages of that stage.
+    reached, so later rounds of a session count. One shuffle brings a session's messages
+    together in order of time; they pass by, and what is kept of a session is the time it reached each
+    stage, so its length does not matter. Messages of other kinds are not sent; a message without a time reaches nothing.
     """
-    when = messages.select("session_id").distinct()
-    for i, stage in enumerate(stages):
-        own = messages.where(F.col("event") == stage).select("session_id", "ts")
-        if i:
-            own = own.join(when.select("session_id", F.col(f"t{i - 1}").alias("after")), "session_id").where(F.col("ts") >= F.col("after"))
-        when = when.join(own.groupBy("session_id").agg(F.min("ts").alias(f"t{i}")), "session_id", "left")
-    reached = sum(F.col(f"t{i}").isNotNull().cast("int") for i in range(len(stages)))
-    missing = F.coalesce(*[F.when(F.col(f"t{i}").isNull(), F.lit(stage)) for i, stage in enumerate(stages)])
-    return when.select("session_id", reached.alias("stages_reached"), missing.alias("first_missing"))
+    number = F.coalesce(*[F.when(F.col("event") == stage, F.lit(i)) for i, stage in enumerate(stages)])
+    n = len(stages)
+    rows = messages.select(F.col("session_id").cast("string").alias("session_id"), F.when(F.col("ts").isNotNull(), number).alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    # One row keeps a session that has no message of any stage.
+    useful = rows.where("stage is not null").unionByName(rows.select("session_id").distinct().select("session_id", F.lit(None).cast("int").alias("stage"), F.lit(None).cast("bigint").alias("us")))
+
+    def fold(batches):
+        open_id, open_times = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("session_id").dictionary_encode()
+            codes = pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            names = batch.column("session_id").take(pa.array(first)).to_pylist()
+            owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(codes)]])))
+            stage = pc.fill_null(batch.column("stage"), -1).to_numpy(zero_copy_only=False)
+            us = pc.fill_null(batch.column("us"), 0).to_numpy(zero_copy_only=False)
+            times = np.full((len(first), n), NEVER)
+            if open_times is not None and names[0] == open_id:
+                times[0] = open_times
+            elif open_times is not None:
+                yield out([open_id], open_times[None, :])
+            for i in range(n):
+                after = times[owner, i - 1] if i else np.full(len(us), -NEVER)
+                hit = (stage == i) & (us >= after) & (after < NEVER)
+                np.minimum.at(times[:, i], owner[hit], us[hit])
+            if len(names) > 1:
+                yield out(names[:-1], times[:-1])
+            open_id, open_times = names[-1], times[-1]
+        if open_times is not None:
+            yield out([open_id], open_times[None, :])
+
+    def out(names, times):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * n, pa.int32()), pa.array(times.ravel(), pa.int64(), mask=times.ravel() == NEVER))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists], names=["session_id", "reached"])
+
+    together = useful.repartition("session_id").sortWithinPartitions("session_id", "us", "stage")
+    when = together.mapInArrow(fold, FUNNEL)
+    reached = F.size(F.filter("reached", lambda t: t.isNotNull()))
+    return when.select("session_id", reached.alias("stages_reached"), F.get(F.array(*map(F.lit, stages)), reached).alias("first_missing"))

@@ -135,12 +135,21 @@ def trace_integrity(spans: DataFrame) -> DataFrame:
     return own.join(lost, "trace_id", "left").na.fill(0, ["orphans", "foreign_parents"])
 
 
-def trace_summary(spans: DataFrame) -> DataFrame:
-    """(I) Spans, operation names, start and end per trace."""
+def trace_operations(spans: DataFrame) -> DataFrame:
+    """(I) Spans, start and end per trace and operation: the summary of a trace as rows, for operations of open-ended names."""
     end = F.timestamp_add("MICROSECOND", F.col("duration_us"), F.col("start_ts"))
-    return spans.groupBy("trace_id").agg(
-        F.count("*").alias("spans"), F.sort_array(F.collect_set("operation")).alias("operations"),
-        F.min("start_ts").alias("started"), F.max(end).alias("ended"))
+    return spans.groupBy("trace_id", "operation").agg(F.count("*").alias("spans"), F.min("start_ts").alias("started"), F.max(end).alias("ended"))
+
+
+def trace_summary(spans: DataFrame) -> DataFrame:
+    """(I) Spans, operation names, start and end per trace.
+
+    Spans are added up per trace and operation first, so what is gathered of a trace is one row per name. Names are meant to
+    come from the code of a service; ``trace_operations`` is the form without a list.
+    """
+    return trace_operations(spans).groupBy("trace_id").agg(
+        F.sum("spans").alias("spans"), F.sort_array(F.collect_list("operation")).alias("operations"),
+        F.min("started").alias("started"), F.max("ended").alias("ended"))
 
 
 def list_services(spans: DataFrame) -> DataFrame:

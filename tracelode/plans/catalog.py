@@ -363,6 +363,23 @@ def progress_by_concept(spark, sf):
     return out.select("user_id", "concept", "attempts", _r6("correct_share", "correct_share"))
 
 
+@query
+def concept_mastery(spark, sf):
+    """The mastery table with the check of its key and of its score's bounds."""
+    table = learning.concept_mastery(views.progress(spark, sf), views.questions(spark, sf))
+    twice = checks.check_unique(table, ["user_id", "concept"]).select("user_id", "concept", F.lit(False).alias("valid"))
+    bounds = F.col("mastery_score").between(0, 1)
+    return table.join(twice, ["user_id", "concept"], "left").select(
+        "user_id", "concept", "answers", _r6("mastery_score", "mastery_score"), (bounds & F.col("valid").isNull()).alias("valid"))
+
+
+@query
+def nearest_concepts(spark, sf):
+    vectors_of = views.embeddings(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
+    concepts = learning.concept_vectors(views.questions(spark, sf), vectors_of)
+    return learning.nearest_concepts(concepts, 3, 64).select("concept", "rank", "near", _r6("distance", "distance"))
+
+
 @query
 def log_trace_join(spark, sf):
     """Every other log row names no span and is placed by its time."""
@@ -463,6 +480,19 @@ def check_report(spark, sf):
     return report.withColumn("results", F.array_join(results, ";"))
 
 
+@query
+def verify_run(spark, sf):
+    """The whole verification over the services, id sets, samples, counters and log lines of the other checks."""
+    lines = views.logs(spark, sf)
+    return checks.verify_run(service_readiness(spark, sf), trace_check(spark, sf), series_up(spark, sf), stats_snapshot(spark, sf), lines,
+                             logs.error_pattern_scan(lines, ["ts", "log_id"]))
+
+
+@query
+def trace_operations(spark, sf):
+    return traces.trace_operations(views.flat_spans(spark, sf))
+
+
 @query
 def call_groups(spark, sf):
     return calls.call_groups(views.invocation_params(spark, sf))

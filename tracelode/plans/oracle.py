@@ -466,6 +466,16 @@ select trace_id, span_id, depth from d"""),
 
 _FOUND, _ABSENT = ORACLES["correlation_match"], ORACLES["missing_spans"]
 ORACLES["log_tail_follow"] = ORACLES["log_tail_load"]
+ORACLES["concept_mastery"] = (["progress", "questions"], """select user_id, concept, count(*) as answers,
+  round(sum(case when correct then difficulty else 0 end) / sum(difficulty)::double, 6) as mastery_score, true as valid
+from progress p join (select distinct question_id, unnest(concepts) as concept from questions) c using (question_id) where concept is not null group by 1, 2""")
+ORACLES["nearest_concepts"] = (["questions"], """with c as (select distinct question_id, unnest(concepts) as concept from questions),
+ m as (select concept, list(m order by i) as v from (select concept, i, avg(embedding[i]::double) as m
+   from c join embeddings on vec_id = question_id, unnest(generate_series(1, 64)) as g(i) where concept is not null and embedding is not null group by all) t group by concept),
+ d as (select a.concept, b.concept as near, list_distance(a.v, b.v) as distance from m a join m b on a.concept <> b.concept)
+select concept, rank, near, round(distance, 6) as distance from (select *, row_number() over (partition by concept order by round(distance, 9), near) as rank from d) r where rank <= 3""")
+ORACLES["trace_operations"] = (["spans"], """select trace_id, operation, count(*) as spans, min(start_ts) as started, max(start_ts + to_microseconds(duration_us)) as ended
+from spans group by 1, 2""")
 ORACLES["filter_concepts_indexed"] = ORACLES["filter_concepts"]
 ORACLES["trace_check"] = (["span_tags", "app_errors", "spans"], f"""with found as ({_FOUND[1]}), lacking as ({_ABSENT[1]}),
  n as (select trace_id, count(*) as n_missing from lacking group by 1)
@@ -473,6 +483,18 @@ select e.event_id as set_id, f.trace_id, coalesce(f.hits, 0) as hits, case when
   f.trace_id is not null and coalesce(n.n_missing, 0) = 0 as success
 from app_errors e left join found f on f.set_id = e.event_id left join n on n.trace_id = f.trace_id""")
 
+_READY, _UP, _SNAPSHOT, _SCAN = (ORACLES[k] for k in ("service_readiness", "series_up", "stats_snapshot", "error_pattern_scan"))
+ORACLES["verify_run"] = (sorted({*_READY[0], *ORACLES["trace_check"][0], *_UP[0], *_SNAPSHOT[0], *_SCAN[0]}), f"""with steps as (
+select 0 as number, 'infrastructure' as phase, 'services are ready' as step, coalesce(bool_and(ready), false) as success,
+  count(*) filter (ready) || ' of ' || count(*) || ' ready' as detail from ({_READY[1]}) r
+union all select 1, 'data flow', 'traces are whole', coalesce(bool_and(success), false), count(*) filter (success) || ' of ' || count(*) || ' id sets' from ({ORACLES["trace_check"][1]}) t
+union all select 2, 'data flow', 'metric is up', coalesce(bool_and(success), false), sum(series) || ' series' from ({_UP[1]}) u
+union all select 3, 'data flow', 'snapshot is not empty', count(event_name) > 0,
+  'active ' || coalesce(max(active), 0) || ' total ' || coalesce(max(total), 0) || ' events ' || count(event_name) from ({_SNAPSHOT[1]}) s
+union all select 4, 'logs', 'lines are there', count(*) > 0, count(*) || ' lines' from logs
+union all select 5, 'logs', 'no export failed', count(*) = 0, coalesce(sum(n_lines), 0) || ' lines' from ({_SCAN[1]}) e)
+select *, number <= (select coalesce(min(number), 6) from steps where not success) as reached, (select bool_and(success) from steps) as run_success from steps""")
+
 
 def _with_args(text: str, args: dict) -> str:
     for name, value in args.items():
