@@ -78,15 +78,21 @@ def tokenize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token, n): times each token is in a text; one row of ``df`` is one text.
 
-    Counted inside the row, over its sorted tokens, so nothing is shuffled. Where several
-    rows make one text, add up n by (key, token) afterwards.
+    Counted where the texts are read, by numbers for the tokens of a batch, so nothing is
+    shuffled. Where several rows make one text, add up n by (key, token) afterwards.
     """
-    ordered = with_once(df.select(key, text), "_t", F.array_sort(tokens(F.col(text))))
-    begins = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
-    starts = with_once(ordered.where(F.size("_t") > 0), "_s", begins)
-    runs = F.transform("_s", lambda at, i: F.struct(
-        F.get("_t", at).alias("token"), (F.coalesce(F.get("_s", i + 1), F.size("_t")) - at).cast("bigint").alias("n")))
-    return starts.select(key, F.inline(runs))
+    kind = df.schema[key].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            column = batch.column("tokens")
+            words = column.flatten().dictionary_encode()
+            row, kinds = pc.list_parent_indices(column).to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+            pairs, n = np.unique(row * kinds + words.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(pairs // kinds)), words.dictionary.take(pa.array(pairs % kinds)), pa.array(n, pa.int64())],
+                                             names=[key, "token", "n"])
+
+    return _with_tokens(df, key, text).mapInArrow(count, f"`{key}` {kind}, token string, n bigint")
 
 
 def catalogue_index(catalogue: DataFrame) -> DataFrame:
