@@ -120,3 +120,32 @@ def test_threshold_stops_early():
     ids, scores, met = lists.best(-1, query, 10)
     exact = sorted(((-int(s), i) for i, s in enumerate(rows @ query)))[:10]
     assert [(-s, i) for s, i in exact] == list(zip(scores.tolist(), ids.tolist())) and met < 5000
+
+
+@pytest.mark.parametrize("spread", ["even", "long tails", "few values"])
+def test_many_queries_of_one_block(spread):
+    """Against all products: together and with floors; what is scored is all rows only where values give no hold."""
+    rng = np.random.default_rng(3)
+    rows = {"even": rng.normal(size=(3000, 16)) * 1024, "long tails": rng.exponential(1.0, (3000, 16)) ** 4 * 100, "few values": rng.integers(-2, 3, (3000, 16))}[spread].astype(np.int64)
+    queries = np.vstack([rows[:40], np.zeros((1, 16), np.int64), -rows[40:45]])
+    ids, query_ids = rng.permutation(3000) * 7, np.arange(46) * 7
+    lists = topk.Lists(ids, rows)
+    expected = []
+    for q, query in zip(query_ids, queries):
+        best = sorted((-int(s), int(i)) for i, s in zip(ids, rows @ query) if i != q)[:10]
+        expected.append([(i, -s) for s, i in best])
+    found, scored = lists.best_of(query_ids, queries, 10)
+    assert [list(zip(i.tolist(), s.tolist())) for i, s in found] == expected and scored <= 3000
+    floors = np.array([e[4][1] for e in expected])
+    found, _ = lists.best_of(query_ids, queries, 10, floors)
+    assert all(set(e[:5]) <= set(zip(i.tolist(), s.tolist())) for e, (i, s) in zip(expected, found))
+
+
+def test_floors_and_bounds_spare_rows():
+    """With a hold in the values, few rows are scored, also for several queries at once."""
+    rng = np.random.default_rng(0)
+    rows = (rng.exponential(1.0, (20_000, 3)) ** 3 * 100).astype(np.int64)
+    lists, queries = topk.Lists(np.arange(20_000), rows), np.array([[5, 1, 3], [1, 1, 9], [2, 7, 1]])
+    _, scored = lists.best_of(np.full(3, -1), queries, 10)
+    _, fewer = lists.best_of(np.full(3, -1), queries, 10, np.full(3, 1 << 40))
+    assert scored < 8000 and fewer < scored
