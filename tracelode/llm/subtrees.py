@@ -3,9 +3,11 @@ smaller doc_id.
 
 Suffixes (of words, read to `width`) fall into groups by a prefix of variable length. The usual prefix is the anchor of
 windows.py: only prefixes that occur twice are looked at, blocks equal as a whole are settled by the least doc_id of each,
-and of the rest each different one is fetched once. A prefix with more than windows.SPREAD different blocks is lengthened
-to the whole window, where a group is one word sequence and needs only its least doc_id. Every other group fits in memory:
-its suffix tree is built from the top down, a node's suffixes being split by the next words until they are alone. What is
+and of the rest each different one is fetched once. A prefix with more suffixes than a task may hold (windows.PART) is
+lengthened to the left, by the words before the anchor: its suffixes of different lengths of that fall into groups of their own.
+One that is too large for a single length still (more than windows.SPREAD different blocks) is lengthened to the whole
+window, where a group is one word sequence and needs only its least doc_id. Every other group fits in memory: its suffix tree
+is built from the top down, a node's suffixes being split by the next words until they are alone. What is
 left at depth `width` are the deep inner nodes, each a maximal repeat with all its places; the least doc_id beneath a node
 decides which of its suffixes go.
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracelode.llm.columns import Rolling, Texts, blocks_of, slices, texts_of, words_of
 from tracelode.llm.stored import stored
-from tracelode.llm.windows import contested, covered, fetched, ranges, refine, repeated_blocks, runs, seeds, spread, verdicts
+from tracelode.llm.windows import contested, covered, fetched, in_groups, parted, ranges, refine, repeated_blocks, runs, seeds, spread, verdicts
 
 WIDTH = 50
 #: Words of an anchor.
@@ -61,12 +63,12 @@ def earlier_repeats(key: np.ndarray, before: np.ndarray, mark: np.ndarray, conte
 PART = "doc_id bigint, whole bigint, first int, last int"
 
 
-def earlier_suffixes(blocks: DataFrame, width: int) -> DataFrame:
+def earlier_suffixes(blocks: DataFrame, width: int, anchor: int) -> DataFrame:
     """doc_id, whole, first, last: which windows of a block (mark: its least doc_id) start in a block of smaller mark."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in runs(batches, "key"):
-            mark, whole = piece.column("mark").to_numpy(), piece.column("whole").to_pylist()
-            found = [(int(mark[b]), whole[b], first, last)
+        for piece in runs(batches, "group"):
+            mark, whole, shift = piece.column("mark").to_numpy(), *(piece.column(c).to_pylist() for c in ("whole", "shift"))
+            found = [(int(mark[b]), whole[b], first + shift[b], last + shift[b])
                      for b, first, last in earlier_repeats(piece.column("key").to_numpy(), piece.column("before").to_numpy(), mark, piece.column("content"), width)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                                              ["doc_id", "whole", "first", "last"])
@@ -84,8 +86,8 @@ def earlier_suffixes(blocks: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("key", "mark", "whole")), pa.array(np.concatenate(offsets)), pa.array(np.concatenate(hashes))],
                                                  ["key", "doc_id", "whole", "first", "hash"])
 
-    near = (blocks.where(~spread(F.col("different"))).repartitionByRange("lead").sortWithinPartitions("lead", "key")
-            .select("key", "before", "mark", "whole", "content").mapInArrow(local, PART))
+    near = in_groups(parted(blocks.where(~spread(F.col("different"))), cut_words, width, anchor))
+    near = near.select("group", "key", "before", "shift", "mark", "whole", "content").mapInArrow(local, PART)
     apart = blocks.where(spread(F.col("different"))).select("key", "mark", "whole", "content").mapInArrow(
         hashed, "key bigint, doc_id bigint, whole bigint, first int, hash bigint")
     least = stored(apart.groupBy("key", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "suffixes")
@@ -101,7 +103,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     wanted = contested(kinds).select("key", "whole", "mark", "different", F.col("mark").alias("doc_id"))
     content = stored(fetched(texts, wanted, "doc_id", cut_words, width, anchor), "content")
     full = blocks.join(kinds.where("mark < most").select("key", "whole", "mark"), ["key", "whole"]).where("doc_id > mark").select("doc_id", "whole")
-    return verdicts(full, earlier_suffixes(content, width), "doc_id")
+    return verdicts(full, earlier_suffixes(content, width, anchor), "doc_id")
 
 
 DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"

@@ -4,8 +4,10 @@ Suffixes are compared by their first `width` bytes. The anchors of windows.py th
 string occurs twice are looked at, blocks equal as a whole are settled by counting, and of the rest each different one is
 fetched once. Their suffixes are range-partitioned by the leading bytes at the anchor, by splitters that Spark samples; a
 bucket sorts its suffixes by multikey quicksort on eight bytes at a time, so that only ties are read further, and equal
-neighbours are repeats. A leading string with more than windows.SPREAD different blocks is spread over all buckets instead,
-and its suffixes are compared across them by the hash of their `width` bytes.
+neighbours are repeats. A leading string with more suffixes than a bucket may hold (windows.PART) is cut into several by the
+suffixes' distance to the anchor, which equal suffixes share, so that no repeat lies across a boundary. Only where one distance
+alone is too large (more than windows.SPREAD different blocks of one string) are suffixes compared across all buckets by the
+hash of their `width` bytes.
 
 Defined results: a null text is empty; texts shorter than `width` bytes lose nothing; rows that repeat, with equal ids or not,
 remove each other wholly; strings are judged on the input; extra columns are not read.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracelode.llm.columns import Rolling, Texts, blocks_of, byte_values, slices, texts_of
 from tracelode.llm.stored import stored
-from tracelode.llm.windows import contested, covered, fetched, ranges, refine, repeated_blocks, runs, seeds, spread, verdicts
+from tracelode.llm.windows import contested, covered, fetched, in_groups, parted, ranges, refine, repeated_blocks, runs, seeds, spread, verdicts
 
 WIDTH = 200
 #: Bytes of an anchor. Longer ones give more blocks but fewer that differ.
@@ -59,14 +61,14 @@ def sorted_repeats(key: np.ndarray, before: np.ndarray, content: list[bytes], wi
 PART = "row bigint, whole bigint, first int, last int"
 
 
-def shared_suffixes(blocks: DataFrame, width: int) -> DataFrame:
+def shared_suffixes(blocks: DataFrame, width: int, anchor: int) -> DataFrame:
     """row, whole, first, last: which suffixes of a block (mark: its text's row, for blocks of one text, else null) occur in
     another block of its key."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in runs(batches, "key"):
+        for piece in runs(batches, "group"):
             found = sorted_repeats(piece.column("key").to_numpy(), piece.column("before").to_numpy(), piece.column("content").to_pylist(), width)
-            mark, whole = piece.column("mark").to_pylist(), piece.column("whole").to_pylist()
-            found = [(mark[b], whole[b], first, last) for b, first, last in found if mark[b] is not None]
+            mark, whole, shift = (piece.column(c).to_pylist() for c in ("mark", "whole", "shift"))
+            found = [(mark[b], whole[b], first + shift[b], last + shift[b]) for b, first, last in found if mark[b] is not None]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                                              ["row", "whole", "first", "last"])
 
@@ -84,8 +86,8 @@ def shared_suffixes(blocks: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("key", "mark", "whole")), pa.array(np.concatenate(offsets)), pa.array(np.concatenate(hashes))],
                                                  ["key", "row", "whole", "first", "hash"])
 
-    near = (blocks.where(~spread(F.col("different"))).repartitionByRange("lead").sortWithinPartitions("lead", "key")
-            .select("key", "before", "content", "mark", "whole").mapInArrow(local, PART))
+    near = in_groups(parted(blocks.where(~spread(F.col("different"))), cut_bytes, width, anchor))
+    near = near.select("group", "key", "before", "shift", "content", "mark", "whole").mapInArrow(local, PART)
     apart = blocks.where(spread(F.col("different"))).select("key", "mark", "whole", "content").mapInArrow(
         hashed, "key bigint, row bigint, whole bigint, first int, hash bigint")
     twice = stored(apart.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash"), "suffixes")
@@ -101,7 +103,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFr
     wanted = contested(kinds).select("row", "key", "whole", F.when(F.col("n") == 1, F.col("row")).alias("mark"), "different")
     content = stored(fetched(texts, wanted, "row", cut_bytes, width, anchor), "content")
     full = blocks.join(kinds.where("n > 1").select("key", "whole"), ["key", "whole"]).select("row", "whole")
-    return verdicts(full, shared_suffixes(content, width), "row")
+    return verdicts(full, shared_suffixes(content, width, anchor), "row")
 
 
 DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

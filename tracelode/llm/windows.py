@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tracelode.llm.columns import Blocks, Texts, blocks_of, slices, texts_of
 from tracelode.llm.stored import stored
 
-#: A key with more different blocks than this has its windows compared by hash, over all tasks.
-SPREAD = 128
+#: Windows that are compared in a task at once, about: a bound of its memory. The windows of a key are cut into parts of so many
+#: by their distance to the anchor, as only windows of equal distance can be equal.
+PART = 1 << 18
+#: A key with more different blocks than this has more windows than a part may hold even of one distance; they are compared by
+#: hash, over all tasks.
+SPREAD = PART
 
 #: For each text of a slice: its values, and where each value begins and ends in the slice's bytes.
 Cut = Callable[[Texts], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
@@ -83,19 +87,55 @@ def fetched(docs: DataFrame, wanted: DataFrame, on: str, cut: Cut, width: int, k
     return docs.select(on, "text").join(asked, on).select("text", "asked").mapInArrow(read, CONTENT)
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+def parted(content: DataFrame, cut: Cut, width: int, k: int) -> DataFrame:
+    """The content rows by parts of their key (`part`): of each block the stretch whose windows lie in a part, `shift` being the
+    first of them. A key of one part keeps its rows as they are."""
+    span = width - k + 1
+    parts = F.least(F.lit(span), F.ceil(F.col("different") * span / PART)).cast("int")
+    rows = content.withColumn("parts", parts)
+    columns = ["key", "whole", "mark", "lead"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "content"):
+                texts = texts_of(piece.column("content"))
+                taken, out = [], ([], [], [], [])
+                for row, (number, before, (values, start, end)) in enumerate(zip(piece.column("parts").to_pylist(), piece.column("before").to_pylist(), cut(texts))):
+                    count = len(values) - width + 1
+                    for part in range(number):
+                        # Distances [low, high) are offsets before - high + 1 .. before - low.
+                        low, high = part * span // number, (part + 1) * span // number
+                        first, last = max(0, before - high + 1), min(count - 1, before - low)
+                        if first <= last:
+                            taken.append(row)
+                            for column, value in zip(out, (part, before - first, first, texts.data[start[first] : end[last + width - 1]].tobytes())):
+                                column.append(value)
+                at = pa.array(taken, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(at) for c in columns), *(pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary())))],
+                                                 [*columns, "part", "before", "shift", "content"])
+
+    return rows.mapInArrow(read, "key bigint, whole bigint, mark bigint, lead binary, part int, before int, shift int, content binary")
+
+
+def in_groups(content: DataFrame) -> DataFrame:
+    """Content rows in range partitions by anchor and part, by splitters that Spark samples, in order of them. Rows of one
+    anchor and part share `group`."""
+    rows = content.withColumn("group", F.xxhash64("key", "part"))
+    return rows.repartitionByRange("lead", "part").sortWithinPartitions("lead", "key", "part")
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 11) -> Iterator[pa.RecordBatch]:
     """Regroups sorted rows so that rows equal in `column` stay together, in pieces of about `most` rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= most:
+        for at in range(0, batch.num_rows, most):
+            held.append(batch.slice(at, most))
+            if sum(b.num_rows for b in held) < most:
+                continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            values = whole.column(column)
-            last = values[len(values) - 1]
-            end = whole.num_rows
-            while end and values[end - 1] == last:
-                end -= 1
+            values = whole.column(column).to_numpy()
+            other = np.flatnonzero(values != values[-1])
+            end = int(other[-1]) + 1 if len(other) else 0
             if end:
                 yield whole.slice(0, end)
             held = [whole.slice(end)]
