@@ -149,3 +149,19 @@ def test_floors_and_bounds_spare_rows():
     _, scored = lists.best_of(np.full(3, -1), queries, 10)
     _, fewer = lists.best_of(np.full(3, -1), queries, 10, np.full(3, 1 << 40))
     assert scored < 8000 and fewer < scored
+
+
+def test_deep_pages():
+    """100,000 nested elements, and end tags of elements that are not open, in linear time; paths stay short."""
+    import time
+    began = time.perf_counter()
+    found = pages.main_text("<div>x" * 100_000, [])
+    assert found == " ".join("x" * 100_000)
+    deep = pages.Page("<section class='a'><div>" * 20_000 + "<p>end</p>" + "</em>" * 20_000)
+    assert max(map(len, deep.elements)) < 400 and deep.blocks[0][1] == "end" and len(deep.elements) == 40_001
+    assert time.perf_counter() - began < 30
+
+
+def test_paths_tell_deep_elements_apart():
+    deep = pages.Page("<div><p>a</p>" * 200 + "</div>" * 100 + "<ul><li>b</ul>")
+    assert len({node.path for node in deep.nodes}) == len(deep.elements) + 1 == 200 + 200 + 2 + 1

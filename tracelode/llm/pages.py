@@ -61,15 +61,36 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NUMBER = re.compile(r"\d+")
 
 
+#: Characters of a path that stand as they are; what lies further out is a hash, so deep elements have short paths.
+PATH = 300
+
+
+class Node:
+    """An element: label (name, classes and id without digits), kind (-1 for what surrounds an article, 1 for one, else 0), its path
+    of labels from the outside in, whether nothing around an article encloses it, and the outermost article it lies in."""
+
+    __slots__ = ("parent", "name", "label", "kind", "path", "clean", "article")
+
+    def __init__(self, parent: Node | None, name: str, label: str, kind: int) -> None:
+        self.parent, self.name, self.label, self.kind = parent, name, label, kind
+        above = parent.path if parent else ""
+        if len(above) > PATH:
+            above = "#" + hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        self.path = f"{above}/{label}" if parent and parent.path else label
+        self.clean = kind >= 0 and (parent is None or parent.clean)
+        self.article = parent.article if parent and parent.article else self if kind == 1 else None
+
+
 class Page:
-    """blocks: (path, text) in page order; a path holds (label, kind) of each open element from the outside in, a label name,
-    classes and id without digits, kind -1 for what surrounds an article, 1 for one, else 0. elements: how often each path of
-    labels was opened."""
+    """blocks: (node, text) in page order. nodes: elements in order of opening, the page itself first, so parents come before
+    children. elements: how often each path of labels was opened."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[tuple[tuple[str, int], ...], str]] = []
+        self.nodes = [Node(None, "", "", 0)]
+        self.blocks: list[tuple[Node, str]] = []
         self.elements: dict[str, int] = {}
-        self._stack: list[tuple[str, str, int]] = []
+        self._stack = [self.nodes[0]]
+        self._open: Counter[str] = Counter()
         self._text: list[str] = []
         at = 0
         while at < len(html):
@@ -93,18 +114,29 @@ class Page:
         joined = " ".join("".join(self._text).split())
         self._text.clear()
         if joined:
-            self.blocks.append((tuple((label, kind) for _, label, kind in self._stack), joined))
+            self.blocks.append((self._stack[-1], joined))
+
+    def _leave(self, place: int) -> None:
+        """Closes the elements from a place of the stack on."""
+        while len(self._stack) > place:
+            self._open[self._stack.pop().name] -= 1
 
     def _innermost(self) -> int:
-        """Place of the innermost open element that is not inline, -1 if there is none."""
-        return next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] not in INLINE), -1)
+        """Place of the innermost open element that is not inline, 0 (the page) if there is none."""
+        place = len(self._stack) - 1
+        while self._stack[place].name in INLINE:
+            place -= 1
+        return place
 
     def _end(self, name: str) -> None:
-        place = next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] == name), -1)
-        if name not in INLINE or place >= 0:
+        # Names that are not open are not looked for; else what is passed over is closed.
+        place = len(self._stack) - 1 if self._open[name] > 0 else 0
+        while place and self._stack[place].name != name:
+            place -= 1
+        if name not in INLINE or place:
             self._close()
-        if place >= 0:
-            del self._stack[place:]
+        if place:
+            self._leave(place)
 
     def _begin(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -117,42 +149,34 @@ class Page:
         else:
             self._close()
             place = self._innermost()
-            if place >= 0 and self._stack[place][0] == "p":
-                del self._stack[place:]
+            if self._stack[place].name == "p":
+                self._leave(place)
                 place = self._innermost()
-            if place >= 0 and self._stack[place][0] in CLOSES.get(name, ()):
-                del self._stack[place:]
-            if name == "tr" and self._innermost() >= 0 and self._stack[self._innermost()][0] == "tr":
-                del self._stack[self._innermost():]
+            if self._stack[place].name in CLOSES.get(name, ()):
+                self._leave(place)
+            if name == "tr" and self._stack[self._innermost()].name == "tr":
+                self._leave(self._innermost())
         if name in VOID or attributes.rstrip().endswith("/"):
             return
-        label, kind = self._kind(name, attributes)
-        self._stack.append((name, label, kind))
-        path = "/".join(x[1] for x in self._stack)
-        self.elements[path] = self.elements.get(path, 0) + 1
+        node = Node(self._stack[-1], name, *self._kind(name, attributes))
+        self._stack.append(node)
+        self._open[name] += 1
+        self.nodes.append(node)
+        self.elements[node.path] = self.elements.get(node.path, 0) + 1
 
     def _kind(self, name: str, attributes: str) -> tuple[str, int]:
         named = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _NAMED.finditer(attributes)} if attributes else {}
         words = {w.lower() for key in ("class", "id", "role") for w in _WORDS.findall(named.get(key, ""))}
-        inside = any(kind == 1 for _, _, kind in self._stack)
         label = name + _NUMBER.sub("", "".join(f".{c}" for c in named.get("class", "").split()) + (f"#{named['id']}" if named.get("id") else ""))
         if name in ("html", "body"):
             return label, 0
         if name in HIDDEN or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower():
             return label, -1
-        if name == "header" and not inside or words & AROUND and not (name in ARTICLE and not words & {"comment", "comments", "reply", "related", "ad", "sponsored"}):
+        if name == "header" and not self._stack[-1].article or words & AROUND and not (name in ARTICLE and not words & {"comment", "comments", "reply", "related", "ad", "sponsored"}):
             return label, -1
         return label, int(name in ARTICLE or bool(words & WITHIN))
 
 
-def path_of(path: tuple[tuple[str, int], ...]) -> str:
-    return "/".join(label for label, _ in path)
-
-
-def clean(path: tuple[tuple[str, int], ...]) -> bool:
-    return all(kind >= 0 for _, kind in path)
-
-
 TOKENS = "host string, token string, whole boolean, vector bigint, chars bigint"
 
 
@@ -180,12 +204,15 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 page = Page(html or "")
                 if not page.blocks and not page.elements:
                     continue
+                # The slot of a text is the innermost element around it that the page holds once.
                 chars: dict[str, int] = {}
-                blocks = [(path_of(path), text) for path, text in page.blocks if clean(path)]
-                for at, text in blocks:
-                    while at and page.elements.get(at) != 1:
-                        at = at.rpartition("/")[0]
-                    chars[at] = chars.get(at, 0) + len(text)
+                slots: dict[Node, str] = {}
+                for node in page.nodes:
+                    slots[node] = node.path if node.parent is None or page.elements.get(node.path) == 1 else slots[node.parent]
+                blocks = [(node.path, text) for node, text in page.blocks if node.clean]
+                for node, text in page.blocks:
+                    if node.clean:
+                        chars[slots[node]] = chars.get(slots[node], 0) + len(text)
                 rows.append((host, "", False, key, chars.get("", 0)))
                 rows += [(host, path, False, key, chars.get(path, 0)) for path, n in page.elements.items() if n == 1]
                 rows += [(host, text, True, key, 0) for text, n in text_counts(blocks).items() if n == 1]
@@ -214,16 +241,14 @@ def templates(pages: DataFrame, least: int = PAGES, support: float = SUPPORT, sh
 _LEAF = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "tr", "td", "th"}
 
 
-def article_root(path: str, kinds: dict[str, int]) -> str:
-    """The element that holds the whole article of which `path` is a slot: the outermost one that says so, else the innermost
+def article_root(node: Node) -> Node:
+    """The element that holds the whole article of which `node` is a slot: the outermost one that says so, else the innermost
     that is more than a paragraph, list or heading."""
-    parts = path.split("/") if path else []
-    for n in range(1, len(parts) + 1):
-        if kinds.get("/".join(parts[:n])) == 1:
-            return "/".join(parts[:n])
-    while parts and re.split(r"[.#]", parts[-1])[0] in _LEAF:
-        parts.pop()
-    return "/".join(parts)
+    if node.article:
+        return node.article
+    while node.parent and node.name in _LEAF:
+        node = node.parent
+    return node
 
 
 def skeleton(counts: dict[str, int], blocks: list[tuple[str, str]], classes: list[dict]) -> tuple[str | None, set[str]]:
@@ -243,22 +268,29 @@ def skeleton(counts: dict[str, int], blocks: list[tuple[str, str]], classes: lis
 def main_text(html: str, classes: list[dict]) -> str:
     """The article of one page, by the valid classes of its host."""
     page = Page(html)
-    kept = [(path_of(path), path, text) for path, text in page.blocks if clean(path)]
-    blocks = [(at, text) for at, _, text in kept]
+    kept = [(node, text) for node, text in page.blocks if node.clean]
+    blocks = [(node.path, text) for node, text in kept]
     main, texts = skeleton({**text_counts(blocks), **page.elements, "": 1}, blocks, classes)
-    kinds = {path_of(path[: i + 1]): kind for _, path, _ in kept for i, (_, kind) in enumerate(path)}
-    under = lambda root: [x for x in kept if not root or x[0] == root or x[0].startswith(root + "/")]
-    root = article_root(main, kinds) if main is not None else ""
-    chosen = under(root)
-    if main is None or not chosen or kinds.get(root) != 1:
-        roots = {article_root(at, kinds) for at, _, _ in kept}
-        named = [r for r in roots if kinds.get(r) == 1]
-        if named:
-            root = max(named, key=lambda r: (sum(len(t) for _, _, t in under(r)), r))
-            chosen = under(root)
+
+    def under(path: str) -> list[tuple[Node, str]]:
+        inside: dict[Node, bool] = {}
+        for node in page.nodes:
+            inside[node] = not path or node.path == path or node.parent is not None and inside[node.parent]
+        return [x for x in kept if inside[x[0]]]
+
+    found = next((node for node in page.nodes if node.path == main), None) if main is not None else None
+    root = article_root(found) if found else page.nodes[0]
+    chosen = under(root.path)
+    if found is None or not chosen or root.kind != 1:
+        length: dict[str, int] = {}
+        for node, text in kept:
+            if node.article:
+                length[node.article.path] = length.get(node.article.path, 0) + len(text)
+        if length:
+            chosen = under(max(length, key=lambda path: (length[path], path)))
         else:
-            chosen = [x for x in chosen or kept if text_token(x[0], x[2]) not in texts] or chosen or kept
-    return " ".join(text for _, _, text in chosen)
+            chosen = [x for x in chosen or kept if text_token(x[0].path, x[1]) not in texts] or chosen or kept
+    return " ".join(text for _, text in chosen)
 
 
 def extract(pages: DataFrame, least: int = PAGES, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
