@@ -2,8 +2,8 @@
 
 Each paragraph (a line with something in it) is hashed to a wide vector, and the vectors of a text are summed lane by lane
 modulo powers of two. Order does not matter, a paragraph is inserted by adding its vector and deleted by subtracting it.
-The vector has two parts: uniform 64-bit lanes (modulo 2**64), by which multisets are told apart, and 16-bit lanes (modulo
-2**16) that hold +1 or -1 for each three words of the paragraph in the lane of their hash. The squared length of a difference
+The vector has two parts: uniform 64-bit lanes (modulo 2**64), by which multisets are told apart, and 32-bit lanes (modulo
+2**32) that hold +1 or -1 for each three words of the paragraph in the lane of their hash. The squared length of a difference
 of the latter estimates how many word triples two texts do not share, which gives a likeness.
 
 Defined results: a null text is empty; texts without paragraphs have the zero vector and likeness 1 to each other; equal
@@ -45,13 +45,13 @@ class Vectors(NamedTuple):
         return Vectors(self.wide - other.wide, self.sketch - other.sketch)
 
     def hex(self) -> list[str]:
-        raw = np.concatenate([self.wide.astype("<u8").view(np.uint8), self.sketch.astype("<u2").view(np.uint8)], axis=1)
+        raw = np.concatenate([self.wide.astype("<u8").view(np.uint8), self.sketch.astype("<u4").view(np.uint8)], axis=1)
         return [row.tobytes().hex() for row in raw]
 
     @staticmethod
     def of_hex(values: list[str]) -> Vectors:
         raw = np.frombuffer(bytes.fromhex("".join(values)), dtype=np.uint8).reshape(len(values), -1)
-        return Vectors(raw[:, : 8 * LANES].copy().view("<u8").astype(np.uint64), raw[:, 8 * LANES :].copy().view("<u2").astype(np.uint16))
+        return Vectors(raw[:, : 8 * LANES].copy().view("<u8").astype(np.uint64), raw[:, 8 * LANES :].copy().view("<u4").astype(np.uint32))
 
 
 def vectors(texts: Texts) -> Vectors:
@@ -80,12 +80,12 @@ def vectors(texts: Texts) -> Vectors:
     rows = np.concatenate([owner[line[:n][whole]] if n else np.zeros(0, np.int64), owner[short]])
     sign = np.where(grams >> np.uint64(63), 1.0, -1.0)
     sketch = np.bincount(rows * SKETCH + (grams % np.uint64(SKETCH)).astype(np.int64), weights=sign, minlength=count * SKETCH)
-    return Vectors(wide, sketch.astype(np.int64).astype(np.uint16).reshape(count, SKETCH))
+    return Vectors(wide, sketch.astype(np.int64).astype(np.uint32).reshape(count, SKETCH))
 
 
 def likeness(a: Vectors, b: Vectors) -> np.ndarray:
     """Estimated share of word triples in common, 0 to 1; 1 for equal fingerprints."""
-    square = lambda x: (x.astype(np.int16).astype(np.float64) ** 2).sum(axis=1)
+    square = lambda x: (x.astype(np.int32).astype(np.float64) ** 2).sum(axis=1)
     both = square(a.sketch) + square(b.sketch)
     near = np.clip(1 - square(a.sketch - b.sketch) / np.maximum(both, 1), 0, 1)
     return np.where((a.wide == b.wide).all(axis=1) & (a.sketch == b.sketch).all(axis=1), 1.0, near)
