@@ -177,3 +177,31 @@ def test_packing_leaves_little_room():
     lengths = sorted(rng.integers(1, 2049, 4000).tolist(), reverse=True)
     numbers, _ = packing.best_fit(lengths, 2048)
     assert sum(lengths) / (2048 * (max(numbers) + 1)) > 0.98
+
+
+def test_likeness_of_often_repeated_lines():
+    """Lanes hold counts far beyond 65,536; a line more or less among many changes little, and takes away what it added."""
+    import pyarrow as pa
+
+    from tracelode.llm.columns import texts_of
+    line = "the same line of words again\n"
+    texts = [line * 65_536, line * 65_537, line * 100_000, "quite another line it is\n" * 65_536]
+    many = fingerprints.vectors(texts_of(pa.array(texts)))
+    one = fingerprints.Vectors(many.wide[:1], many.sketch[:1])
+    near = [float(fingerprints.likeness(one, fingerprints.Vectors(many.wide[i : i + 1], many.sketch[i : i + 1]))[0]) for i in range(4)]
+    assert near[0] == 1 and near[1] > 0.99 and near[2] > 0.85 and near[3] < 0.2
+    single = fingerprints.vectors(texts_of(pa.array([line])))
+    back = fingerprints.Vectors(many.wide[1:2], many.sketch[1:2]) - single
+    assert back.hex() == one.hex()
+
+
+def test_equal_texts_of_two_sources_are_mixed_by_their_own(spark):
+    """A row equal in id and text to one of another source keeps its source and its own share."""
+    data = [(i, words(i, 200), "aa", "x", 0) for i in range(20)] + [(i, words(i, 200), "aa", "y", 0) for i in range(20)]
+    plan = {r.source: 0 for r in mixing.mix_sources(frame(spark, data)).collect()}
+    for r in mixing.mix_sources(frame(spark, data)).collect():
+        plan[r.source] += r.taken
+    made = {"x": 0, "y": 0}
+    for r in mixing.mixed_documents(frame(spark, data)).collect():
+        made[r.source] += len(r.text.split())
+    assert made == plan and plan["y"] > 1.8 * plan["x"] > 0

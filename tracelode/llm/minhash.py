@@ -236,5 +236,8 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     wordless = found.where("component is null").select(F.col("row").alias("__row"))
     kept = first.withColumn("__once", F.lit(True)).union(wordless.distinct().withColumn("__once", F.lit(False)))
     rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).join(kept, "__row")
-    copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))
-    return rows.withColumn("__copy", copy).where("__copy = 1 or not __once").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Of rows equal in id and text, the one whose other columns have the least hash; wordless rows meet in no window.
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    copy = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*columns)))
+    once = rows.where("__once").withColumn("__copy", copy).where("__copy = 1").drop("__copy")
+    return once.unionByName(rows.where("not __once")).select(*[F.col(f"`{c}`") for c in docs.columns])

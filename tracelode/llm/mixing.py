@@ -129,7 +129,7 @@ def mix_spans(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     """doc_id, source, size, source_size, target, taken, text_hash, and spans: what is taken of each row of `docs`."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE))
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("__key"), size_of(F.col("text")).alias("size"),
-                        F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("text_hash"))
+                        F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text").alias("text_hash"))
     plan = source_plan(sized, weights, most, block_words)
     sources = docs.sparkSession.createDataFrame(plan, "__key string, source_size bigint, target double, shards bigint, blocks bigint, block bigint")
     keyed = sized.join(sources, "__key").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "text_hash"), "shards"))
@@ -182,10 +182,11 @@ def _cut(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: list[list[
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of `docs`: a document of which some words are taken n times gives n rows, the first
     with all words taken once or more, the next with those taken twice or more. A row that holds all words keeps its text as
-    it is; in a shorter one n_chars follows the text. Rows equal in doc_id and text are read as one document held several times."""
+    it is; in a shorter one n_chars follows the text. Rows equal in doc_id, source and text are read as one document held several
+    times."""
     names = docs.columns
     spans = mix_spans(docs, **settings).where("taken > 0").select(F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    once = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("bigint"), "text")).dropDuplicates(["__hash"])
+    once = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text")).dropDuplicates(["__hash"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
