@@ -137,6 +137,14 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     assert sorted(r.log for r in found.collect()) == ["one two\n", "x\n", "y\n"]
 
 
+def test_lines_without_time_or_text(stream, tmp_path):
+    """As in the batch form, nothing is lost; a line that is not closed by the end of the stream is still open."""
+    rows = [("a", 0, START, "x\n"), ("a", 1, None, "no time\n"), ("a", 2, START, None), ("a", 3, START, "tail\n"), (None, 4, START, "lone\n"), ("b", 5, None, "open")]
+    source, df = stream(rows, LINE, batches=1)
+    found = sorted(r.log for r in run_lines(log_streams.stream_reassemble, source, tmp_path).collect())
+    assert found == sorted(r.log for r in logs.reassemble(df, ["container_id"], ["ts", "n"]).collect() if r.log != "open")
+
+
 def test_severe_logs(stream, tmp_path):
     rows = lines([("a", 0, '{"level":"warn",'), ("a", 1, '"msg":"slow"}\n'), ("a", 2, "fine\n"), ("b", 3, "it fai"), ("b", 4, "led\n"),
                   ("a", CLOSING, "end\n")])

@@ -198,13 +198,14 @@ def reassemble(df: DataFrame, keys: list[str], order: list[str], flush_seconds:
     """(I) Joins lines that the container runtime split: (keys, ts, log), one row per line.
 
     A part without a final newline is continued by the next line of the container, unless
-    that comes more than ``flush_seconds`` later (our reading of the flush time).
+    that comes more than ``flush_seconds`` later (our reading of the flush time). A null text
+    is an empty part, a part without a time is never late.
     """
     lines = df.select(*keys, *order, F.col("ts"), F.col(log).alias("log"))
     cut = slices(lines, keys, order, parts)
     before = previous(cut, keys, order, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
     late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
-    starts = F.col("_before").isNull() | F.col("_before.ended") | late
+    starts = F.coalesce(F.col("_before").isNull() | F.col("_before.ended") | late, F.lit(False))
     numbered = running_sum(before, keys, order, starts.cast("int"), "_line")
     pieces = F.sort_array(F.collect_list(F.struct(*order, "log")))
     joined = numbered.groupBy(*keys, "_line").agg(F.min("ts").alias("ts"), pieces.alias("_pieces"))

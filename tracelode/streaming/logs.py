@@ -17,8 +17,9 @@ LINE = "container_id string, ts timestamp, log string"
 OPEN = "container_id string, started timestamp, ts timestamp, log string"
 
 
-def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """Lines of a batch put together with what earlier ones left open: (joined lines, unfinished last line of each container).
+def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of a batch put together with what earlier ones left open: (joined lines, unfinished last line of each container, and
+    the cached frame that both are read from).
 
     A container's lines are cut into slices of (container, time, order), so one container is many tasks; what a slice owes to
     the one before is one row.
@@ -30,7 +31,7 @@ def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_
     cut = slices(old.unionByName(new), [KEY], place)
     before = previous(cut, [KEY], place, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
     late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
-    starts = F.col("_before").isNull() | F.col("_before.ended") | late
+    starts = F.coalesce(F.col("_before").isNull() | F.col("_before.ended") | late, F.lit(False))
     numbered = running_sum(before, [KEY], place, starts.cast("int"), "_line")
     pieces = F.sort_array(F.collect_list(F.struct(*place, "log")))
     whole = numbered.groupBy(KEY, "_line").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), pieces.alias("_pieces"))
@@ -40,7 +41,7 @@ def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_
     last = whole.groupBy(KEY).agg(F.max("_line").alias("_last"))
     unended = whole.where(~ended).join(last.withColumnRenamed(KEY, "_c"), F.col(KEY).eqNullSafe(F.col("_c"))).drop("_c")
     done = whole.where(ended).unionByName(unended.where("_line < _last").drop("_last"))
-    return done.select(KEY, F.col("started").alias("ts"), "log"), unended.where("_line = _last").select(KEY, "started", "ts", "log")
+    return done.select(KEY, F.col("started").alias("ts"), "log"), unended.where("_line = _last").select(KEY, "started", "ts", "log"), whole
 
 
 class LineJoiner:
@@ -64,13 +65,14 @@ class LineJoiner:
         seen = rows.agg(F.max("ts")).first()[0]
         before = open_parts.state(batch)["notes"].get("seen")
         seen = max(filter(None, (seen, before and datetime.fromisoformat(before))), default=None)
-        done, waiting = join_parts(rows, open_parts.read(OPEN, batch), self._order, self._flush)
+        done, waiting, cached = join_parts(rows, open_parts.read(OPEN, batch), self._order, self._flush)
         limit = seen and seen - timedelta(seconds=self._flush + self._wait)
-        over = F.col("ts") < F.lit(limit)
+        over = F.coalesce(F.col("ts") < F.lit(limit), F.lit(False))
         given_out = done.unionByName(waiting.where(over).select(KEY, F.col("started").alias("ts"), "log"))
         lines.append(self._then(given_out) if self._then else given_out, batch)
         open_parts.replace(waiting.where(~over), batch, seen=seen and seen.isoformat())
-        spark.catalog.clearCache()
+        cached.unpersist()
+        rows.unpersist()
 
 
 def stream_reassemble(lines: DataFrame, path: str, checkpoint: str, trigger: dict, order: list[str], flush_seconds: int = 5,
