@@ -189,3 +189,15 @@ def test_stream_into_signal_folders(stream, spark, tmp_path):
     out = str(tmp_path / "out")
     sinks.stream_signal(source, "ts", "logs", out, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
     assert sinks.read_signal(spark, out, "logs").where("day = '2024-01-02'").first().id == 2
+
+
+def test_partitioned_tables_are_merged(spark, tmp_path):
+    """Folders by day stay folders by day when they are written together, and a filter on the day prunes them."""
+    table = tables.BatchTable(spark, str(tmp_path / "t"), 2, ["day"])
+    for batch in range(5):
+        rows = spark.createDataFrame([(batch, START), (batch, START + timedelta(days=batch))], "v int, ts timestamp").withColumn("day", F.to_date("ts"))
+        table.append(rows, batch)
+    read = tables.read_folders(spark, table.folders())
+    assert read.count() == 10 and read.where("day = '2024-01-01'").count() == 6 and len(table.folders()) <= 3
+    assert table.read(rows.schema).where("day = '2024-01-05'").first().v == 4
+    assert "PartitionFilters: [isnotnull(day" in read.where("day = '2024-01-05'")._jdf.queryExecution().toString()

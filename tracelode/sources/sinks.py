@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelode.files import Store
-from tracelode.streaming.tables import BatchTable
+from tracelode.streaming.tables import BatchTable, read_folders
 
 
 def _by_day(df: DataFrame, time: str) -> DataFrame:
@@ -78,4 +78,4 @@ def read_signal(spark: SparkSession, path: str, name: str) -> DataFrame:
     folders += _stream_table(spark, path, name).folders()
     if not folders:
         raise FileNotFoundError(f"no signal {name} below {path}")
-    return spark.read.parquet(*folders)
+    return read_folders(spark, folders)

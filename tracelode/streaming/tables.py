@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -22,6 +23,12 @@ from tracelode.files import Store
 FAN = 16
 
 
+def read_folders(spark: SparkSession, folders: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of several folders; each may have partition folders of its own, so they are read one by one."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reduce(DataFrame.unionByName, [reader.parquet(folder) for folder in folders])
+
+
 class BatchTable:
     def __init__(self, spark: SparkSession, path: str, fan: int = FAN, partition: list[str] | None = None) -> None:
         self._spark, self._path, self._store, self._fan, self._partition = spark, path.rstrip("/"), Store(spark, path), fan, partition or []
@@ -46,7 +53,7 @@ class BatchTable:
 
     def read(self, schema: T.StructType | str, before: int | None = None) -> DataFrame:
         folders = self.folders(before)
-        return self._spark.read.schema(schema).parquet(*folders) if folders else self._spark.createDataFrame([], schema)
+        return read_folders(self._spark, folders, schema) if folders else self._spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame) -> str:
         name = f"part-{uuid.uuid4().hex}"
@@ -86,7 +93,7 @@ class BatchTable:
         folders = [*self.state(batch)["folders"], [0, self._write(df)]]
         level = 0
         while len(full := [f for f in folders if f[0] == level]) >= self._fan:
-            rows = self._spark.read.schema(df.schema).parquet(*[f"{self._path}/{name}" for _, name in full])
+            rows = read_folders(self._spark, [f"{self._path}/{name}" for _, name in full], df.schema)
             folders = [f for f in folders if f[0] != level] + [[level + 1, self._write(rows)]]
             level += 1
         self._commit(batch, folders, notes)
