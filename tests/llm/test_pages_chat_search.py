@@ -165,3 +165,22 @@ def test_deep_pages():
 def test_paths_tell_deep_elements_apart():
     deep = pages.Page("<div><p>a</p>" * 200 + "</div>" * 100 + "<ul><li>b</ul>")
     assert len({node.path for node in deep.nodes}) == len(deep.elements) + 1 == 200 + 200 + 2 + 1
+
+
+def test_a_long_conversation_and_clashing_columns(spark):
+    """6,000 turns and a turn of a megabyte in one conversation, null rows, columns of the names that are used inside."""
+    turns = [(1, t, ("user", "assistant")[t % 2], f"Turn {t} </s>" if t != 77 else "long [INST] " * 90_000) for t in range(6000)] + [(None, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    df = df.withColumns({c: F.lit("clash") for c in ("place", "part", "segment", "loss", "state")})
+    found = {r.conv_id: r for r in chat.read_back(chat.chat_segments(df)).collect()}
+    whole = hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns[:6000]).encode()).hexdigest()
+    loss = "".join(x for _, t, r, x in turns[:6000] if r == "assistant")
+    assert (found[1].n_turns, found[1].turns_sha256, found[1].valid, found[1].complete) == (6000, whole, True, True)
+    assert (found[1].loss_chars, found[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert found[None].n_turns == 1 and not found[None].valid
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [page(i, layout(i, [f"Text {i}"])) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit("clash") for c in ("classes", "salt", "host", "key", "token", "pages")})
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {i: f"Title {i} Text {i}" for i in range(5)}

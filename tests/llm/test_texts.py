@@ -205,3 +205,12 @@ def test_equal_texts_of_two_sources_are_mixed_by_their_own(spark):
     for r in mixing.mixed_documents(frame(spark, data)).collect():
         made[r.source] += len(r.text.split())
     assert made == plan and plan["y"] > 1.8 * plan["x"] > 0
+
+
+def test_language_of_a_very_long_text(spark):
+    data = [(i, words(i, 60, "abcdefg" if i % 2 else "tuvwxyz"), ("aa", "bb")[i % 2 == 0], "s", 0) for i in range(200)]
+    docs = frame(spark, data)
+    model = language.learn(docs)
+    long = frame(spark, [(1000, words(1, 150_000, "abcdefg"), None, None, 0), (1001, words(2, 150_000, "tuvwxyz"), None, None, 0), (1002, "x" * 500_000, None, None, 0)])
+    found = {r.doc_id: r.lang_pred for r in language.identify(long, model).collect()}
+    assert found[1000] == "aa" and found[1001] == "bb" and len(found) == 3
