@@ -46,9 +46,10 @@ class WordIds:
     plain letters and a tail of ASCII punctuation is looked up in two parts; unknown letter words are encoded together.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        self._kept = kept_words
         self._tokenizer = Tokenizer.from_file(path)
         vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
         ends = np.zeros(max(vocabulary.values()) + 3, dtype=bool)
@@ -74,7 +75,7 @@ class WordIds:
         return unknown
 
     def _learn(self, words: set[str]) -> None:
-        if len(self._ids) + len(words) > KEPT_WORDS:
+        if len(self._ids) + len(words) > self._kept:
             self._ids, self._before = {}, self._ids
         ids = self._ids
         whole, split, letters = [], [], set()
@@ -122,16 +123,16 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, kept_words: int = KEPT_WORDS) -> WordIds:
+    return WordIds(path, kept_words)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, kept_words: int = KEPT_WORDS) -> DataFrame:
     """The pieces of every document: full windows, then the rest, with the checksum of their ids. `tokenizer` is a file's path."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer)
+        ids = word_ids(tokenizer, kept_words)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -206,7 +207,9 @@ def pack(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     return pieces.groupBy(dealt.alias("__group")).applyInPandas(group, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
-    """Every document's pieces with their places. The number of groups follows the number of documents."""
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP,
+                   kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Every document's pieces with their places. The number of groups follows the number of documents; kept_words bounds the
+    memory of a task, which keeps it for the next one."""
     groups = max(1, docs.count() // group)
-    return pack(token_pieces(docs, tokenizer, window, end_id), groups, window)
+    return pack(token_pieces(docs, tokenizer, window, end_id, kept_words), groups, window)
