@@ -31,9 +31,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+#: Words whose ids a task keeps; few, as a worker that packs has the other stages' memory too.
+KEPT_WORDS = 100_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, queries.tokenizer_path())
+    return packing.pack_documents(docs, queries.tokenizer_path(), kept_words=KEPT_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
