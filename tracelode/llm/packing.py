@@ -11,14 +11,17 @@ are packed each; equal lengths are taken by (doc_id, start); an empty table give
 from __future__ import annotations
 
 import json
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracelode.llm.columns import slices
@@ -27,123 +30,110 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces of one group, about; bounds the memory of a packing task.
 GROUP = 4096
-#: Words whose ids a task keeps: those of the current generation, and those of the one before until they are met again.
-KEPT_WORDS = 500_000
-
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint, sequence_tokens bigint"
 
-#: Unicode does not count these as white space, str.split() does.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Bytes of text whose words are looked up together.
+SLICE = 1 << 22
 #: Behind letters, a run of these is one token of the vocabulary's splitter. The apostrophe is not: 's and the like are cut off.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_AT_END = f"(?P<tail>[{''.join(chr(92) + c for c in _TAIL)}]*)$"
+#: Letters up to here are lower-cased one by one.
+_PLAIN = r"^[\x{0}-\x{24F}]*$"
+
+
+class Pool(NamedTuple):
+    """Ids of several strings behind each other, and how many each has."""
+
+    ids: np.ndarray
+    length: np.ndarray
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes, looked up word by word.
+    """Token ids of texts, made once for each different word of a slice.
 
     The vocabulary's splitter never joins what white space separates, so a text's ids are those of its words. A word of
-    plain letters and a tail of ASCII punctuation is looked up in two parts; unknown letter words are encoded together.
+    plain letters and a tail of ASCII punctuation is made of two parts; all letter parts are encoded together.
     """
 
-    def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._kept = kept_words
         self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
         ends = np.zeros(max(vocabulary.values()) + 3, dtype=bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        if not ends.any():
+            raise ValueError(f"{path} marks no ends of words")
         self._ends = ends
-        self._ids: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _known(self, words: set[str]) -> list[str]:
-        """Brings words back from the generation before; returns those that are in neither."""
-        ids, before = self._ids, self._before
-        unknown = []
-        for word in words:
-            if word not in ids:
-                found = before.get(word)
-                if found is None:
-                    unknown.append(word)
-                else:
-                    ids[word] = found
-        return unknown
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self._ids) + len(words) > self._kept:
-            self._ids, self._before = {}, self._ids
-        ids = self._ids
-        whole, split, letters = [], [], set()
-        for word in self._known(words):
-            plain = word.rstrip(_TAIL)
-            if not plain.isalpha() or not plain.isascii() and max(plain) > "ɏ":
-                whole.append(word)
-                continue
-            if plain.isascii():
-                plain = plain.lower()
-            split.append((word, plain))
-            letters.add(plain)
-        unknown = self._known(letters)
-        if unknown:
-            found = np.array(self._tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self._ends[found]) + 1
-            if len(cuts) == len(unknown) and cuts[-1] == len(found):
-                data, begin = found.tobytes(), 0
-                for word, end in zip(unknown, (4 * cuts).tolist()):
-                    ids[word] = data[begin:end]
-                    begin = end
-            else:
-                ids.update((word, self.encode(word)) for word in unknown)
-        for word in whole:
-            ids[word] = self.encode(word)
-        for word, plain in split:
-            tail = word[len(plain):]
-            if tail:
-                if tail not in ids:
-                    ids[tail] = self.encode(tail)
-                ids[word] = ids[plain] + ids[tail]
-            elif word != plain:
-                ids[word] = ids[plain]
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if _SEPARATORS.search(text) else text.split() for text in texts]
-        wanted: set[str] = set()
-        for words in cut:
-            if words:
-                wanted.update(words)
-        self._learn(wanted)
-        get = self._ids.__getitem__
-        for text, words in zip(texts, cut):
-            yield self.encode(text) if words is None else b"".join(map(get, words))
+
+    def _each(self, words: list[str]) -> Pool:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return Pool(np.fromiter(chain.from_iterable(found), dtype="<u4"), np.array([len(f) for f in found], dtype=np.int64))
+
+    def _together(self, words: list[str]) -> Pool:
+        """Of words of letters: one text holds them all, and ids that end a word part them."""
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self._ends[ids]) + 1
+        whole = len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids))
+        return Pool(ids, np.diff(cuts, prepend=0)) if whole else self._each(words)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text begins and the last one ends; null is empty."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        kinds, which = words.dictionary, words.indices.to_numpy()
+        plain = pc.utf8_rtrim(kinds, _TAIL)
+        ascii_ = pc.string_is_ascii(plain)
+        simple = pc.and_(pc.utf8_is_alpha(plain), pc.or_(ascii_, pc.match_substring_regex(plain, _PLAIN)))
+        letters = pc.if_else(ascii_, pc.ascii_lower(plain), plain).filter(simple).dictionary_encode()
+        tails = pc.struct_field(pc.extract_regex(kinds.filter(simple), _AT_END), "tail").dictionary_encode()
+        pools = [self._together(letters.dictionary.to_pylist()), self._each(tails.dictionary.to_pylist()), self._each(kinds.filter(pc.invert(simple)).to_pylist())]
+        ids, length = np.concatenate([p.ids for p in pools]), np.concatenate([*(p.length for p in pools), [0]])
+        first = np.cumsum(length) - length
+        # Each word is two parts: letters and tail, or itself and nothing.
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        parts = np.full((len(kinds), 2), len(length) - 1, dtype=np.int64)
+        parts[is_simple, 0], parts[is_simple, 1] = letters.indices.to_numpy(), len(pools[0].length) + tails.indices.to_numpy()
+        parts[~is_simple, 0] = len(pools[0].length) + len(pools[1].length) + np.arange(len(pools[2].length))
+        all_parts = parts[which].ravel()
+        sizes = length[all_parts]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(first[all_parts] - ends[:-1], sizes) + np.arange(ends[-1])
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids[place], ends[2 * offsets]
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, kept_words: int = KEPT_WORDS) -> WordIds:
-    return WordIds(path, kept_words)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, kept_words: int = KEPT_WORDS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: full windows, then the rest, with the checksum of their ids. `tokenizer` is a file's path."""
-    end = end_id.to_bytes(4, "little")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer, kept_words)
+        ids = word_ids(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-                texts = [text or "" for text in part.column("text").to_pylist()]
-                for doc_id, data in zip(part.column("doc_id").to_pylist(), ids.texts(texts)):
-                    data = memoryview(data + end)
-                    total = len(data) // 4
-                    for start in range(0, total, window):
-                        piece = data[4 * start : 4 * (start + window)]
-                        for column, value in zip(rows, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)):
+                found, starts = ids.column(part.column("text"))
+                # Every text's ids, and the end id behind them.
+                marked = np.empty(len(found) + part.num_rows, dtype="<u4")
+                ends = starts[1:] + np.arange(part.num_rows)
+                text = np.ones(len(marked), dtype=bool)
+                text[ends] = False
+                marked[text], marked[ends] = found, end_id
+                data, begin = memoryview(marked.tobytes()), 0
+                for doc_id, stop in zip(part.column("doc_id").to_pylist(), (ends + 1).tolist()):
+                    for at in range(begin, stop, window):
+                        piece = data[4 * at : 4 * min(at + window, stop)]
+                        for column, value in zip(rows, (doc_id, at - begin, len(piece) // 4, zlib.crc32(piece), stop - begin)):
                             column.append(value)
+                    begin = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(cut, PIECES)
@@ -207,9 +197,7 @@ def pack(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
     return pieces.groupBy(dealt.alias("__group")).applyInPandas(group, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP,
-                   kept_words: int = KEPT_WORDS) -> DataFrame:
-    """Every document's pieces with their places. The number of groups follows the number of documents; kept_words bounds the
-    memory of a task, which keeps it for the next one."""
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+    """Every document's pieces with their places. The number of groups follows the number of documents."""
     groups = max(1, docs.count() // group)
-    return pack(token_pieces(docs, tokenizer, window, end_id, kept_words), groups, window)
+    return pack(token_pieces(docs, tokenizer, window, end_id), groups, window)
