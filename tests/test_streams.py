@@ -96,6 +96,19 @@ def test_deadline_of_shuffled_arrivals(stream):
     same(finish(session_streams.stream_answer_deadline(source, 4), "deadline"), sessions.answer_deadline(df, 4))
 
 
+def test_deadline_of_odd_rows(stream):
+    """Answers that come twice, without a session, an id or a time; no row goes to Python."""
+    a, r, u = sessions.ANSWER, sessions.RESULT, sessions.UPDATE
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [(1, at(5), "s", a), (1, at(5), "s", a), (2, None, "s", a), (None, at(5), "s", a), (3, at(13), "s", r), (4, at(4.9), "s", u), (5, at(5), "s", u),
+            (6, at(20), None, a), (7, at(27), None, r), (8, at(28.1), None, u), (9, at(CLOSING), "end", r)]
+    source, _ = stream(rows, "event_id bigint, ts timestamp, session_id string, event string", batches=2)
+    settled = session_streams.stream_answer_deadline(source)
+    assert "InPandas" not in settled._jdf.queryExecution().toString()
+    got = sorted((x.answer_id, x.session_id, x.result_in_time, x.update_in_time, x.status) for x in finish(settled, "deadline").collect())
+    assert got == [(1, "s", True, True, "complete"), (6, None, True, False, "late_or_absent")]
+
+
 def lines(rows):
     return [(c, i, START + timedelta(seconds=t), text) for i, (c, t, text) in enumerate(rows)]
 

@@ -2,99 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelode.operators.sessions import ANSWER, DEADLINE_SECONDS, RESULT, UPDATE
 from tracelode.streaming.run import use_rocksdb
 
-SETTLED = "answer_id bigint, session_id string, answered_at timestamp, result_in_time boolean, update_in_time boolean, status string"
-_REPLIES = (RESULT, UPDATE)
-
-
-class _Deadlines(StatefulProcessor):
-    """The open answers of one session, and its replies as first and last time per window as long as the deadline.
-
-    A reply in time lies in the answer's window, at or after the answer, or in the next one, not after the deadline, so the
-    window's last, or first, time decides (as in the batch form) and a busy session keeps two numbers a window and kind.
-    """
-
-    def __init__(self, seconds: int) -> None:
-        self.width = seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.answers = handle.getMapState("answers", "answer_id bigint", "answered bigint")
-        self.windows = handle.getMapState("windows", "number bigint, kind int", "first bigint, last bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
-        for batch in rows:
-            asked = batch[batch["event"] == ANSWER]
-            for answer_id, at in zip(asked["event_id"].tolist(), asked["us"].tolist()):
-                self.answers.updateValue((answer_id,), (at,))
-                due.add(self._timer(at))
-            for kind, event in enumerate(_REPLIES):
-                at = batch.loc[batch["event"] == event, "us"]
-                for number, own in at.groupby(at // self.width):
-                    first, last = int(own.min()), int(own.max())
-                    slot = (int(number), kind)
-                    if self.windows.containsKey(slot):
-                        known = self.windows.getValue(slot)
-                        first, last = min(first, known[0]), max(last, known[1])
-                    self.windows.updateValue(slot, (first, last))
-        for time in due:
-            self.handle.registerTimer(time)
-        if not due:
-            self._forget(timerValues.getCurrentWatermarkInMs())
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Answers whose deadline the watermark has passed: every reply in time has been seen.
-
-        The rows are made before this returns, as the state is this session's only until then."""
-        time = expiredTimerInfo.getExpiryTimeInMs()
-        over = [(answer_id, at) for (answer_id,), (at,) in self.answers.iterator() if self._timer(at) <= time]
-        out = []
-        for answer_id, at in over:
-            hits = [self._in_time(kind, at) for kind in range(len(_REPLIES))]
-            out.append((answer_id, key[0], pd.Timestamp(at, unit="us"), *hits, "complete" if all(hits) else "late_or_absent"))
-            self.answers.removeKey((answer_id,))
-        self._forget(timerValues.getCurrentWatermarkInMs())
-        return iter([pd.DataFrame(out, columns=[c.split()[0] for c in SETTLED.split(", ")])])
-
-    def _timer(self, at: int) -> int:
-        return (at + self.width) // 1000 + 1
-
-    def _in_time(self, kind: int, at: int) -> bool:
-        own, following = (at // self.width, kind), (at // self.width + 1, kind)
-        if self.windows.containsKey(own) and self.windows.getValue(own)[1] >= at:
-            return True
-        return self.windows.containsKey(following) and self.windows.getValue(following)[0] <= at + self.width
-
-    def _forget(self, watermark_ms: int) -> None:
-        """Windows before the oldest open answer and before any that may still come."""
-        oldest = min([at for (_,), (at,) in self.answers.iterator()], default=1 << 62)
-        limit = min(oldest, watermark_ms * 1000) // self.width
-        for slot in [slot for slot in self.windows.keys() if slot[0] < limit]:
-            self.windows.removeKey(slot)
-
-    def close(self) -> None:
-        pass
-
 
 def stream_answer_deadline(messages: DataFrame, seconds: int = DEADLINE_SECONDS, delay: str = "1 minute") -> DataFrame:
-    """(I) Answers as ``answer_deadline`` gives them, each when the watermark has passed its deadline.
+    """(I) Answers as ``answer_deadline`` gives them, each when the watermark has passed every time its replies may have.
+
+    Time is cut into windows as long as the deadline, and two of them that follow each other are a span. A reply in time lies in
+    the answer's window, at or after the answer, or in the next one, not after the deadline, so an answer belongs to the one span
+    that begins with its window, and of the span's replies the last time in the first half and the first time in the second
+    decide (as in the batch form): a busy session keeps four times a span. Replies are reduced to these, and answers joined
+    to them, when the watermark passes the end of the span; so all answers come out, late and unanswered ones too, as long as
+    time goes on, and at the end of a stream one closing event of a far time does it (``closed_by``).
 
-    An answer is known by its id; one without is left out. An event-time timer settles an answer, so all answers come out, late and unanswered ones too, as long as time goes on;
-    at the end of a stream one closing event of a far time does (``closed_by``).
+    An answer is known by its session, id and time, and counts once; one without an id or a time is left out.
     """
     use_rocksdb(messages.sparkSession)
-    # A null id would make the ids of a whole batch floats.
-    useful = F.col("event").isin(*_REPLIES) | ((F.col("event") == ANSWER) & F.col("event_id").isNotNull())
-    rows = messages.withWatermark("ts", delay).where(useful).select(
-        "session_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), "event", F.unix_micros("ts").alias("us"), "ts")
-    return rows.groupBy("session_id").transformWithStateInPandas(_Deadlines(seconds), SETTLED, "append", "eventTime")
+    width = seconds * 1_000_000
+    # A stream may have one column with a watermark, so beside the span times are numbers.
+    timed = [F.window("ts", f"{2 * seconds} seconds", f"{seconds} seconds").alias("span"), F.unix_micros("ts").alias("us")]
+    second = F.col("us") >= F.unix_micros("span.start") + width
+    rows = messages.withWatermark("ts", delay)
+    replies = rows.where(F.col("event").isin(RESULT, UPDATE)).select("session_id", "event", *timed)
+
+    def bound(event: str, of: Callable[[Column], Column], half: Column, name: str) -> Column:
+        return of(F.when((F.col("event") == event) & half, F.col("us"))).alias(name)
+
+    bounds = replies.groupBy(F.col("session_id").alias("_s"), F.col("span").alias("_span")).agg(
+        bound(RESULT, F.max, ~second, "last_result"), bound(RESULT, F.min, second, "next_result"),
+        bound(UPDATE, F.max, ~second, "last_update"), bound(UPDATE, F.min, second, "next_update"))
+    asked = rows.where((F.col("event") == ANSWER) & F.col("event_id").isNotNull()).select(
+        F.col("event_id").cast("bigint").alias("answer_id"), "session_id", "ts").dropDuplicates()
+    asked = asked.select("answer_id", "session_id", *timed).where(~second)
+
+    def in_time(name: str) -> Column:
+        hit = F.coalesce(F.col(f"last_{name}") >= F.col("us"), F.lit(False)) | F.coalesce(F.col(f"next_{name}") <= F.col("us") + width, F.lit(False))
+        return hit.alias(f"{name}_in_time")
+
+    met = asked.join(bounds, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("span") == F.col("_span")), "left")
+    settled = met.select("answer_id", "session_id", F.timestamp_micros("us").alias("answered_at"), in_time("result"), in_time("update"))
+    complete = F.col("result_in_time") & F.col("update_in_time")
+    return settled.withColumn("status", F.when(complete, "complete").otherwise("late_or_absent"))
