@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,20 @@ def test_a_vocabulary_that_is_joined(spark, monkeypatch):
     expected = rows()
     monkeypatch.setattr(matching, "VOCABULARY", 2)
     assert rows() == expected and len(expected) == 4
+
+
+def test_tokens_of_a_batch_are_counted_in_pieces():
+    """Memory follows the tokens of a piece, not those of a batch; no row is lost or cut."""
+    lists = [["a"] * n for n in (3, 0, 9, 1)] + [None] + [["b"]] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(lists, pa.list_(pa.string()))], names=["id", "tokens"])
+    pieces = list(matching._pieces([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)], most=4))
+    assert [p.column("id").to_pylist() for p in pieces] == [[0, 1], [2], [3, 4], [5, 6, 7, 8], [9, 10, 11]]
+
+
+def test_token_counts_over_pieces(spark, monkeypatch):
+    """Counts do not depend on where a batch is cut."""
+    monkeypatch.setattr(matching._pieces, "__defaults__", (5,))
+    texts = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 13))) for i in range(100)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(texts, "id int, text string").coalesce(1)
+    got = sorted((r.id, r.token, r.n) for r in matching.token_counts(df, "id").collect())
+    assert got == sorted((i, w, t.split().count(w)) for i, t in texts if t for w in set(t.split()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -68,6 +69,8 @@ def command_catalogue(spark: SparkSession) -> DataFrame:
 ENTRIES_PER_PASS = 4096
 # Scores held at a time in a task.
 SCORES = 1 << 20
+# Tokens counted at a time in a task, about: a batch of long texts has many times as many as one of short texts.
+TOKENS = 1 << 18
 
 
 def tokenize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -75,16 +78,27 @@ def tokenize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return token_rows(df, key, text)
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], most: int = TOKENS) -> Iterator[pa.RecordBatch]:
+    """The rows of batches (tokens, a list, among their columns) in pieces of at most `most` tokens, or one row."""
+    for batch in batches:
+        end = np.cumsum(pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token, n): times each token is in a text; one row of ``df`` is one text.
 
-    Counted where the texts are read, by numbers for the tokens of a batch, so nothing is
+    Counted where the texts are read, by numbers for the tokens of a piece of a batch, so nothing is
     shuffled. Where several rows make one text, add up n by (key, token) afterwards.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def count(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             column = batch.column("tokens")
             words = column.flatten().dictionary_encode()
             row, kinds = pc.list_parent_indices(column).to_numpy().astype(np.int64), max(len(words.dictionary), 1)
@@ -140,7 +154,7 @@ def term_vectors(texts: DataFrame, catalogue: DataFrame, key: str, text: str = "
     kind = texts.schema[key].dataType.simpleString()
 
     def weigh(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             found = _Words(batch.column("tokens"), shared.value)
             weight = found.n / np.sqrt(found.norm2[found.row])
             yield pa.RecordBatch.from_arrays(
@@ -164,7 +178,7 @@ def _score(tokenised: DataFrame, index: list, key: str, kind: str) -> DataFrame:
     def best(batches):
         vocabulary, rows, first, norms, names = shared.value
         step = max(1, SCORES // max(len(names), 1))
-        for whole in batches:
+        for whole in _pieces(batches):
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 found = _Words(batch.column("tokens"), vocabulary)
