@@ -186,6 +186,32 @@ def test_a_deep_chain_with_one_branch_takes_few_rounds(spark, monkeypatch):
     assert rounds.count("ready") <= 30 and rounds.count("links") <= 60
 
 
+def test_rounds_move_what_they_place(spark, monkeypatch):
+    """Without chains of links no edge is written anew; a round writes the open nodes, and of others only those it touches."""
+    sizes = []
+
+    def write(df, name, write=graph.written):
+        out = write(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "written", write)
+    n = 2000
+    key = F.col("id")
+    edges = spark.range(1, n + 1).select(key.alias("node"), F.explode(F.array(F.expr("id div 2"), F.expr("id div 3"))).alias("dep"))
+    out = graph.dependency_levels(edges.select("node", F.when(F.col("dep") > 0, F.col("dep")).alias("dep"))).collect()
+    assert {r.node: r.level for r in out} == {i: i.bit_length() - 1 for i in range(1, n + 1)}
+    assert not {"links", "many", "open"} & {name for name, _ in sizes}
+    assert sum(c for name, c in sizes if name == "ready") == n and sum(c for name, c in sizes if name in ("bases", "single")) <= 3 * n
+
+
+def test_ladder_and_cycles_of_two_dependencies(spark):
+    """Nodes that become links when their second dependency is placed are led on; with nothing to place all get one level."""
+    ladder = [(i, d) for i in range(2, 40) for d in {i - 1, 0}] + [(1, 0)]
+    assert levels(spark, [(str(a), str(b)) for a, b in ladder]) == {str(i): i for i in range(40)}
+    assert levels(spark, [(a, b) for a in "xyz" for b in "xyz" if a != b]) == {"x": 0, "y": 0, "z": 0}
+
+
 def test_depth_below_what_one_query_reaches(spark, monkeypatch):
     monkeypatch.setattr(graph, "SHALLOW", 2)
     rows = [("t", i, i - 1 if i else None) for i in range(9)] + [("t", 20, 3), ("t", 30, 31), ("t", 31, 30), ("t", 32, 31), ("u", 1, 0), (None, 1, 0), (None, 2, 1)]

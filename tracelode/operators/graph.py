@@ -57,8 +57,8 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
 
     Nodes on or behind a cycle get one last level. Where no node has two dependencies, the
     level is the length of its chain, found in a logarithmic number of rounds. Otherwise a round places the nodes that wait
-    for nothing, and then leads every chain of nodes that wait for one node each on to the first node that does not: what
-    is left of a chain is an edge with a weight. So rounds follow the number of nodes with two open dependencies behind each
+    for nothing, and then leads every chain of nodes that wait for one node each on to the first node that does not, if there is a chain:
+    what is left of it is an edge with a weight. So rounds follow the number of nodes with two open dependencies behind each
     other, not the depth, and a chain costs the logarithm of its length. A round places a node or is the last.
     """
     spark = edges.sparkSession
@@ -69,37 +69,41 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         depth = written(_climbed(nodes.join(waiting.withColumnRenamed("dep", "up"), "node", "left"), ["node"]), "depths")
         last = depth.agg(F.coalesce(F.max("depth") + 1, F.lit(0))).first()[0]
         return depth.select("node", F.coalesce("depth", F.lit(last)).cast("int").alias("level"))
-    # Open nodes with the level that what they no longer wait for gives them, and weighted edges between them.
-    left, open_edges = written(nodes.withColumn("b", F.lit(0)), "left"), waiting.withColumn("w", F.lit(1))
-    placed = []
+    # Open nodes with the level that what they no longer wait for gives them and the number of those they wait for, and weighted
+    # edges between them. Edges to placed nodes stay, as a node is placed once; so a round moves what it places and what waits for it.
+    waits = waiting.groupBy("node").agg(F.count("*").alias("n"))
+    left = written(nodes.join(waits, "node", "left").select("node", F.lit(0).alias("b"), F.coalesce("n", F.lit(0)).alias("n")), "left")
+    open_edges, placed = waiting.withColumn("w", F.lit(1)), []
     while True:
-        ready = written(left.join(open_edges.select("node").distinct(), "node", "left_anti"), "ready")
+        ready = written(left.where("n = 0").select("node", "b"), "ready")
         if ready.isEmpty():
             break
         placed.append(ready)
-        ends = open_edges.join(ready.select(F.col("node").alias("dep"), F.col("b").alias("level")), "dep", "left")
-        ends = written(ends, "ends")
-        bases = ends.where("level is not null").groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("_b"))
-        left = left.join(ready.select("node"), "node", "left_anti").join(bases, "node", "left")
-        left = written(left.select("node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b")), "left")
-        rest = ends.where("level is null").select("node", "dep", "w")
-        single = rest.groupBy("node").agg(F.count("*").alias("n"), F.first("dep").alias("dep"), F.first("w").alias("w")).where("n = 1")
-        links = written(single.join(left, "node").select("node", "dep", "w", "b"), "links")
-        if links.isEmpty():
-            open_edges = rest
+        ends = open_edges.join(ready.select(F.col("node").alias("dep"), F.col("b").alias("level")), "dep")
+        bases = written(ends.groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("_b"), F.count("*").alias("_n")), "bases")
+        left = written(left.where("n > 0").join(bases, "node", "left").select(
+            "node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b"), (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n")), "left")
+        # A node that waits for one is a link. Without two behind each other there is no chain to lead on.
+        single = written(left.where("n = 1").select("node"), "single")
+        chained = open_edges.join(single, "node", "left_semi").join(single.select(F.col("node").alias("dep")), "dep", "left_semi")
+        if single.isEmpty() or chained.isEmpty():
             continue
+        rest = open_edges.join(left.select(F.col("node").alias("dep")), "dep", "left_semi").select("node", "dep", "w")
+        links = written(rest.join(left.where("n = 1").select("node", "b"), "node").select("node", "dep", "w", "b"), "links")
         jumped = _jumped(links)
         over = jumped.select(F.col("node").alias("dep"), F.col("dep").alias("_d"), F.col("w").alias("_w"), F.col("b").alias("_b"))
         many = rest.join(links.select("node"), "node", "left_anti").join(over, "dep", "left")
         many = written(many.select("node", F.coalesce("_d", "dep").alias("dep"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
                                    (F.col("_b") + F.col("w")).alias("b")), "many")
         bases = many.select("node", "b").unionByName(jumped.select("node", "b")).groupBy("node").agg(F.max("b").alias("_b"))
-        left = written(left.join(bases, "node", "left").select("node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b")), "left")
+        left = left.drop("n").join(bases, "node", "left").select("node", F.greatest("b", F.coalesce("_b", F.lit(0))).alias("b"))
         open_edges = many.select("node", "dep", "w").unionByName(jumped.select("node", "dep", "w")).groupBy("node", "dep").agg(F.max("w").alias("w"))
         open_edges = written(open_edges, "open")
-    known = reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], left.schema)
+        waits = open_edges.groupBy("node").agg(F.count("*").alias("n"))
+        left = written(left.join(waits, "node", "left").select("node", "b", F.coalesce("n", F.lit(0)).alias("n")), "left")
+    known = reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], left.select("node", "b").schema)
     last = known.agg(F.coalesce(F.max("b") + 1, F.lit(0))).first()[0]
-    return known.unionByName(left.join(known.select("node"), "node", "left_anti").withColumn("b", F.lit(last))).select("node", F.col("b").cast("int").alias("level"))
+    return known.unionByName(left.select("node", F.lit(last).alias("b"))).select("node", F.col("b").cast("int").alias("level"))
 
 
 def _first(column: str) -> Column:
