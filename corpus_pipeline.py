@@ -7,32 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelode.llm import language, minhash, mixing, packing, queries, suffixes
-from tracelode.session import run_folder
+from tracelode.session import run_folder, small_batches
 from tracelode.sources.tables import table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that the language models reject."""
+    small_batches(spark)
     return language.keep_known(docs, language.learn(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near-duplicates."""
+    small_batches(spark)
     return minhash.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that also start elsewhere; texts that nothing is left of go."""
+    small_batches(spark)
     return suffixes.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their source's target asks for; a document taken in part holds the part."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
