@@ -1,3 +1,7 @@
+import random
+import time
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +104,46 @@ def test_reassemble(spark):
             ("a", "one two\n"), ("a", "open"), ("a", "three\n"), ("b", "late\n"), ("b", "left")]
 
 
+def test_reassemble_sends_on_two_lines_a_slice(spark, tmp_path):
+    """One pass joins all but the lines at the ends of slices, over batches of a few rows; null keys, texts and times are rows."""
+    rng, day, rows = random.Random(5), datetime(2024, 1, 1), []
+    for i in range(600):
+        text = rng.choice([f"{i} ", f"{i} ", f"{i}\n", None])
+        rows.append((rng.choice(["a", "a", "a", "b", None]), i, None if i % 11 == 0 else day + timedelta(seconds=i * (1 if i % 50 else 3)), "x" if 200 < i < 350 else text))
+    wanted, last = [], {}
+    for key, i, ts, text in sorted(rows, key=lambda r: r[1]):
+        line = last.get(key)
+        if line is None or line["ended"] or (ts and line["at"] and ts > line["at"] + timedelta(seconds=5)):
+            last[key] = line = {"key": key, "text": "", "times": []}
+            wanted.append(line)
+        line["text"] += text or ""
+        line["times"] += [ts] if ts else []
+        line.update(at=ts, ended=bool(text) and text.endswith("\n"))
+    df = spark.createDataFrame(rows, "c string, n int, ts timestamp, log string").withColumn("_started", F.col("ts"))
+    expected = sorted((str(w["key"]), str(min(w["times"], default=None)), str(max(w["times"], default=None)), w["text"], w is last[w["key"]]) for w in wanted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for parts in (1, 4, 40):
+            found = logs.joined_parts(df, ["c"], ["n"], 5, f"{tmp_path}/{parts}", parts)
+            assert sorted((str(r.c), str(r._started), str(r.ts), r.log, r.final) for r in found.collect()) == expected
+            assert spark.read.parquet(f"{tmp_path}/{parts}").where("_edge is not null").count() <= 2 * parts
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_container_of_a_path(spark):
+    """The search of a path takes as long as the path, not as its square."""
+    paths = ["file:/logs/c1/app.log", "/c2/app.log.1", "c3/x", "x", "", "/x", "a//x", "a/b/", None, "/" + "d" * 150_000 + "/c4/" + "f" * 150_000]
+    start = time.perf_counter()
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select(log_files.folder_name(F.col("p")).alias("c"), log_files.file_age(F.col("p")).alias("age"))
+    rows = df.collect()
+    assert [r.c for r in rows] == ["c1", "c2", "c3", "", "", "", "", "", None, "c4"]
+    assert [r.age for r in rows] == [0, -1, 0, 0, 0, 0, 0, 0, 0, 0]
+    assert time.perf_counter() - start < 10
+    assert "try_cast" not in df._jdf.queryExecution().toString()
+
+
 def test_tail_reads_files(spark, tmp_path):
     folder = tmp_path / "c1"
     folder.mkdir()

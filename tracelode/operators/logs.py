@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tracelode.functions import severity
 from tracelode.functions.once import with_once
-from tracelode.operators.ordered import previous, running_sum, slices
+from tracelode.operators.ordered import SLICE, slice_count
+from tracelode.session import run_folder, small_batches
 
 # Texts that mark a failing exporter. They look like patterns but are
 # searched as plain text, so the second one matches only its literal spelling.
@@ -193,6 +196,122 @@ def receiver_seen(df: DataFrame, log: str = "log") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(named), F.lit(False)).alias("seen"))
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Of every value but the first, whether it is another one than the value before; nulls are equal, and so are NaNs."""
+    now, then = column.slice(1), column.slice(0, len(column) - 1)
+    same = pc.or_(pc.fill_null(pc.equal(now, then), False), pc.and_(pc.is_null(now), pc.is_null(then)))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(then)), False))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _micros(column: pa.Array, missing: int) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.int64()), missing).to_numpy(zero_copy_only=False)
+
+
+def _times(micros: np.ndarray, missing: int, kind: pa.DataType) -> pa.Array:
+    return pa.array(micros, pa.int64(), mask=micros == missing).cast(kind)
+
+
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _folded(lines: pa.RecordBatch, begins: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of groups of rows that begin at `begins`: the texts joined, the least start, the greatest time."""
+    offsets = pa.array(np.append(begins, len(lines)), pa.int32())
+    texts = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.fill_null(lines.column("log"), "")), "")
+    return (texts, np.minimum.reduceat(_micros(lines.column("_started"), _MOST), begins),
+            np.maximum.reduceat(_micros(lines.column("ts"), _LEAST), begins))
+
+
+def _line_joiner(keys: list[str], flush_seconds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Joins the ordered rows of a slice, batch by batch; holds one batch and the one line that is open at its end.
+
+    Only the first line of a slice can go on with one of an earlier slice, and only the last one can go on in a later slice.
+    They carry 0 and 1 in ``_edge`` (0 if there is but one), with the times of their first and last row and whether that ended
+    the line. ``_more`` tells that another line of the same key follows in this slice.
+    """
+    def rows(head: pa.RecordBatch, begins, texts, started, ended_at, more, edge=None, first=None, last=None, ended=None) -> pa.RecordBatch:
+        at, n, kind = pa.array(begins, pa.int64()), len(begins), head.schema.field("ts").type
+        time = lambda v: pa.nulls(n, kind) if v is None else v
+        columns = {**{k: head.column(k).take(at) for k in (*keys, SLICE)}, "_started": _times(started, _MOST, kind), "ts": _times(ended_at, _LEAST, kind),
+                   "log": texts, "_more": pa.array(more, pa.bool_()), "_edge": pa.array([edge] * n, pa.int32()),
+                   "_first": time(first), "_last": time(last), "_ended": pa.array([ended] * n, pa.bool_())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = last = None
+        texts, started, until, edge = [], _MOST, _LEAST, 0
+
+        def close(edge: int | None, more: bool) -> pa.RecordBatch:
+            return rows(head, [0], pa.array(["".join(texts)], pa.string()), np.array([started]), np.array([until]), [more], edge,
+                        head.column("ts"), last.column("ts"), bool(pc.fill_null(pc.ends_with(last.column("log"), "\n"), False)[0].as_py()))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            other = np.zeros(len(both) - 1, bool)
+            for key in keys:
+                other |= _differs(both.column(key))
+            time, timed = _micros(both.column("ts"), 0), pc.is_valid(both.column("ts")).to_numpy(zero_copy_only=False)
+            late = timed[1:] & timed[:-1] & (time[1:] > time[:-1] + flush_seconds * 1_000_000)
+            ended = pc.fill_null(pc.ends_with(both.column("log"), "\n"), False).to_numpy(zero_copy_only=False)
+            starts = other | late | ended[:-1]
+            if last is None:
+                # The first row goes on with the open line, which is the empty one, so that the first line is kept apart.
+                head, starts, other = batch.slice(0, 1), np.append(False, starts), np.append(False, other)
+            begins = np.flatnonzero(starts)
+            upto = int(begins[0]) if len(begins) else len(batch)
+            if upto:
+                text, low, high = _folded(batch.slice(0, upto), np.array([0]))
+                texts.append(text[0].as_py())
+                started, until, last = min(started, int(low[0])), max(until, int(high[0])), batch.slice(upto - 1, 1)
+            if len(begins):
+                yield close(edge, not other[upto])
+                text, low, high = _folded(batch.slice(upto), begins - upto)
+                if len(begins) > 1:
+                    yield rows(batch, begins[:-1], text.slice(0, len(begins) - 1), low[:-1], high[:-1], ~other[begins[1:]])
+                head, texts, started, until, edge = batch.slice(int(begins[-1]), 1), [text[-1].as_py()], int(low[-1]), int(high[-1]), None
+            last = batch.slice(len(batch) - 1, 1)
+        if last is not None:
+            yield close(0 if edge == 0 else 1, False)
+
+    return join
+
+
+def joined_parts(df: DataFrame, keys: list[str], order: list[str], flush_seconds: int, folder: str, parts: int | None = None) -> DataFrame:
+    """(I) Lines put together of their parts: (keys, _started, ts, log, final); see ``reassemble`` for the rule.
+
+    Rows have keys, order, ``_started``, ``ts`` and ``log``. They are sorted into slices of (keys, order) by one shuffle, and one
+    pass joins what lies within a slice. Written to `folder` are whole lines and at most two a slice that may
+    go on beyond it; those alone are put together in a second step. ``final`` marks the last line of a key.
+    """
+    small_batches(df.sparkSession)
+    columns = [*keys, "_started", "ts", "log"]
+    cut = df.select(*keys, *order, "_started", "ts", "log").repartitionByRange(parts or slice_count(df), *keys, *order)
+    # Rows of one place stand in the order of their texts, as in a sorted list of them.
+    cut = cut.sortWithinPartitions(*keys, *order, "log").select(*columns, F.spark_partition_id().alias(SLICE))
+    kinds = {f.name: f.dataType for f in cut.schema}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*keys, SLICE, "_started", "ts", "log")] + [
+        T.StructField("_more", T.BooleanType()), T.StructField("_edge", T.IntegerType()), T.StructField("_first", kinds["ts"]),
+        T.StructField("_last", kinds["ts"]), T.StructField("_ended", T.BooleanType())])
+    # Both readers must see the same cut, of which the bounds are sampled.
+    cut.mapInArrow(_line_joiner(keys, flush_seconds), schema).write.mode("overwrite").parquet(folder)
+    made = df.sparkSession.read.schema(schema).parquet(folder)
+    whole = made.where("_edge is null").select(*columns, (~F.col("_more")).alias("final"))
+    ordered = Window.partitionBy(*keys).orderBy(SLICE, "_edge")
+    edges = made.where("_edge is not null").withColumn("_before", F.lag(F.struct("_ended", "_last")).over(ordered))
+    late = F.col("_first") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before._last"))
+    starts = F.coalesce((F.col("_edge") == 1) | F.col("_before").isNull() | F.col("_before._ended") | late, F.lit(False))
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = edges.withColumn("_line", F.sum(starts.cast("int")).over(upto)).withColumn("_lines", F.max("_line").over(Window.partitionBy(*keys)))
+    pieces = F.sort_array(F.collect_list(F.struct(SLICE, "_edge", "log")))
+    over = numbered.groupBy(*keys, "_line").agg(F.min("_started").alias("_started"), F.max("ts").alias("ts"), pieces.alias("_pieces"),
+                                                ((F.max("_lines") == F.col("_line")) & ~F.bool_or("_more")).alias("final"))
+    return whole.unionByName(over.select(*keys, "_started", "ts", F.array_join(F.transform("_pieces", lambda p: p["log"]), "").alias("log"), "final"))
+
+
 def reassemble(df: DataFrame, keys: list[str], order: list[str], flush_seconds: int = 5, log: str = "log",
                parts: int | None = None) -> DataFrame:
     """(I) Joins lines that the container runtime split: (keys, ts, log), one row per line.
@@ -201,15 +320,9 @@ def reassemble(df: DataFrame, keys: list[str], order: list[str], flush_seconds:
     that comes more than ``flush_seconds`` later (our reading of the flush time). A null text
     is an empty part, a part without a time is never late.
     """
-    lines = df.select(*keys, *order, F.col("ts"), F.col(log).alias("log"))
-    cut = slices(lines, keys, order, parts)
-    before = previous(cut, keys, order, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
-    late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
-    starts = F.coalesce(F.col("_before").isNull() | F.col("_before.ended") | late, F.lit(False))
-    numbered = running_sum(before, keys, order, starts.cast("int"), "_line")
-    pieces = F.sort_array(F.collect_list(F.struct(*order, "log")))
-    joined = numbered.groupBy(*keys, "_line").agg(F.min("ts").alias("ts"), pieces.alias("_pieces"))
-    return joined.select(*keys, "ts", F.array_join(F.transform("_pieces", lambda p: p["log"]), "").alias("log"))
+    lines = df.select(*keys, *order, F.col("ts"), F.col(log).alias("log"), F.col("ts").alias("_started"))
+    joined = joined_parts(lines, keys, order, flush_seconds, run_folder(df.sparkSession, "joined-lines"), parts)
+    return joined.select(*keys, F.col("_started").alias("ts"), "log")
 
 
 def log_tail(df: DataFrame, keys: list[str], order: list[str], lines: int = 100) -> DataFrame:

@@ -32,11 +32,18 @@ STREAM_ORDER = ["file_id", "line_start"]
 
 def file_age(path: Column) -> Column:
     """Minus the number at the end of a rotated file's name (``app.log.3``), 0 for the open file."""
-    return -F.coalesce(F.regexp_extract(path, r"\.([0-9]{1,9})(?:\.[a-z]+)?$", 1).try_cast("int"), F.lit(0))
+    # A failed cast costs an exception a row, so a path without a number is not cast at all.
+    number = F.nullif(F.regexp_extract(path, r"\.([0-9]{1,9})(?:\.[a-z]+)?$", 1), F.lit(""))
+    return -F.coalesce(number.cast("int"), F.lit(0))
+
+
+def folder_name(path: Column) -> Column:
+    """Name of the folder that a file is in. The anchor keeps the search from starting anew at every letter of a long path."""
+    return F.regexp_extract(path, "(?s)^(?:.*/)?([^/]+)/[^/]+$", 1)
 
 
 def _records(lines: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    named = {"container_id": F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1), **columns}
+    named = {"container_id": folder_name(F.col("file_path")), **columns}
     return parse_container_lines(lines.withColumns(named)).withColumn("source", F.lit("docker"))
 
 
