@@ -150,6 +150,22 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     assert sorted(r.log for r in found.collect()) == ["one two\n", "x\n", "y\n"]
 
 
+def test_joined_lines_of_a_batch_go_when_it_ends(spark, tmp_path):
+    """The joined lines are written once, for both tables to read, and are gone after the batch."""
+    seen, out, rng = [], tmp_path / "out", random.Random(9)
+
+    def look(joined):
+        seen.append([f.name for f in out.iterdir() if f.name.startswith("joined-")])
+        return joined
+
+    joiner = log_streams.LineJoiner(str(out), ["n"], 5, 60, look)
+    for batch in range(2):
+        rows = lines([(rng.choice("abc"), i // 9, f"{i}" + rng.choice(["\n", " "])) for i in range(100)])
+        joiner(spark.createDataFrame(rows, LINE), batch)
+    assert seen == [["joined-0"], ["joined-1"]]
+    assert sorted(f.name for f in out.iterdir()) == ["lines", "open"]
+
+
 def test_lines_without_time_or_text(stream, tmp_path):
     """As in the batch form, nothing is lost; a line that is not closed by the end of the stream is still open."""
     rows = [("a", 0, START, "x\n"), ("a", 1, None, "no time\n"), ("a", 2, START, None), ("a", 3, START, "tail\n"), (None, 4, START, "lone\n"), ("b", 5, None, "open")]

@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tracelode.operators.logs import severe_logs
-from tracelode.operators.ordered import previous, running_sum, slices
+from tracelode.files import Store
+from tracelode.operators.logs import joined_parts, severe_logs
 from tracelode.streaming.tables import BatchTable
 
 KEY = "container_id"
@@ -17,31 +17,18 @@ LINE = "container_id string, ts timestamp, log string"
 OPEN = "container_id string, started timestamp, ts timestamp, log string"
 
 
-def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines of a batch put together with what earlier ones left open: (joined lines, unfinished last line of each container, and
-    the cached frame that both are read from).
+def join_parts(lines: DataFrame, open_parts: DataFrame, order: list[str], flush_seconds: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of a batch put together with what earlier ones left open: (joined lines, unfinished last line of each container).
 
-    A container's lines are cut into slices of (container, time, order), so one container is many tasks; what a slice owes to
-    the one before is one row.
+    A container's lines are cut into slices of (container, time, order), so one container is many tasks; `folder` gets the
+    joined lines, from which both frames are read.
     """
-    new = lines.select(KEY, F.lit(1).alias("_new"), F.col("ts").alias("started"), "ts", "log", *order)
+    new = lines.select(KEY, F.lit(1).alias("_new"), F.col("ts").alias("_started"), "ts", "log", *order)
     kinds = {f.name: f.dataType for f in new.schema}
-    old = open_parts.select(KEY, F.lit(0).alias("_new"), "started", "ts", "log", *[F.lit(None).cast(kinds[c]).alias(c) for c in order])
-    place = ["_new", "ts", *order]
-    cut = slices(old.unionByName(new), [KEY], place)
-    before = previous(cut, [KEY], place, F.struct(F.col("log").endswith("\n").alias("ended"), "ts"), "_before")
-    late = F.col("ts") > F.timestamp_add("SECOND", F.lit(flush_seconds), F.col("_before.ts"))
-    starts = F.coalesce(F.col("_before").isNull() | F.col("_before.ended") | late, F.lit(False))
-    numbered = running_sum(before, [KEY], place, starts.cast("int"), "_line")
-    pieces = F.sort_array(F.collect_list(F.struct(*place, "log")))
-    whole = numbered.groupBy(KEY, "_line").agg(F.min("started").alias("started"), F.max("ts").alias("ts"), pieces.alias("_pieces"))
-    whole = whole.select(KEY, "_line", "started", "ts", F.array_join(F.transform("_pieces", lambda p: p["log"]), "").alias("log")).persist()
-    ended = F.col("log").endswith("\n")
-    # Only lines without an end meet the last line of their container: as many as there are pauses.
-    last = whole.groupBy(KEY).agg(F.max("_line").alias("_last"))
-    unended = whole.where(~ended).join(last.withColumnRenamed(KEY, "_c"), F.col(KEY).eqNullSafe(F.col("_c"))).drop("_c")
-    done = whole.where(ended).unionByName(unended.where("_line < _last").drop("_last"))
-    return done.select(KEY, F.col("started").alias("ts"), "log"), unended.where("_line = _last").select(KEY, "started", "ts", "log"), whole
+    old = open_parts.select(KEY, F.lit(0).alias("_new"), F.col("started").alias("_started"), "ts", "log", *[F.lit(None).cast(kinds[c]).alias(c) for c in order])
+    whole = joined_parts(old.unionByName(new), [KEY], ["_new", "ts", *order], flush_seconds, folder)
+    waits = F.col("final") & ~F.col("log").endswith("\n")
+    return whole.where(~waits).select(KEY, F.col("_started").alias("ts"), "log"), whole.where(waits).select(KEY, F.col("_started").alias("started"), "ts", "log")
 
 
 class LineJoiner:
@@ -65,14 +52,16 @@ class LineJoiner:
         seen = rows.agg(F.max("ts")).first()[0]
         before = open_parts.state(batch)["notes"].get("seen")
         seen = max(filter(None, (seen, before and datetime.fromisoformat(before))), default=None)
-        done, waiting, cached = join_parts(rows, open_parts.read(OPEN, batch), self._order, self._flush)
+        # A batch that is run again writes over what it left here.
+        folder = f"{self._path}/joined-{batch}"
+        done, waiting = join_parts(rows, open_parts.read(OPEN, batch), self._order, self._flush, folder)
         limit = seen and seen - timedelta(seconds=self._flush + self._wait)
         over = F.coalesce(F.col("ts") < F.lit(limit), F.lit(False))
         given_out = done.unionByName(waiting.where(over).select(KEY, F.col("started").alias("ts"), "log"))
         lines.append(self._then(given_out) if self._then else given_out, batch)
         open_parts.replace(waiting.where(~over), batch, seen=seen and seen.isoformat())
-        cached.unpersist()
         rows.unpersist()
+        Store(spark, folder).remove(folder)
 
 
 def stream_reassemble(lines: DataFrame, path: str, checkpoint: str, trigger: dict, order: list[str], flush_seconds: int = 5,
